@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm import decontaminate, license_scan, mixing, sharding, url_filter
+from pactlake.llm import decontaminate, license_scan, mixing, ngram_join, sharding, url_filter
 from pactlake.llm.common import table
 
 
@@ -30,12 +30,17 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op7_decontaminate": op7_decontaminate,
     "op9_url_filter": op9_url_filter,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES = {
@@ -43,4 +48,5 @@ ORACLES = {
     "op4_mixing": mixing.oracle(),
     "op7_decontaminate": decontaminate.oracle(),
     "op9_url_filter": url_filter.oracle(),
+    "op10_ngram_join": ngram_join.oracle(),
 }
