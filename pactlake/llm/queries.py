@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm import decontaminate, license_scan, mixing, ngram_join, sharding, url_filter
+from pactlake.llm import decontaminate, language_id, license_scan, mixing, ngram_join, sharding, url_filter
 from pactlake.llm.common import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
