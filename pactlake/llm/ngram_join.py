@@ -11,8 +11,10 @@ the length and positional filters are expanded to classes and verified on the wh
 
 Only connections are asked for, so pairs are not all listed: for some rounds every prefix shingle elects a
 pivot, all other holders are compared with it, and links found are contracted; shingles whose holders are
-already connected are done. What is left is compared exhaustively, except pairs which the distances to a
-common pivot rule out (Jaccard distance is a metric). No bucket is collected in a task, none is capped.
+already connected are done. What is left is compared exhaustively. Inside these joins three exact filters
+decide which pairs come out at all: length, position (at the first shared shingle nothing before it can
+match), and a bitmap: each class carries the parities of its shingles in 512 cells, and the number of
+differing parities never exceeds the symmetric difference. No bucket is collected in a task, none is capped.
 
 Null texts and texts without words have n_shingles 0, link with nothing and are their own component. Null
 ids link like others, but name a component only if it has no other id. Repeated rows are linked to each
@@ -33,6 +35,7 @@ from pactlake.llm.common import row_key, written
 from pactlake.llm.components import components
 
 WIDTH, PERCENT, CELL_BITS, ROUNDS = 3, 90, 20, 3
+_LONGS = 8
 _BLOCK = 1024
 
 
@@ -97,38 +100,39 @@ def classes_of(docs: DataFrame, width: int, percent: int, bits: int) -> tuple[Da
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = frequency.value
         for batch in batches:
-            n, cids, prefixes = [], [], []
+            n, cids, prefixes, parities = [], [], [], []
             for s in shingle_sets(batch.column(0), width):
                 keep = len(s) - -(-len(s) * percent // 100) + 1 if len(s) else 0
                 order = np.lexsort((s, counts[(s >> np.uint64(64 - bits)).astype(np.int64)]))[:keep] if keep else []
                 n.append(len(s))
                 cids.append(signature(s))
+                parities.append(np.packbits(np.bincount((s & np.uint64(_LONGS * 64 - 1)).astype(np.int64), minlength=_LONGS * 64) & 1).view(np.int64))
                 prefixes.append(s[order].view(np.int64) if keep else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(1), "key": batch.column(2), "n": pa.array(n, pa.int64()), "cid": pa.array(cids, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(1), "key": batch.column(2), "n": pa.array(n, pa.int64()), "cid": pa.array(cids, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())), "parity": pa.array(parities, pa.list_(pa.int64()))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = written(source.mapInArrow(index, f"doc_id {kind}, key string, n bigint, cid binary, prefix array<bigint>"), "join-index")
+    found = written(source.mapInArrow(index, f"doc_id {kind}, key string, n bigint, cid binary, prefix array<bigint>, parity array<bigint>"), "join-index")
     # equal sets have equal prefixes, so any one will do
-    classes = written(found.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("prefix").alias("prefix")), "join-classes")
+    classes = written(found.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "join-classes")
     return found.select("doc_id", "key", "n", "cid"), classes
 
 
 def postings_of(classes: DataFrame) -> DataFrame:
-    """(token, pos, n, cid) of the prefix shingles that more than one class holds, by way of groups with equal prefix and size."""
-    grouped = classes.select("cid", "n", "prefix", F.struct("n", F.xxhash64("prefix"), F.hash("prefix")).alias("gid"))
+    """(token, pos, n, cid, parity) of the prefix shingles that more than one class holds, by way of groups with equal prefix and size."""
+    grouped = classes.select("cid", "n", "prefix", "parity", F.struct("n", F.xxhash64("prefix"), F.hash("prefix")).alias("gid"))
     groups = grouped.groupBy("gid").agg(F.first("prefix").alias("prefix"), F.count("*").alias("size"))
     entries = groups.select("gid", "size", F.posexplode("prefix").alias("pos", "token"))
     shared = entries.groupBy("token").agg(F.sum("size").alias("holders")).filter("holders > 1").select("token")
     entries = entries.join(shared, "token").select("gid", "token", "pos")
-    members = grouped.select("gid", "n", "cid")
-    return entries.join(members, "gid").select("token", "pos", "n", "cid")
+    members = grouped.select("gid", "n", "cid", "parity")
+    return entries.join(members, "gid").select("token", "pos", "n", "cid", "parity")
 
 
-def may_link(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Column:
-    """Length and positional filters for sizes n, m and 0-based places of a shared shingle."""
+def may_link(n: Column, pos: Column, x: Column, m: Column, at: Column, y: Column, percent: int) -> Column:
+    """Filters for sizes n, m, 0-based places of the first shared shingle, and parities x, y."""
     need = F.ceil((n + m) * percent / (100 + percent))
-    left = F.least(n - pos, m - at)
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(pos, at) + left >= need)
+    differ = sum(F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i))) for i in range(_LONGS))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - pos, m - at) >= need) & (differ <= n + m - 2 * need)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -169,22 +173,20 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: in
     postings = written(postings_of(classes), "join-postings")
     sets = written(sets_of(base, classes.join(postings.select("cid").distinct(), "cid", "left_semi"), width), "join-sets")
     links = comp = None
-    distances = None
     for turn in range(rounds):
         current = postings if comp is None else postings.join(comp, F.col("cid") == F.col("id"), "left").drop("id")
         current = current.withColumn("comp", F.coalesce("comp", "cid") if comp is not None else F.col("cid"))
         current = written(current, "join-current")
         # the rounds elect by size, by largest size and by an id hash
         rank = [F.col("n"), -F.col("n"), F.xxhash64("cid").bitwiseAND(F.lit(0xFFFF))][turn % 3]
-        elected = current.groupBy("token").agg(F.min(F.struct(rank.alias("r"), "cid", "n", "pos", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        elected = elected.filter("lo <> hi").select("token", F.col("p.cid").alias("b"), F.col("p.n").alias("m"), F.col("p.pos").alias("at"), F.col("p.comp").alias("bcomp"))
-        pairs = current.join(elected, "token").filter((F.col("comp") != F.col("bcomp")) & may_link(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), percent))
+        elected = current.groupBy("token").agg(F.min(F.struct(rank.alias("r"), "cid", "n", "pos", "comp", "parity")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        elected = elected.filter("lo <> hi").select("token", F.col("p.cid").alias("b"), F.col("p.n").alias("m"), F.col("p.pos").alias("at"), F.col("p.comp").alias("bcomp"), F.col("p.parity").alias("y"))
+        pairs = current.withColumnRenamed("parity", "x").join(elected, "token").filter((F.col("comp") != F.col("bcomp")) & may_link(F.col("n"), F.col("pos"), F.col("x"), F.col("m"), F.col("at"), F.col("y"), percent))
         tested = written(overlaps(pairs.select(F.col("cid").alias("a"), "b").distinct(), sets), "join-tested")
-        distances = tested if distances is None else distances.unionByName(tested)
         good = tested.filter(F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent).select("a", "b")
         links = good if links is None else links.unionByName(good)
         comp = components(links)
-    rest = written(unresolved(postings, comp, distances, percent), "join-rest")
+    rest = written(unresolved(postings, comp, percent), "join-rest")
     tested = overlaps(rest, sets)
     links = links.unionByName(tested.filter(F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent).select("a", "b"))
     comp = components(links)
@@ -192,14 +194,14 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: in
     return written(named.select("doc_id", "key", "n", "cid", F.when(F.col("n") > 0, F.coalesce("comp", "cid")).alias("comp")), "join-members")
 
 
-def unresolved(postings: DataFrame, comp: DataFrame, distances: DataFrame, percent: int) -> DataFrame:
+def unresolved(postings: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in different components that share a prefix shingle and that no filter rules out."""
     current = postings.join(comp, F.col("cid") == F.col("id"), "left").drop("id").withColumn("comp", F.coalesce("comp", "cid"))
     mixed_tokens = current.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     current = written(current.join(mixed_tokens, "token"), "join-mixed")
-    x = current.select("token", F.col("cid").alias("a"), F.col("n"), F.col("pos"), F.col("comp").alias("acomp"))
-    y = current.select("token", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("bcomp"))
-    pairs = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("acomp") != F.col("bcomp")) & may_link(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), percent))
+    x = current.select("token", F.col("cid").alias("a"), F.col("n"), F.col("pos"), F.col("comp").alias("acomp"), F.col("parity").alias("x"))
+    y = current.select("token", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("bcomp"), F.col("parity").alias("y"))
+    pairs = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("acomp") != F.col("bcomp")) & may_link(F.col("n"), F.col("pos"), F.col("x"), F.col("m"), F.col("at"), F.col("y"), percent))
     return pairs.select("a", "b").distinct()
 
 
