@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm import decontaminate, language_id, license_scan, mixing, ngram_join, sharding, url_filter
+from pactlake.llm import decontaminate, language_id, license_scan, mixing, ngram_join, sharding, topk_search, url_filter
 from pactlake.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
+    "op6_topk_search": op6_topk_search,
     "op7_decontaminate": op7_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_ngram_join": op10_ngram_join,
@@ -51,6 +56,7 @@ QUERIES = {
 ORACLES = {
     "op3_license_scan": license_scan.oracle(),
     "op4_mixing": mixing.oracle(),
+    "op6_topk_search": topk_search.oracle(),
     "op7_decontaminate": decontaminate.oracle(),
     "op9_url_filter": url_filter.oracle(),
     "op10_ngram_join": ngram_join.oracle(),
