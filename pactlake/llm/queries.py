@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm import decontaminate, language_id, license_scan, mixing, ngram_join, sharding, topk_search, url_filter
+from pactlake.llm import decontaminate, language_id, license_scan, mixing, ngram_join, repeats, sharding, topk_search, url_filter
 from pactlake.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_topk_search": op6_topk_search,
     "op7_decontaminate": op7_decontaminate,
+    "op8_repeats": op8_repeats,
     "op9_url_filter": op9_url_filter,
     "op10_ngram_join": op10_ngram_join,
 }
