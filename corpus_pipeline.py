@@ -7,12 +7,31 @@ return the columns of `documents`.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pactlake.llm import language_id
 from pactlake.llm.common import table, written
 from pactlake.llm.decontaminate import decontaminate_rows
 from pactlake.llm.mixing import drawn
+from pactlake.llm.ngram_join import keep_first
 from pactlake.llm.sharding import shard_by_bytes
 
+#: A document of which no language covers this share is rejected.
+LEAST_SHARE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go: no letter, or no language with LEAST_SHARE of the words."""
+    training = docs.filter(~F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False)))
+    judged = language_id.predict(docs.withColumn("_text", F.col("text")), language_id.fit(training), text_col="_text")
+    kept = judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    return kept.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays, the one with the smallest doc_id."""
+    return keep_first(docs)
+
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share ten consecutive words with a benchmark item go."""
@@ -30,6 +49,8 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", language),
+    ("ngram_jaccard_join", near_copies),
     ("benchmark_decontamination", decontamination),
     ("source_mixing", mixture),
     ("sharding", sharding),

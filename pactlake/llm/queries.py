@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm import decontaminate, language_id, license_scan, mixing, ngram_join, repeats, sharding, topk_search, url_filter
+from pactlake.llm import decontaminate, language_id, license_scan, lm_score, mixing, ngram_join, repeats, sharding, topk_search, url_filter
 from pactlake.llm.common import table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_mixing": op4_mixing,
