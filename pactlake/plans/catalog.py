@@ -1,6 +1,510 @@
-"""Registered queries of the contract operators, and their SQL twins."""
+"""Registered queries of the contract operators, and their SQL twins.
+
+The prose tables hold no contracts, so most queries run on contracts rendered from the star tables
+(pactlake.sources.contract_view); the same SQL renders them on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pactlake.functions import fixed, text
+from pactlake.operators import coverage, evaluate, evidence, export, filters, jobs, merge, model_io, normalize, segment
+from pactlake.sources import contract_view, documents
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its own name, with its SQL twin."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- tables that queries share: lines, blocks, segments and groups of the rendered contracts ----
+
+
+def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = contract_view.raw_lines(spark, sf_dir)
+    return raw.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "pos")).alias("line_no"), "page", F.concat("doc_id", F.lit(".txt")).alias("source"), "text")
+
+
+def blocks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.parent_titles(segment.build_blocks(segment.detect_headings(lines_of(spark, sf_dir))))
+
+
+def segments_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.segments_of(blocks_of(spark, sf_dir))
+
+
+def groups_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One group a titled segment, named by its title without number; every third keeps a second name."""
+    s = segments_of(spark, sf_dir).filter("title is not null")
+    name = F.trim(F.regexp_replace("title", r"^[0-9.]+|[.:]+$", ""))
+    meta = F.struct("page", "source", F.col("segment_id").alias("id"), "segment_id", F.lit(None).cast("string").alias("clause_no"), "parent_section_title", F.lit(None).cast("string").alias("coverage_source"), "token_count", "chunk_index", "chunk_total", "is_continuation")
+    related = F.when(F.col("seg_no") % 3 == 0, F.array(F.lit("Fees"), F.upper(name))).otherwise(F.array(name))
+    return s.select("doc_id", F.col("seg_no").alias("pos"), name.alias("representative_keyword"), model_io.infer_provision(F.col("text")).alias("provision_type"), related.alias("related_keywords"), F.col("text").alias("context_text"), F.when(F.col("seg_no") % 4 == 0, F.col("text")).alias("exact_text"), F.expr(f"cast(array() as array<{merge.EVIDENCE}>)").alias("evidences"), meta.cast(merge.META).alias("meta"))
+
+
+RAW = contract_view.lines_sql("duckdb")
+FOLD = "lower(replace(replace(coalesce({0}, ''), 'ẞ', 'ss'), 'ß', 'ss'))"
+
+
+def key_sql(x: str) -> str:
+    return f"trim(regexp_replace({FOLD.format(x)}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+def upper_sql(x: str) -> str:
+    return f"({x} = upper({x}) AND {x} <> lower({x}))"
+
+
+def titled_sql(x: str, most: int) -> str:
+    words = f"list_filter(string_split_regex(trim(regexp_replace({x}, '[.]+$', '')), '\\s+'), lambda w: w <> '')"
+    capital = f"len(list_filter({words}, lambda w: {upper_sql('w[1]')}))"
+    return f"(NOT regexp_matches({x}, '[.;,]$') AND len({words}) > 0 AND len({words}) <= {most} AND ({upper_sql(x)} OR {capital} >= len({words}) - 1))"
+
+
+CHAIN = f"""
+raw AS ({RAW}),
+lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) AS line_no, page, doc_id || '.txt' AS source, text FROM raw),
+kinds AS (SELECT *,
+  CASE WHEN regexp_matches(text, '^(IN WITNESS WHEREOF|SIGNATURES?|SIGNED|AGREED AND ACCEPTED|ACCEPTED AND AGREED)\\b', 'i') THEN 'signature'
+    WHEN regexp_matches(text, '^(SCHEDULE|EXHIBIT|APPENDIX|ANNEX)\\b', 'i') THEN lower(regexp_extract(text, '^\\S+'))
+    WHEN regexp_matches(text, '^(ARTICLE|SECTION)\\b', 'i') THEN 'section'
+    WHEN regexp_matches(text, '^(\\d+\\.|\\d+(?:\\.\\d+)+\\.?)\\s+\\S') THEN 'section'
+    WHEN regexp_matches(text, '^(\\([A-Za-z0-9]+\\)|[a-z]\\.)\\s+\\S') THEN 'bullet' END AS h_kind,
+  regexp_extract(text, '^(\\d+\\.|\\d+(?:\\.\\d+)+\\.?)\\s+(\\S.*)$', 1) AS num, regexp_extract(text, '^(\\d+\\.|\\d+(?:\\.\\d+)+\\.?)\\s+(\\S.*)$', 2) AS body FROM lines),
+heads AS (SELECT *,
+  CASE WHEN h_kind = 'bullet' THEN regexp_extract(text, '^(\\([A-Za-z0-9]+\\)|[a-z]\\.)', 1)
+    WHEN h_kind = 'section' AND num <> '' THEN CASE WHEN regexp_matches(body, '[.:](\\s|$)') THEN num || ' ' || regexp_extract(body, '^(.*?[.:])(\\s|$)', 1) ELSE text END
+    WHEN h_kind IS NOT NULL THEN text END AS h_title,
+  CASE WHEN h_kind = 'bullet' THEN 99 WHEN h_kind = 'section' AND num <> '' THEN len(string_split(rtrim(num, '.'), '.')) WHEN h_kind IS NOT NULL THEN 1 END AS h_level FROM kinds),
+numbered AS (SELECT *, count(h_kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS block_no FROM heads),
+packed AS (SELECT doc_id, block_no, list(text ORDER BY line_no) AS ls, min(line_no) AS first_line, arg_min(page, line_no) AS page, any_value(source) AS source, max(h_kind) AS hk, max(h_title) AS ht, max(h_level) AS hl FROM numbered GROUP BY doc_id, block_no),
+blocks AS (SELECT doc_id, block_no, ls, page, source, coalesce(hk, CASE WHEN max(block_no) OVER (PARTITION BY doc_id) > 0 THEN 'opening' ELSE 'document' END) AS kind,
+  CASE WHEN hk = 'section' AND hl = 1 AND len(ls) > 1 AND {titled_sql('ls[2]', 8)} THEN ht || ' ' || ls[2] ELSE ht END AS title, coalesce(hl, 1) AS level,
+  coalesce(len(ls) <= 2 AND ls[1] = ht AND (hk <> 'section' OR hl = 1) AND (len(ls) < 2 OR {titled_sql('ls[2]', 8)}), FALSE) AS dropped FROM packed),
+sections AS (SELECT doc_id, block_no, level, title FROM blocks WHERE kind = 'section'),
+parents AS (SELECT b.*,
+  CASE WHEN kind = 'bullet' THEN (SELECT arg_max(s.title, s.block_no) FROM sections s WHERE s.doc_id = b.doc_id AND s.block_no < b.block_no)
+    WHEN kind = 'section' AND level > 1 THEN coalesce(
+      (SELECT arg_max(CASE WHEN s.level = b.level - 1 THEN s.title END, s.block_no) FROM sections s WHERE s.doc_id = b.doc_id AND s.block_no < b.block_no AND s.level <= b.level - 1),
+      (SELECT arg_max(s.title, s.block_no) FROM sections s WHERE s.doc_id = b.doc_id AND s.block_no < b.block_no AND s.level = 1)) END AS parent FROM blocks b),
+segs AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS seg_no, array_to_string(ls, chr(10)) AS text, title, page, source, parent FROM parents WHERE NOT dropped),
+segments AS (SELECT *, 'seg_' || lpad(seg_no::VARCHAR, 3, '0') AS segment_id, len(regexp_extract_all(text, '\\S+')) AS token_count,
+  CASE WHEN parent IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY doc_id, source, parent ORDER BY seg_no) END AS chunk_index,
+  CASE WHEN parent IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY doc_id, source, parent) END AS chunk_total FROM segs)"""
+
+INFER = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower({{0}}), '{n}')" for n in needles) + f" THEN '{name}'" for name, needles in fixed.PROVISION_NEEDLES) + " ELSE 'other' END"
+GROUPS = (
+    CHAIN
+    + f""",
+named AS (SELECT *, trim(regexp_replace(regexp_replace(title, '^[0-9.]+', ''), '[.:]+$', '')) AS name FROM segments WHERE title IS NOT NULL),
+groups AS (SELECT doc_id, seg_no AS pos, name, {INFER.format('text')} AS kind, CASE WHEN seg_no % 3 = 0 THEN ['Fees', upper(name)] ELSE [name] END AS related, text AS context, CASE WHEN seg_no % 4 = 0 THEN text END AS exact, segment_id, page FROM named)"""
+)
+
+
+# ---- segmentation ----
+
+
+@query(f"WITH {CHAIN} SELECT coalesce(h_kind, 'none') AS kind, count(*)::BIGINT AS n_lines, count(DISTINCT doc_id)::BIGINT AS n_docs FROM heads GROUP BY 1")
+def seg_heading_kinds(spark, sf_dir):
+    rows = segment.detect_headings(lines_of(spark, sf_dir))
+    return rows.groupBy(F.coalesce("h_kind", F.lit("none")).alias("kind")).agg(F.count("*").alias("n_lines"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(f"WITH {CHAIN} SELECT doc_id, line_no::INT AS line_no, h_kind, h_title, h_level::INT AS h_level FROM heads WHERE h_kind IS NOT NULL")
+def seg_headings(spark, sf_dir):
+    return segment.detect_headings(lines_of(spark, sf_dir)).filter("h_kind is not null").select("doc_id", "line_no", "h_kind", "h_title", "h_level")
+
+
+@query(f"WITH {CHAIN} SELECT doc_id, block_no::BIGINT AS block_no, kind, title, level::INT AS level, len(ls)::INT AS n_lines, dropped FROM blocks")
+def seg_blocks(spark, sf_dir):
+    return blocks_of(spark, sf_dir).select("doc_id", "block_no", "kind", "title", "level", F.size("lines").alias("n_lines"), "dropped")
+
+
+@query(f"WITH {CHAIN} SELECT doc_id, block_no::BIGINT AS block_no, kind, title, parent AS parent_section_title FROM parents")
+def seg_parent_title(spark, sf_dir):
+    return blocks_of(spark, sf_dir).select("doc_id", "block_no", "kind", "title", "parent_section_title")
+
+
+@query(f"WITH {CHAIN} SELECT kind, count(*)::BIGINT AS n, count_if(dropped)::BIGINT AS n_dropped FROM blocks GROUP BY kind")
+def seg_empty_parent_drop(spark, sf_dir):
+    return blocks_of(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.count_if("dropped").alias("n_dropped"))
+
+
+@query(f"WITH {CHAIN} SELECT doc_id, segment_id, title, page, source, parent AS parent_section_title, token_count::INT AS token_count, chunk_index::INT AS chunk_index, chunk_total::INT AS chunk_total, chunk_index < chunk_total AS is_continuation, md5(text) AS text_md5 FROM segments")
+def seg_numbering(spark, sf_dir):
+    return segments_of(spark, sf_dir).select("doc_id", "segment_id", "title", "page", "source", "parent_section_title", "token_count", "chunk_index", "chunk_total", "is_continuation", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '\\S+'))::INT AS token_count FROM documents")
+def seg_token_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.token_count(F.col("text")).alias("token_count"))
+
+
+@query()
+def seg_split_long(spark, sf_dir):
+    """Chunks of every document under the token limits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(segment.split_by_tokens(F.col("text"))).alias("chunk", "part"))
+    return docs.select("doc_id", "chunk", text.token_count(F.col("part")).alias("token_count"), F.md5("part").alias("part_md5"))
+
+
+# ---- normalisation ----
+
+PAGES = f"""raw AS ({RAW}),
+pl AS (SELECT doc_id, page, pos, text, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS up, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos DESC) AS down, regexp_replace(lower(text), '\\d+', '#', 'g') AS fk FROM raw),
+counts AS (SELECT doc_id, fk, count(DISTINCT page) AS n FROM pl WHERE up <= 3 OR down <= 3 GROUP BY ALL),
+rep AS (SELECT doc_id, fk, n FROM counts WHERE n >= 2 AND NOT regexp_matches(fk, '^(article|section|schedule|exhibit|appendix|annex)\\b') AND NOT regexp_matches(fk, '^(?:\\d+\\.|\\d+(?:\\.\\d+)+\\.?|\\([A-Za-z]\\))$')),
+gone AS (SELECT pl.*, NOT regexp_matches(text, '^(?:\\d+\\.|\\d+(?:\\.\\d+)+\\.?|\\([A-Za-z]\\))$') AND (text = page::VARCHAR OR regexp_matches(text, '^(?:\\d+\\s+)?Source:\\s+.+$', 'i') OR rep.fk IS NOT NULL) AS gone FROM pl LEFT JOIN rep USING (doc_id, fk))"""
+
+
+def cleaned_pages(spark, sf_dir):
+    return contract_view.pages(spark, sf_dir).withColumn("lines", normalize.clean_lines(F.col("text")))
+
+
+@query(f"WITH {PAGES} SELECT doc_id, fk AS footer_key, n::BIGINT AS n_pages FROM rep")
+def norm_repeated_footer(spark, sf_dir):
+    return normalize.repeated_footers(cleaned_pages(spark, sf_dir)).select("doc_id", F.col("key").alias("footer_key"), F.col("n").alias("n_pages"))
+
+
+@query(f"WITH {PAGES} SELECT doc_id, page, count_if(gone)::INT AS removed FROM gone GROUP BY ALL")
+def norm_footer_filter(spark, sf_dir):
+    return normalize.normalize_pages(contract_view.pages(spark, sf_dir)).select("doc_id", "page", F.col("removed_footer_count").alias("removed"))
+
+
+@query(f"WITH {PAGES}, kept AS (SELECT *, lag(text) OVER (PARTITION BY doc_id, page ORDER BY pos) AS prev FROM gone WHERE NOT gone) SELECT doc_id, page, count_if(prev = '2.' AND text = 'Payment Terms')::BIGINT AS repaired FROM kept GROUP BY ALL")
+def norm_orphan_repair(spark, sf_dir):
+    pages = cleaned_pages(spark, sf_dir).withColumn("repaired", normalize.repair_numbers(F.col("lines")))
+    return pages.select("doc_id", "page", F.size(F.filter("repaired", lambda x: x == "2. Payment Terms")).cast("bigint").alias("repaired"))
+
+
+@query("SELECT doc_id, length(regexp_replace(regexp_replace(translate(replace(text, ' ', chr(160) || chr(8203)), chr(160), ' '), '[​-‏‪-‮⁠﻿]', '', 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'))::INT AS n_chars FROM documents")
+def norm_zero_width(spark, sf_dir):
+    dirty = F.replace("text", F.lit(" "), F.lit(" ​"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(normalize.strip_invisible(normalize.substitute(dirty))).alias("n_chars"))
+
+
+@query()
+def norm_pages(spark, sf_dir):
+    out = normalize.normalize_pages(contract_view.pages(spark, sf_dir))
+    return out.select("doc_id", "page", "raw_text_length", "normalized_text_length", "removed_footer_count", F.md5("text").alias("text_md5"))
+
+
+# ---- keys and tokens ----
+
+
+@query(f"SELECT doc_id, md5({key_sql('text')}) AS key_md5 FROM documents")
+def key_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.keyword_key(F.col("text"))).alias("key_md5"))
+
+
+CANON = "list_filter(list_transform(string_split({0}, ' '), lambda t: CASE WHEN t = 'non' THEN 'no' WHEN t = 'venue' THEN 'jurisdiction' WHEN ends_with(t, 'ies') AND length(t) > 4 THEN t[:-4] || 'y' WHEN ends_with(t, 's') AND NOT ends_with(t, 'ss') AND length(t) > 3 THEN t[:-2] ELSE t END), lambda t: t <> '' AND t NOT IN ('a', 'an', 'and', 'by', 'for', 'in', 'of', 'or', 'the', 'to'))"
+
+
+@query(f"SELECT doc_id, md5(array_to_string({CANON.format(key_sql('text'))}, ' ')) AS key_md5 FROM documents")
+def key_canonical(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.canonical_key(F.col("text"))).alias("key_md5"))
+
+
+TOKENS = "list_distinct(regexp_extract_all(" + FOLD + ", '[a-z0-9]+'))"
+
+
+@query(f"SELECT doc_id, len({TOKENS.format('text')})::INT AS n_tokens FROM documents")
+def tok_distinct(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"))
+
+
+@query("SELECT sha256(text) AS file_hash, count(*)::BIGINT AS n_docs, min(doc_id) AS first_doc FROM documents GROUP BY 1")
+def dedupe_docs_sha(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", jobs.file_hash(F.encode("text", "UTF-8")).alias("file_hash"))
+    return docs.groupBy("file_hash").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
+# ---- first model stage ----
+
+BODY = "CASE WHEN title IS NULL THEN text WHEN lower(rtrim(string_split(text, chr(10))[1], '.:;')) = lower(rtrim(title, '.:;')) THEN array_to_string(string_split(text, chr(10))[2:], chr(10)) WHEN starts_with(text, title) THEN regexp_replace(text[length(title) + 1:], '^[ \\t\\r\\n\\-:.;]+', '') ELSE text END"
+CLAUSE = "nullif(rtrim(regexp_extract(coalesce({0}, ''), '^\\s*((?:\\d+(?:\\.\\d+)*\\.?)|(?:\\([A-Za-z0-9]+\\))|(?:[A-Za-z]\\.))\\s+', 1), '.'), '')"
+INPUTS = f"{CHAIN}, bodies AS (SELECT *, {BODY} AS body FROM segments), inputs AS (SELECT *, coalesce({CLAUSE.format('title')}, {CLAUSE.format('body')}) AS clause_no, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS compact FROM bodies)"
+
+
+@query(f"WITH {INPUTS} SELECT doc_id, segment_id, clause_no FROM inputs")
+def llm1_clause_no(spark, sf_dir):
+    return model_io.keyword_inputs(segments_of(spark, sf_dir)).select("doc_id", "segment_id", "clause_no")
+
+
+@query(f"WITH {INPUTS} SELECT doc_id, segment_id, compact AS text FROM inputs")
+def llm1_title_strip(spark, sf_dir):
+    return model_io.keyword_inputs(segments_of(spark, sf_dir)).select("doc_id", "segment_id", "text")
+
+
+@query(f"WITH {CHAIN} SELECT doc_id, ((seg_no - 1) // 5 + 1)::INT AS batch, source, count(*)::INT AS n_segments, string_agg(segment_id, ',' ORDER BY seg_no) AS ids FROM segments GROUP BY ALL")
+def llm1_batches(spark, sf_dir):
+    rows = model_io.keyword_batches(segments_of(spark, sf_dir), 5)
+    return rows.select("doc_id", "batch", "source", F.size("segments").alias("n_segments"), F.array_join(F.col("segments.segment_id"), ",").alias("ids"))
+
+
+@query("SELECT event_id, CASE WHEN v = 'signature' THEN 'signatures' WHEN v = 'notice' THEN 'notices' WHEN v IN ('payment', 'other') THEN v END AS provision_type FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'signature' WHEN 1 THEN 'notice' WHEN 2 THEN 'payment' WHEN 3 THEN 'other' ELSE event_type END AS v FROM events)")
+def prov_clean(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 5 == 0, " Signature! ").when(F.col("event_id") % 5 == 1, "NOTICE").when(F.col("event_id") % 5 == 2, "Payment").when(F.col("event_id") % 5 == 3, "other").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", model_io.clean_provision(raw).alias("provision_type"))
+
+
+@query(f"WITH {CHAIN} SELECT doc_id, segment_id, {INFER.format('text')} AS provision_type FROM segments")
+def prov_infer(spark, sf_dir):
+    return segments_of(spark, sf_dir).select("doc_id", "segment_id", model_io.infer_provision(F.col("text")).alias("provision_type"))
+
+
+# ---- merging and filtering ----
+
+GTEXT = "lower(trim(regexp_replace(name || ' ' || array_to_string(related, ' ') || ' ' || context || ' ' || coalesce(exact, ''), '\\s+', ' ', 'g')))"
+INTRO = "((contains({0}, 'service provider:') AND contains({0}, 'client:')) OR (contains({0}, 'company:') AND contains({0}, 'client:')) OR ((" + " OR ".join(f"contains({{0}}, '{p}')" for p in fixed.INTRO_PHRASES) + ") AND (list_has_any(string_split({0}, ' '), ['company', 'client', 'customer', 'affiliate']) OR contains({0}, ' and '))))"
+LAWDIS = "((contains({0}, 'governed by') OR contains({0}, 'laws of') OR contains({0}, 'law of')) AND (" + " OR ".join(f"contains({{0}}, '{w}')" for w in fixed.DISPUTE_WORDS) + "))"
+quote_all = lambda values: ", ".join(f"'{v}'" for v in values)
+MERGE_KEY = (
+    f"CASE WHEN k IN ({quote_all(fixed.PARTY_ROLES)}) AND {INTRO.format('gt')} THEN 'parties' WHEN k IN ({quote_all(fixed.PAYMENT_ADJACENT)}) THEN 'payment terms::id:' || segment_id "
+    f"WHEN k IN ({quote_all(fixed.LAW_DISPUTE)}) AND {LAWDIS.format('gt')} THEN 'governing law and dispute resolution' "
+    + " ".join(f"WHEN k IN ({quote_all(sorted({s.replace('-', ' ') for s in syn}))}) THEN '{syn[0]}'" for syn in fixed.SYNONYMS)
+    + " ELSE k END"
+)
+KEYED = f"{GROUPS}, gk AS (SELECT *, {key_sql('name')} AS k, {GTEXT} AS gt FROM groups), keyed AS (SELECT *, {MERGE_KEY} AS merge_key FROM gk)"
+
+
+@query(f"WITH {KEYED} SELECT doc_id, pos::INT AS pos, merge_key FROM keyed")
+def merge_key(spark, sf_dir):
+    g = groups_of(spark, sf_dir)
+    return g.select("doc_id", "pos", merge.merge_key({c: F.col(c) for c in g.columns}).alias("merge_key"))
+
+
+@query(f"WITH {KEYED} SELECT doc_id, min(pos)::INT AS pos, count(*)::BIGINT AS n_merged FROM keyed GROUP BY doc_id, merge_key")
+def merge_first_seen(spark, sf_dir):
+    merged = merge.merge_groups(groups_of(spark, sf_dir)).select("doc_id", "pos")
+    g = groups_of(spark, sf_dir)
+    sizes = g.select("doc_id", "pos", merge.merge_key({c: F.col(c) for c in g.columns}).alias("k")).groupBy("doc_id", "k").agg(F.min("pos").alias("pos"), F.count("*").alias("n_merged"))
+    return merged.join(sizes.drop("k"), ["doc_id", "pos"])
+
+
+@query()
+def merge_groups(spark, sf_dir):
+    return merge.merge_groups(groups_of(spark, sf_dir)).select("doc_id", "pos", "representative_keyword", "provision_type", F.array_join("related_keywords", "|").alias("related"), F.md5(F.coalesce("context_text", F.lit(""))).alias("context_md5"), F.col("meta.segment_id").alias("segment_id"))
+
+
+START = key_sql("substr(b, 1, {0})")
+KIND = f"CASE WHEN contains(st, 'signature') OR starts_with(st, 'accepted and agreed') OR contains(st, 'print name') THEN 'signature' WHEN contains(st, 'recitals') OR starts_with(st, 'whereas') THEN 'recitals' WHEN len(regexp_extract_all(b, '\\S+')) < 240 AND (contains(st, 'exhibit') OR contains(st, 'by and between') OR contains(st, 'made between') OR contains(st, 'entered into')) THEN 'opening' ELSE 'body' END"
+FILTERED = f"{GROUPS}, gb AS (SELECT *, context || ' ' || coalesce(exact, '') AS b, {key_sql('name')} AS k FROM groups), gs AS (SELECT *, {START.format(600)} AS st FROM gb), gkind AS (SELECT *, {KIND} AS context_kind FROM gs)"
+
+
+@query(f"WITH {FILTERED} SELECT doc_id, pos::INT AS pos, context_kind FROM gkind")
+def filter_context_kind(spark, sf_dir):
+    body = F.concat_ws(" ", F.coalesce("context_text", F.lit("")), F.coalesce("exact_text", F.lit("")))
+    return groups_of(spark, sf_dir).select("doc_id", "pos", filters.context_kind(body).alias("context_kind"))
+
+
+ANCHOR = " OR ".join(f"(k = '{k}' AND NOT (" + " OR ".join(f"regexp_matches(b, '{p}', 'is')" for p in ps) + "))" for k, ps in fixed.RISKY_ANCHORS.items())
+
+
+@query(f"WITH {FILTERED} SELECT doc_id, pos::INT AS pos, CASE WHEN context_kind = 'signature' AND kind NOT IN ('signatures', 'parties') AND k NOT IN ('signatures', 'parties') THEN 'signature' WHEN context_kind IN ('opening', 'recitals') AND kind IN ({quote_all(fixed.BUSINESS_TYPES)}) AND k <> 'parties' THEN 'opening' WHEN {ANCHOR} THEN 'anchor' END AS reason FROM gkind")
+def filter_drop_reasons(spark, sf_dir):
+    g = groups_of(spark, sf_dir)
+    return g.select("doc_id", "pos", filters.drop_reason({c: F.col(c) for c in g.columns}).alias("reason"))
+
+
+# ---- coverage ----
+
+WEAK = "CASE WHEN contains(st, 'signature') OR starts_with(st, 'accepted and agreed') OR contains(st, 'print name') THEN TRUE WHEN contains(st, 'recitals') OR starts_with(st, 'whereas') THEN TRUE WHEN title IS NULL AND len(regexp_extract_all(b, '\\S+')) < 220 AND (contains(st, 'agreement') OR contains(st, 'exhibit') OR contains(st, 'by and between') OR contains(st, 'entered into')) THEN TRUE ELSE FALSE END"
+RULE_ROWS = " UNION ALL ".join(
+    f"SELECT doc_id, seg_no, {i} AS rule, sched, {'weak' if coverage.RULE_KEYS[i] in fixed.RISKY_RULES else 'FALSE'} AS risky, {10 if coverage.RULE_KEYS[i] in fixed.HIGH_PRECISION else 25} AS least, "
+    + " + ".join(f"10 * regexp_matches(b, '{p}', 'is')::INT + 25 * regexp_matches(t, '{p}', 'is')::INT" for p in rule[3])
+    + " AS hits FROM sw"
+    for i, rule in enumerate(fixed.RULES)
+)
+SCORES = f"{CHAIN}, sb AS (SELECT *, concat_ws(chr(10), title, parent, text) AS b, coalesce(title, '') || ' ' || coalesce(parent, '') AS t FROM segments), st AS (SELECT *, {START.format(350)} AS st, regexp_matches(b, '\\b(schedule|exhibit|appendix|annex)\\b', 'i') AS sched FROM sb), sw AS (SELECT *, {WEAK} AS weak FROM st), rr AS ({RULE_ROWS}), scores AS (SELECT doc_id, seg_no, rule, hits + 5 * sched::INT - 30 * risky::INT AS score FROM rr WHERE hits > 0 AND hits + 5 * sched::INT - 30 * risky::INT >= least + 30 * risky::INT)"
+
+
+@query(f"WITH {SCORES} SELECT doc_id, seg_no::INT AS seg_no, rule::INT AS rule, score::INT AS score FROM scores")
+def cov_rule_scores(spark, sf_dir):
+    return coverage.rule_scores(segments_of(spark, sf_dir)).select("doc_id", "seg_no", "rule", "score")
+
+
+@query(f"WITH {SCORES} SELECT doc_id, rule::INT AS rule, score::INT AS score, seg_no::INT AS seg_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, rule ORDER BY score DESC, seg_no) AS r FROM scores) WHERE r = 1")
+def cov_best_segment(spark, sf_dir):
+    return coverage.best_segments(coverage.rule_scores(segments_of(spark, sf_dir)))
+
+
+@query("SELECT o_orderkey, least(5, CASE WHEN s <= 18 AND g >= 12 THEN 2 WHEN s <= 35 AND g >= 18 THEN 3 WHEN g < greatest(8, s // 3) THEN 8 ELSE 5 END)::INT AS k FROM (SELECT o_orderkey, o_orderkey % 60 AS s, o_orderkey % 23 AS g FROM orders)")
+def cov_adaptive_k(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", coverage.adaptive_limit(F.col("o_orderkey") % 60, F.col("o_orderkey") % 23, 5).cast("int").alias("k"))
+
+
+@query()
+def cov_added_groups(spark, sf_dir):
+    """Groups that the greedy choice adds to each contract (O2)."""
+    segments = segments_of(spark, sf_dir)
+    none = groups_of(spark, sf_dir).filter("pos <= 2")
+    return coverage.coverage_pass(none, segments, 5).filter("added").select("doc_id", "pos", "representative_keyword", "provision_type", F.col("meta.segment_id").alias("segment_id"))
+
+
+# ---- evidence ----
+
+LABELS = "list_distinct(list_filter(flatten(list_transform(list_concat([name], related), lambda x: regexp_extract_all(lower(x), '[a-z0-9]+'))), lambda t: length(t) > 2 AND t NOT IN (" + quote_all(fixed.KEYWORD_STOPWORDS) + ")))"
+
+
+@query(f"WITH {GROUPS}, tk AS (SELECT *, {LABELS} AS toks FROM groups) SELECT doc_id, pos::INT AS pos, len(toks)::INT AS n_tokens, list_has_any(toks, [{quote_all(fixed.ENTITY_REQUIRED)}]) AS requires_entity FROM tk")
+def ev_entity_gate(spark, sf_dir):
+    tokens = text.keyword_tokens(F.concat(F.array("representative_keyword"), "related_keywords"))
+    return groups_of(spark, sf_dir).select("doc_id", "pos", F.size(tokens).alias("n_tokens"), evidence.requires_entity(tokens).alias("requires_entity"))
+
+
+@query(f"WITH {GROUPS}, tk AS (SELECT *, {LABELS} AS toks FROM groups) SELECT doc_id, pos::INT AS pos, len(list_intersect(toks, regexp_extract_all(lower(context), '[a-z0-9]+')))::INT AS overlap FROM tk")
+def ev_sentence_overlap(spark, sf_dir):
+    tokens = text.keyword_tokens(F.concat(F.array("representative_keyword"), "related_keywords"))
+    return groups_of(spark, sf_dir).select("doc_id", "pos", F.size(F.array_intersect(tokens, text.tokens(F.col("context_text")))).alias("overlap"))
+
+
+@query()
+def ev_best_candidate(spark, sf_dir):
+    rows = evidence.with_local_evidence(groups_of(spark, sf_dir), segments_of(spark, sf_dir))
+    return rows.select("doc_id", "pos", "resolved", F.when(F.col("resolved"), F.col("exact_text")).alias("exact_text"))
+
+
+@query(f"WITH {GROUPS} SELECT doc_id, pos::INT AS pos, 1 AS rank, segment_id FROM groups WHERE pos % 2 = 0 UNION ALL SELECT doc_id, pos::INT, rank::INT, segment_id FROM (SELECT g.doc_id, g.pos, s.segment_id, row_number() OVER (PARTITION BY g.doc_id, g.pos ORDER BY s.seg_no) AS rank FROM groups g JOIN segments s ON s.doc_id = g.doc_id AND s.page = g.page WHERE g.pos % 2 = 1) WHERE rank <= 2")
+def ev_candidate_segments(spark, sf_dir):
+    g = groups_of(spark, sf_dir)
+    odd = F.col("pos") % 2 == 1
+    g = g.withColumn("meta", F.col("meta").withField("id", F.when(~odd, F.col("meta.id"))).withField("segment_id", F.when(~odd, F.col("meta.segment_id"))))
+    return model_io.candidate_segments(g, segments_of(spark, sf_dir), 2).select("doc_id", "pos", "rank", "segment_id")
+
+
+# ---- export ----
+
+
+@query(f"WITH {GROUPS} SELECT doc_id, pos::INT AS pos, name AS representative_keyword, array_to_string(related, '|') AS related, context AS context_text, coalesce(exact, context) AS exact_text, page FROM groups")
+def export_compact(spark, sf_dir):
+    return export.compact_groups(groups_of(spark, sf_dir)).select("doc_id", "pos", "representative_keyword", F.array_join("related_keywords", "|").alias("related"), "context_text", "exact_text", F.col("metadata.page").alias("page"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN props WHEN event_id % 2 = 0 THEN NULL ELSE 'ctx' END AS exact_text FROM events")
+def export_exact_fallback(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    third = F.col("event_id") % 3
+    entry = F.struct(F.lit("c").alias("context_text"), F.when(third == 1, F.col("props")).otherwise("").alias("exact_text"))
+    evidences = F.when((third == 0) | ((third == 2) & (F.col("event_id") % 2 == 1)), F.filter(F.array(entry), lambda _: F.lit(False))).otherwise(F.array(entry))
+    g = {"exact_text": F.when(third == 0, F.col("event_type")).otherwise(""), "context_text": F.lit("ctx"), "evidences": evidences}
+    return e.select("event_id", export.exact_text(g).alias("exact_text"))
+
+
+# ---- evaluation ----
+
+
+@query(f"SELECT a.doc_id, CASE WHEN n + m = 0 THEN 1.0 WHEN n = 0 OR m = 0 THEN 0.0 ELSE 2.0 * s / (n + m) END::DOUBLE AS f1 FROM (SELECT a.doc_id, len({TOKENS.format('a.text')}) AS n, len({TOKENS.format('b.text')}) AS m, len(list_intersect({TOKENS.format('a.text')}, {TOKENS.format('b.text')})) AS s FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) a")
+def eval_token_f1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
+    return docs.join(after, "doc_id").select("doc_id", text.token_f1(F.col("t"), F.col("u")).alias("f1"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 1.0 WHEN l_linenumber % 3 = 1 THEN (l_suppkey % 2 = 0)::INT::DOUBLE ELSE ((l_suppkey % 2 = 0)::INT + (l_returnflag = 'N')::INT) / 2.0 END::DOUBLE AS score FROM lineitem")
+def eval_page_score(spark, sf_dir):
+    third = F.col("l_linenumber") % 3
+    page, truth = F.when(F.col("l_suppkey") % 2 == 0, "7").otherwise("8"), F.when(third > 0, "7")
+    score = evaluate.page_score(page, truth, F.col("l_returnflag"), F.when(third == 2, " n "))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", score.alias("score"))
+
+
+def items_of(spark, sf_dir, kind: str) -> DataFrame:
+    """Predicted and true items of the contracts: predictions lose every fifth group, truths are renamed."""
+    g = groups_of(spark, sf_dir)
+    rows = g.filter("pos % 5 <> 0") if kind == "predicted" else g.filter("pos % 7 <> 0")
+    name = F.col("representative_keyword") if kind == "predicted" else F.concat(F.lit("The "), F.col("representative_keyword"))
+    own = name if kind == "predicted" else F.concat(name, F.lit("s"))
+    return rows.select(F.col("doc_id").alias("eval_id"), F.col("pos").alias("idx"), F.lit(kind).alias("source_kind"), own.alias("representative_keyword"), F.col("related_keywords").alias("grouped_keywords"), text.aliases(F.array(own)).alias("aliases"), text.keyword_key(own).alias("normalized_key"), "context_text", F.col("context_text").alias("exact_information"), F.col("meta.page").cast("string").alias("page"), F.col("meta.source").alias("source"), F.col("meta.segment_id").alias("id"))
+
+
+@query()
+def eval_summary(spark, sf_dir):
+    return evaluate.compare(items_of(spark, sf_dir, "predicted"), items_of(spark, sf_dir, "truth"))["summary"]
+
+
+@query(f"WITH {GROUPS}, a AS (SELECT doc_id, pos, {key_sql('name')} AS k FROM groups WHERE pos % 5 <> 0), b AS (SELECT doc_id, pos, {key_sql('name')} AS k FROM groups WHERE pos % 7 <> 0) SELECT doc_id AS eval_id, pos::INT AS idx, k AS normalized_key FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = b.doc_id AND a.pos = b.pos)")
+def eval_missing(spark, sf_dir):
+    g = groups_of(spark, sf_dir).select(F.col("doc_id").alias("eval_id"), F.col("pos").alias("idx"), text.keyword_key(F.col("representative_keyword")).alias("normalized_key"))
+    matches = g.filter("idx % 5 <> 0").select("eval_id", F.col("idx").alias("truth_index"))
+    return evaluate.unmatched(g.filter("idx % 7 <> 0"), matches, "truth_index")
+
+
+
+
+def reports_of(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    accuracy = F.when(F.col("o_orderkey") % 13 > 0, (F.col("o_orderkey") % 101).cast("double"))
+    return o.select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("doc"), F.col("o_orderkey").cast("string")).alias("document_name"), F.floor("o_totalprice").cast("double").alias("processing_time_seconds"), accuracy.alias("overall_accuracy_percent"), ((F.col("o_orderkey") % 5) / 4).alias("precision"), ((F.col("o_orderkey") % 3) / 2).alias("recall"), F.lit(0.5).alias("f1"), (F.col("o_orderkey") % 9).alias("expected_items"), (F.col("o_orderkey") % 8).alias("predicted_items"), (F.col("o_orderkey") % 7).alias("matched_items"), (F.col("o_orderkey") % 2).alias("missing_items"), F.lit(1).alias("extra_items"))
+
+
+@query("SELECT count(*)::BIGINT AS files_evaluated, round(avg(CASE WHEN o_orderkey % 13 > 0 THEN (o_orderkey % 101)::DOUBLE ELSE 0 END), 2) AS average_overall_accuracy_percent, round(avg(floor(o_totalprice)), 2) AS average_processing_time_seconds, round(avg((o_orderkey % 5) / 4.0::DOUBLE * 100), 2) AS average_precision_percent, round(avg((o_orderkey % 3) / 2.0::DOUBLE * 100), 2) AS average_recall_percent, 50.0::DOUBLE AS average_f1_percent, sum(o_orderkey % 9)::BIGINT AS expected_items, sum(o_orderkey % 8)::BIGINT AS predicted_items, sum(o_orderkey % 7)::BIGINT AS matched_items, sum(o_orderkey % 2)::BIGINT AS missing_items, count(*)::BIGINT AS extra_items FROM orders")
+def report_aggregate(spark, sf_dir):
+    return evaluate.aggregate_reports(reports_of(spark, sf_dir))
+
+
+@query("WITH r AS (SELECT o_orderkey AS ord, 'doc' || o_orderkey AS d, floor(o_totalprice) AS s, (o_orderkey % 101)::DOUBLE AS a FROM orders WHERE o_orderkey % 13 > 0) SELECT (SELECT d FROM r ORDER BY a DESC, ord LIMIT 1) AS best, (SELECT d FROM r ORDER BY a, ord LIMIT 1) AS worst, (SELECT d FROM r ORDER BY s, ord LIMIT 1) AS fastest, (SELECT d FROM r ORDER BY s DESC, ord LIMIT 1) AS slowest")
+def report_highlights(spark, sf_dir):
+    return evaluate.highlights(reports_of(spark, sf_dir).filter("overall_accuracy_percent is not null"))
+
+
+@query("SELECT number, filename FROM (SELECT (o_custkey)::VARCHAR AS number, o_custkey || '_' || o_orderkey || '_result.json' AS filename, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_custkey || '_' || o_orderkey || '_result.json' DESC) AS r FROM orders) WHERE r = 1")
+def newest_result(spark, sf_dir):
+    files = table(spark, sf_dir, "orders").select(F.concat_ws("_", "o_custkey", "o_orderkey", F.lit("result.json")).alias("filename"), F.col("o_orderdate").alias("modified"))
+    return documents.newest_results(files)
+
+
+# ---- jobs ----
+
+STATES = "CASE WHEN o_orderstatus = 'F' THEN 'success' WHEN o_orderkey % 4 = 0 THEN 'failed' WHEN o_orderkey % 4 = 1 THEN 'cached' WHEN o_orderkey % 4 = 2 THEN 'success' WHEN o_custkey % 2 = 0 THEN 'processing' ELSE 'queued' END"
+
+
+@query(f"WITH j AS (SELECT o_custkey AS batch_id, {STATES} AS s FROM orders), c AS (SELECT batch_id, count_if(s = 'queued')::BIGINT AS queued_count, count_if(s = 'processing')::BIGINT AS processing_count, count_if(s = 'success')::BIGINT AS succeeded_count, count_if(s = 'failed')::BIGINT AS failed_count, count_if(s = 'cached')::BIGINT AS cached_count, count(*) AS n FROM j GROUP BY 1) SELECT * EXCLUDE n, CASE WHEN succeeded_count + failed_count + cached_count = n THEN CASE WHEN failed_count = n THEN 'failed' ELSE 'completed' END WHEN processing_count > 0 THEN 'processing' ELSE 'queued' END AS status FROM c")
+def batch_status_rollup(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch_id"), F.expr(STATES).alias("status"))
+    counts = jobs.status_counts(rows)
+    total = F.col("queued_count") + F.col("processing_count") + F.col("succeeded_count") + F.col("failed_count") + F.col("cached_count")
+    return jobs.rollup_status(counts, total)
+
+
+def cache_of(spark, sf_dir, new: bool) -> DataFrame:
+    o = table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0" if new else "o_orderkey % 2 = 0")
+    mark = "new" if new else "old"
+    return o.select(F.concat(F.lit("h"), F.col("o_orderkey").cast("string")).alias("file_hash"), F.lit("c").alias("config_hash"), F.concat(F.lit(f"{mark}-"), F.col("o_orderkey").cast("string")).alias("output_path"), F.lit(mark).alias("created_at"), F.lit(mark).alias("updated_at"))
+
+
+@query("SELECT 'h' || o_orderkey AS file_hash, 'c' AS config_hash, CASE WHEN o_orderkey % 3 <> 0 THEN 'new-' ELSE 'old-' END || o_orderkey AS output_path, CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE 'new' END AS created_at, CASE WHEN o_orderkey % 3 <> 0 THEN 'new' ELSE 'old' END AS updated_at FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+def cache_upsert(spark, sf_dir):
+    return jobs.upsert_cache(cache_of(spark, sf_dir, False), cache_of(spark, sf_dir, True))
+
+
+@query("SELECT 'h' || o_orderkey AS file_hash, 'c' AS config_hash, CASE WHEN o_orderkey % 2 = 0 THEN 'old-' || o_orderkey END AS cached_output FROM orders WHERE o_orderkey % 3 <> 0")
+def cache_probe(spark, sf_dir):
+    wanted = cache_of(spark, sf_dir, True).select("file_hash", "config_hash")
+    return jobs.probe_cache(wanted, cache_of(spark, sf_dir, False))
+
+
+@query("SELECT upload_id, filename, CASE WHEN n = 0 THEN filename ELSE replace(filename, '.txt', '_' || n || '.txt') END AS stored_as FROM (SELECT o_orderkey AS upload_id, 'file' || o_custkey || '.txt' AS filename, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)")
+def upload_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("upload_id"), F.concat(F.lit("file"), F.col("o_custkey").cast("string"), F.lit(".txt")).alias("filename"))
+    return documents.free_names(rows)
+
+
+@query("SELECT conv_id, count(*)::INT AS n_turns, string_agg(role, '>' ORDER BY turn, role) AS roles FROM conversations GROUP BY conv_id")
+def conversation_order(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("ts"))
+    return rows.select("conv_id", F.size("ts").alias("n_turns"), F.array_join(F.col("ts.role"), ">").alias("roles"))
