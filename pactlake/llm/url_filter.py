@@ -24,8 +24,8 @@ SOFT = ("adult", "sex", "nude", "casino", "poker", "betting", "gambling", "viagr
 RULES = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
-    ("allow", "example.net", "/de/8"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
 
