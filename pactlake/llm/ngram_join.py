@@ -31,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlake.llm.bytewise import mixed, slices, word_hashes
-from pactlake.llm.common import row_key, written
+from pactlake.llm.common import bounded_broadcast, row_key, written
 from pactlake.llm.components import components
 
 WIDTH, PERCENT, CELL_BITS, ROUNDS = 3, 90, 20, 3
 _LONGS = 8
+#: Rows of keys up to which they are sent to all executors.
+MOST_BROADCAST = 1_000_000
 _BLOCK = 1024
 
 
@@ -119,10 +121,11 @@ def classes_of(docs: DataFrame, width: int, percent: int, bits: int) -> tuple[Da
 
 def postings_of(classes: DataFrame) -> DataFrame:
     """(token, pos, n, cid, parity) of the prefix shingles that more than one class holds, by way of groups with equal prefix and size."""
-    grouped = classes.select("cid", "n", "prefix", "parity", F.struct("n", F.xxhash64("prefix"), F.hash("prefix")).alias("gid"))
+    grouped = classes.select("cid", "n", "prefix", "parity", F.xxhash64("prefix", "n").alias("gid"))
     groups = grouped.groupBy("gid").agg(F.first("prefix").alias("prefix"), F.count("*").alias("size"))
     entries = groups.select("gid", "size", F.posexplode("prefix").alias("pos", "token"))
     shared = entries.groupBy("token").agg(F.sum("size").alias("holders")).filter("holders > 1").select("token")
+    shared = bounded_broadcast(written(shared, "join-shared"), 2 * MOST_BROADCAST)
     entries = entries.join(shared, "token").select("gid", "token", "pos")
     members = grouped.select("gid", "n", "cid", "parity")
     return entries.join(members, "gid").select("token", "pos", "n", "cid", "parity")
@@ -135,35 +138,31 @@ def may_link(n: Column, pos: Column, x: Column, m: Column, at: Column, y: Column
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - pos, m - at) >= need) & (differ <= n + m - 2 * need)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cid, shingles) for the wanted classes (cid, key): their first member's text is hashed again."""
-    texts = docs.join(wanted.select("key"), "key", "left_semi").select("text", "key")
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(shingle_sets(batch.column(0), width))
-            yield pa.RecordBatch.from_pydict({"cid": pa.array([signature(s) for s in found], pa.binary()), "shingles": pa.array([s.tobytes() for s in found], pa.binary())})
-
-    return texts.mapInArrow(build, "cid binary, shingles binary").dropDuplicates(["cid"])
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, text) of one row of each wanted class (cid, key); texts compress, sets of hashes do not."""
+    keys = bounded_broadcast(written(wanted.select("key", "cid"), "join-wanted"), MOST_BROADCAST)
+    return docs.select("key", "text").join(keys, "key").select("cid", "text").dropDuplicates(["cid"])
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with `both`, the size of the intersection, and the sizes n, m."""
-    left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """pairs (a, b) with `both`, the size of the intersection, and the sizes n, m of their sets."""
+    left = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
+    met = left.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, t = None, None
         for batch in batches:
             out, n, m = [], [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for b, s, i in zip(batch.column(1).to_pylist(), shingle_sets(batch.column(2), width), range(batch.num_rows), strict=True):
+                if b != last:  # pairs of a pivot come together
+                    last, t = b, next(shingle_sets(batch.column(3).slice(i, 1), width))
                 merged = np.sort(np.concatenate((s, t)), kind="stable")
                 out.append(int((merged[1:] == merged[:-1]).sum()))
                 n.append(len(s))
                 m.append(len(t))
             yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), "both": pa.array(out, pa.int64()), "n": pa.array(n, pa.int64()), "m": pa.array(m, pa.int64())})
 
-    return both.mapInArrow(count, "a binary, b binary, both bigint, n bigint, m bigint")
+    return met.mapInArrow(count, "a binary, b binary, both bigint, n bigint, m bigint")
 
 
 def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: int = CELL_BITS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,7 +170,14 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: in
     base = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     members, classes = classes_of(base, width, percent, bits)
     postings = written(postings_of(classes), "join-postings")
-    sets = written(sets_of(base, classes.join(postings.select("cid").distinct(), "cid", "left_semi"), width), "join-sets")
+
+    def test(pairs: DataFrame) -> DataFrame:
+        """Sizes and overlaps of pairs; only their classes' texts are fetched."""
+        pairs = written(pairs, "join-pairs")
+        held = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        texts = written(texts_of(base, classes.select("cid", "key").join(held, "cid", "left_semi")), "join-texts")
+        return written(overlaps(pairs, texts, width), "join-tested")
+
     links = comp = None
     for turn in range(rounds):
         current = postings if comp is None else postings.join(comp, F.col("cid") == F.col("id"), "left").drop("id")
@@ -182,12 +188,11 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: in
         elected = current.groupBy("token").agg(F.min(F.struct(rank.alias("r"), "cid", "n", "pos", "comp", "parity")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         elected = elected.filter("lo <> hi").select("token", F.col("p.cid").alias("b"), F.col("p.n").alias("m"), F.col("p.pos").alias("at"), F.col("p.comp").alias("bcomp"), F.col("p.parity").alias("y"))
         pairs = current.withColumnRenamed("parity", "x").join(elected, "token").filter((F.col("comp") != F.col("bcomp")) & may_link(F.col("n"), F.col("pos"), F.col("x"), F.col("m"), F.col("at"), F.col("y"), percent))
-        tested = written(overlaps(pairs.select(F.col("cid").alias("a"), "b").distinct(), sets), "join-tested")
+        tested = test(pairs.select(F.col("cid").alias("a"), "b").distinct())
         good = tested.filter(F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent).select("a", "b")
         links = good if links is None else links.unionByName(good)
         comp = components(links)
-    rest = written(unresolved(postings, comp, percent), "join-rest")
-    tested = overlaps(rest, sets)
+    tested = test(unresolved(postings, comp, percent))
     links = links.unionByName(tested.filter(F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent).select("a", "b"))
     comp = components(links)
     named = members.join(comp.withColumnRenamed("id", "cid"), "cid", "left")
@@ -213,10 +218,8 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     return joined.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, most_broadcast: int = 1_000_000) -> DataFrame:
+def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """One row of each component, the one with the smallest doc_id; rows without shingles all stay."""
-    from pactlake.llm.common import bounded_broadcast
-
     rows = linked(docs, width, percent)
     kept = rows.filter("n > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("k")).select("comp", F.col("k.key").alias("kept"))
     dropped = written(rows.join(kept, "comp").filter("key <> kept").select("key").distinct(), "join-dropped")
