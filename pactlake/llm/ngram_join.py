@@ -4,7 +4,7 @@ A document's set holds its distinct shingles of `width` words (A-Z folded); a te
 shingle, its whole sequence. Two documents link when 100 * |intersection| >= `percent` * |union|.
 
 Documents with equal sets form one class. Shingles are ordered by how often they occur in the corpus, rarest
-first (counts in 2**20 hash cells, ties by hash: any order common to all documents keeps the filter exact).
+first (counts in 2**22 hash cells, ties by hash: any order common to all documents keeps the filter exact).
 Linked sets share a shingle in their prefixes, the first n - ceil(percent * n / 100) + 1 shingles. Classes
 with the same prefix and size are collapsed into one group; group pairs that share a prefix shingle and pass
 the length and positional filters are expanded to classes and verified on the whole sets.
@@ -34,7 +34,7 @@ from pactlake.llm.bytewise import mixed, slices, word_hashes
 from pactlake.llm.common import bounded_broadcast, row_key, written
 from pactlake.llm.components import components
 
-WIDTH, PERCENT, CELL_BITS, ROUNDS = 3, 90, 20, 3
+WIDTH, PERCENT, CELL_BITS, ROUNDS = 3, 90, 22, 3
 _LONGS = 8
 #: Rows of keys up to which they are sent to all executors.
 MOST_BROADCAST = 1_000_000
@@ -68,22 +68,22 @@ def cell_counts(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     cells = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+        total = np.zeros(cells, np.int32)
         for batch in batches:
             for s in shingle_sets(batch.column(0), width):
                 np.add.at(total, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
         blocks = [i for i in range(0, cells, _BLOCK) if total[i : i + _BLOCK].any()]
-        yield pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int32()), "counts": pa.array([total[i : i + _BLOCK] for i in blocks], pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int32()), "counts": pa.array([total[i : i + _BLOCK] for i in blocks], pa.list_(pa.int32()))})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             counts = batch.column(1)
             for i, block in enumerate(batch.column(0).to_pylist()):
-                sums[block] = sums.get(block, 0) + counts[i].values.to_numpy()
+                sums[block] = sums.get(block, 0) + counts[i].values.to_numpy().astype(np.int64)
         yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "counts": pa.array(list(sums.values()), pa.list_(pa.int64()))})
 
-    parts = docs.mapInArrow(count, "block int, counts array<bigint>").repartition("block")
+    parts = docs.mapInArrow(count, "block int, counts array<int>").repartition("block")
     out = np.zeros(cells, np.int64)
     for row in written(parts.mapInArrow(add, "block int, counts array<bigint>"), "join-cells").toLocalIterator():
         out[row["block"] : row["block"] + _BLOCK] += np.array(row["counts"])
@@ -97,7 +97,7 @@ def prefix_length(n: Column, percent: int) -> Column:
 def classes_of(docs: DataFrame, width: int, percent: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, key, n, cid), (classes: cid, doc_id, n, prefix): written tables."""
     source = docs.select("text", "doc_id", "key")
-    frequency = docs.sparkSession.sparkContext.broadcast(cell_counts(source.select("text"), width, bits).astype(np.uint32))  # 4 MB
+    frequency = docs.sparkSession.sparkContext.broadcast(cell_counts(source.select("text"), width, bits).astype(np.uint32))  # 4 bytes a cell, 16 MB
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = frequency.value
