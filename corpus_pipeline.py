@@ -18,6 +18,8 @@ from pactlake.llm.sharding import shard_by_bytes
 
 #: A document of which no language covers this share is rejected.
 LEAST_SHARE = 0.3
+#: Near copies: words of a shingle, and the least Jaccard similarity in percent (op10_ngram_join has its own).
+COPY_WIDTH, COPY_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id."""
-    return keep_first(docs)
+    return keep_first(docs, width=COPY_WIDTH, percent=COPY_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,32 @@ def test_pipeline(spark, tmp_path):
     assert 1 <= copies <= 3 and [n for n, _ in corpus_pipeline.STAGES][0] == "language_id"
 
 
+def test_near_copies_stage(spark):
+    """Five words and 0.8: brute force of its own, with pairs that 3 words and 0.9 leave apart."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    make = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    rows = []
+    for k in range(12):
+        base = make(150)
+        at = rng.randrange(20, 130)
+        rows += [base, base[:at] + make(5 + 3 * k) + base[at:], [w if i % 75 else f"e{k}" for i, w in enumerate(base)]]
+    rows += [make(30), make(3), []]
+    texts = {i: " ".join(w) for i, w in enumerate(rows)}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in enumerate(rows)}
+    comp = {i: i for i in texts}
+    for i in texts:
+        for j in range(i):
+            if sets[i] and sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                comp = {k: min(comp[i], comp[j]) if c in (comp[i], comp[j]) else c for k, c in comp.items()}
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert kept == {i for i, c in comp.items() if i == c} and 15 < len(kept) < 30
+
+
 def test_queries_are_registered():
     from pactlake.llm import queries
 
