@@ -73,6 +73,32 @@ def test_lm_score(spark, docs):
     assert lm_score.score(empty(spark)).count() == 0
 
 
+def test_lm_score_words(spark, docs):
+    """Words in place of bytes, whole counts, own counts left out; shuffled words score below fluent ones."""
+    found = [(r["doc_id"], r["n_grams"], r["log_score"]) for r in lm_score.score_words(docs, bucket_bytes=20_000, part_bytes=30_000).collect()]
+    data = [(i, re.findall(r"[^ \t-\r]+", lower(t or ""))) for i, t in rows_of(docs)]
+    grams = lambda w, k: Counter(tuple(w[j - k + 1 : j + 1]) for j in range(k - 1, len(w)))
+    all_of = {k: sum((grams(w, k) for _, w in data), Counter()) for k in (1, 2, 3)}
+    size, want = sum(len(w) for _, w in data), []
+    for i, w in data:
+        own = {k: grams(w, k) for k in (1, 2, 3)}
+        c = lambda *g, own=own: all_of[len(g)][g] - own[len(g)][g]
+        rest, total = max(size - len(w), 1), 0.0
+        for j in range(len(w)):
+            top = min(j + 1, 3)
+            k = next((k for k in range(top, 0, -1) if c(*w[j - k + 1 : j + 1]) > 0), 0)
+            value = c(*w[j - k + 1 : j + 1]) / (c(*w[j - k + 1 : j]) if k > 1 else rest) if k else 1 / rest
+            total += math.log(value * 0.4 ** (top - k))
+        want.append((i, len(w), total))
+    by = lambda rows: sorted((str(a), b, round(c, 4)) for a, b, c in rows)
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 for a, b in zip(by(found), by(want), strict=True))
+    assert lm_score.score_words(empty(spark)).count() == 0
+    fluent = "the quick brown fox jumps over the lazy dog and runs far away".split()
+    texts = [" ".join(fluent)] * 3 + [" ".join(reversed(fluent))]
+    own = {r["doc_id"]: r["log_score"] for r in lm_score.score_words(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOC)).collect()}
+    assert own[0] == own[1] == own[2] > own[3] + 10
+
+
 def test_language_id(spark):
     rng = random.Random(1)
     make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
