@@ -1,14 +1,17 @@
 """Contract operators on hand-written rows."""
 
 import json
+import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from pactlake.operators import coverage, evaluate, evidence, export, filters, jobs, merge, model_io, segment
-from pactlake.plans import config
+from pactlake.plans import catalog, config
 from pactlake.sources import documents
 
+SMALL = "/root/testdata/sf0.001"
 SEGMENT = "doc_id string, seg_no int, segment_id string, text string, title string, page int, source string, parent_section_title string, token_count int, chunk_index int, chunk_total int, is_continuation boolean"
 
 
@@ -147,6 +150,26 @@ def test_evaluation(spark):
     assert item["representative_keyword"] == "Fees" and "rate" in item["aliases"] and item["context_text"] == "t"
 
 
+def test_highlights_count_nulls_as_zero(spark):
+    rows = [(1, "a", 50.0, 3.0), (2, "b", None, None), (3, "c", 0.0, 9.0), (4, "d", 90.0, 0.5)]
+    reports = spark.createDataFrame(rows, "ord bigint, document_name string, overall_accuracy_percent double, processing_time_seconds double")
+    assert evaluate.highlights(reports).first().asDict() == {"best": "d", "worst": "b", "fastest": "b", "slowest": "c"}
+    none = evaluate.highlights(reports.filter("document_name = 'b'")).first().asDict()
+    assert set(none.values()) == {"b"} and set(evaluate.highlights(reports.limit(0)).first()) == {None}
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
+def test_queries_read_whole_tables(spark):
+    """report_highlights keeps reports without accuracy, cov_added_groups keeps the groups of all segments."""
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet").select("o_orderkey", "o_totalprice").collect()
+    rows = sorted((k, float(k % 101) if k % 13 else 0.0, float(math.floor(x))) for k, x in orders)
+    want = {"best": max(rows, key=lambda r: r[1]), "worst": min(rows, key=lambda r: r[1]), "fastest": min(rows, key=lambda r: r[2]), "slowest": max(rows, key=lambda r: r[2])}
+    assert catalog.report_highlights(spark, SMALL).first().asDict() == {k: f"doc{r[0]}" for k, r in want.items()}
+    held = {(r["doc_id"], k) for r in catalog.groups_of(spark, SMALL).collect() for k in [r["representative_keyword"]]}
+    added = {(r["doc_id"], r["representative_keyword"]) for r in catalog.cov_added_groups(spark, SMALL).collect()}
+    assert added and not added & held
+
+
 def test_jobs(spark):
     batch, rows = jobs.create_batch(spark, "b", [(f"f{i}", "p", f"h{i}") for i in range(3)], "c", "t0")
     states = rows.withColumn("status", F.when(F.col("id") == "b-0", "failed").otherwise("success"))
