@@ -170,6 +170,19 @@ def test_queries_read_whole_tables(spark):
     assert added and not added & held
 
 
+def test_contracts_hold_all_items(spark, tmp_path):
+    """A hot order keeps all its line items, ahead of the footer of the page."""
+    spark.sql("SELECT 1L AS o_orderkey, 7.0D AS o_totalprice, DATE'2020-01-02' AS o_orderdate, 1L AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT 1L AS c_custkey, 'C' AS c_name, 1L AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT 1L AS n_nationkey, 'N' AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.sql("SELECT 1L AS l_orderkey, id AS l_partkey, 1L AS l_suppkey, 1 AS l_linenumber, 2.0D AS l_quantity, 3.0D AS l_extendedprice FROM range(500)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    lines = [(r["page"], r["text"]) for r in sorted(catalog.lines_of(spark, str(tmp_path)).collect(), key=lambda r: r["line_no"])]
+    items = [i for i, (_, t) in enumerate(lines) if " Part " in t]
+    assert [lines[i][1].split(" ")[2] for i in items] == [str(i) for i in range(500)]
+    first = [t for p, t in lines if p == 1]
+    assert first[-2:] == ["Confidential draft 1", "1"] and items == list(range(items[0], items[0] + 500))
+
+
 def test_jobs(spark):
     batch, rows = jobs.create_batch(spark, "b", [(f"f{i}", "p", f"h{i}") for i in range(3)], "c", "t0")
     states = rows.withColumn("status", F.when(F.col("id") == "b-0", "failed").otherwise("success"))
