@@ -1,6 +1,6 @@
 """License scans: phrase labels plus an exact set-similarity join of text blocks with license templates.
 
-A block is a line. Block and template are sets of words; a block matches a template if it holds at least
+A block is a line, or a stretch of words across lines (see below). Block and template are sets of words; a block matches a template if it holds at least
 `threshold` of the template's words. Template words are ordered by their frequency in the whole corpus,
 rarest first. A match must then share a word with the template's prefix (all but the last required - 1
 words), hold enough template words (length filter), and have enough words left after the shared one on
@@ -8,6 +8,11 @@ both sides (positional filter). Survivors are verified by the exact intersection
 template can't add to an intersection, so block sets are kept to template words; the frequency table and
 the prefix index hold at most the templates' words and are the only broadcast data.
 
+A template that wraps over lines is found in stretches: around each word of the template's prefix, REACH times
+the template's length to either side, whatever line breaks or blank lines lie within. Only rows of several
+lines that hold `required` words of the template anywhere are looked at, and stretches are verified by the
+same exact intersection.
+
 Null text counts as empty: no words, no labels, null first_word and last_word, score 0. Repeated rows get
 the same result each. An empty table gives no rows. Other input columns are ignored.
 """
@@ -35,6 +40,8 @@ TEMPLATES = {
     "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
 }
 THRESHOLD = 0.9
+#: Words to either side of a prefix word, as a multiple of the template's length: room for comment marks and names between.
+REACH = 2
 
 
 def templates_of(templates: dict[str, list[str]]) -> list[tuple[int, str, list[str]]]:
@@ -76,6 +83,36 @@ def match_blocks(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, t
     return found.groupBy("_key", "block", "template").agg(F.first("label").alias("label"), F.max("containment").alias("containment"))
 
 
+def shared_around(prefix: list[str], template: list[str], reach: int) -> Column:
+    """The most template words in a stretch of `reach` words to either side of a prefix word, in the column `words`."""
+    own = F.array(*[F.lit(w) for w in template])
+    spots = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda at: F.get("words", at).isin(prefix))
+    return F.array_max(F.transform(spots, lambda at: F.size(F.array_intersect(F.slice("words", F.greatest(at - reach + 1, F.lit(1)), F.lit(2 * reach + 1)), own))))
+
+
+def match_wrapped(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every (row, template) that a stretch of words across lines holds by at least the threshold: _key, label, containment."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lengths = [len(re.findall(WORD, block)) for found in templates.values() for block in found]
+    blocks = templates_of(templates)
+    vocabulary = sorted({w for _, _, words in blocks for w in words})
+    rows = docs.filter(F.contains(text, F.lit("\n"))).select(row_key(F.col(id_col), F.col(text_col)).alias("_key"), text.alias("_text"))
+    rows = once(rows, words=words_of(F.col("_text"))).select("_key", "words")
+    rows = once(rows, have=F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary))))
+    strings = lambda ws: F.array(*[F.lit(w) for w in ws])
+    holds = [F.size(F.array_intersect("have", strings(words))) >= required(len(words), threshold) for _, _, words in blocks]
+    rows = rows.withColumn("could", F.array_compact(F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(holds)]))).filter(F.size("could") > 0)
+    # a match holds a word of any len(words) - required + 1 of the template's: the longest are the rarest
+    best = []
+    for i, label, words in blocks:
+        need, reach = required(len(words), threshold), REACH * lengths[i]
+        prefix = sorted(words, key=lambda w: (-len(w), w))[: len(words) - need + 1]
+        most = shared_around(prefix, words, reach)
+        best.append(F.when(F.array_contains("could", i), F.struct(F.lit(label).alias("label"), most.alias("shared"), F.lit(need).alias("need"), F.lit(len(words)).alias("n"))))
+    found = rows.select("_key", F.inline(F.array_compact(F.array(*best)))).filter("shared >= need")
+    return found.groupBy("_key", "label").agg(F.max(F.col("shared") / F.col("n")).alias("containment"))
+
+
 def starts_of(words: Column, phrase: str) -> Column:
     """Positions at which the phrase's words stand consecutively."""
     parts = phrase.split(" ")
@@ -94,7 +131,8 @@ def starts_of(words: Column, phrase: str) -> Column:
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Labels of every row. score: the best containment of a matched block, 1 where a phrase stands, else 0."""
-    matched = written(match_blocks(docs, templates, threshold, id_col, text_col), "license-blocks")
+    lines = match_blocks(docs, templates, threshold, id_col, text_col).select("_key", "label", "containment")
+    matched = written(lines.unionByName(match_wrapped(docs, templates, threshold, id_col, text_col)), "license-blocks")
     matched = matched.groupBy("_key").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     keyed = docs.select(F.col(id_col), row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
     df = once(keyed, words=words_of(F.col("_text"))).select(id_col, "_key", "words")

@@ -126,6 +126,28 @@ def test_license_scan(spark, docs):
     assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
+def test_license_headers_wrap(spark):
+    """Templates wrapped at 70 columns, as plain text and as comments with blank lines between; scattered words are none."""
+    import textwrap
+
+    rng = random.Random(4)
+    rows, want = [], {}
+    for label, blocks in license_scan.TEMPLATES.items():
+        for block in blocks:
+            filler = " ".join(f"f{rng.randrange(99)}" for _ in range(rng.randint(8, 13)))
+            lines = textwrap.wrap(f"{filler} {block} {filler}", 70)
+            cut = block.split(" ")
+            for text in ("\n".join(lines), "\n".join(f"# {x}\n#" for x in lines), "\r\n".join(f"rem {x}" for x in lines), "x y\n" + "\n".join(cut)):
+                want[len(rows)] = label
+                rows.append((len(rows), text, None, None, 0))
+            want[len(rows)] = None
+            rows.append((len(rows), ("\n" + "z " * 99 + "\n").join(cut), None, None, 0))
+    rows += [(None, "\n\n", None, None, 0), (None, None, None, None, 0)]
+    found = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, DOC)).collect()}
+    for i, label in want.items():
+        assert (label in found[i]["labels"].split(",") and found[i]["score"] == 1.0) if label else not found[i]["labels"], (i, label)
+
+
 def test_block_matches_equal_brute_force(spark):
     rng = random.Random(3)
     templates = {"a": ["t1 t2 t3 t4 t5 t6 t7 t8 t9 t10"], "b": ["t3 t4 u1 u2 u3"]}
