@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+#: Bytes up to which a side of a join is sent to all executors.
+MOST_BROADCAST = 16 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: spark.checkpoint.dir, or where it is unset a temporary one (local runs only)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,6 +35,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of written tables that nothing will read again."""
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (names are compared without case, as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, all else as it is."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
@@ -53,6 +75,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast df if it has at most so many rows; else leave the join to shuffle."""
+def bounded_broadcast(df: DataFrame, row_bytes: int, most: int = MOST_BROADCAST) -> DataFrame:
+    """Broadcast df (rows of at most about row_bytes) if it fits into `most` bytes; else leave the join to shuffle."""
+    rows = max(1, most // row_bytes)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

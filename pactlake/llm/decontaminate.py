@@ -57,14 +57,14 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram:
     jobs = [(gram, window, items.filter(F.size("iw") >= window))] + [(n, n, items.filter(F.size("iw") == n)) for n in sorted(short)]
     found = []
     for n, least, side in jobs:
-        probes = bounded_broadcast(written(fingerprints(side, "iw", n, n == least).distinct(), "leak-prints"), BROADCAST_ROWS)
+        probes = bounded_broadcast(written(fingerprints(side, "iw", n, n == least).distinct(), "leak-prints"), 120)
         # the few rows that share a fingerprint, with each shared one's places
         shared = fingerprints(tokens, "dw", n, n == least, "_key").join(probes, "fp").distinct()
         places = written(side.select("item_id", F.col("iw"), F.posexplode(grams(F.col("iw"), n)).alias("ip", "fp")), "leak-places")
         hits = written(shared.groupBy("_key").agg(F.collect_set("fp").alias("fps")), "leak-shared")
         held = tokens.join(hits, "_key").dropDuplicates(["_key"])
         at = once(held, hs=grams(F.col("dw"), n)).select("_key", "dw", F.posexplode("hs").alias("dp", "fp"), "fps").filter(F.array_contains("fps", F.col("fp")))
-        seeds = at.join(bounded_broadcast(places, BROADCAST_ROWS // 10), "fp")
+        seeds = at.join(bounded_broadcast(places, 2000), "fp")
         reach = F.greatest(F.lit(0), F.col("ip") - F.col("dp"))  # item words before the row's start
         offset = F.greatest(F.lit(0), F.col("dp") - F.col("ip"))
         diagonals = seeds.select("_key", "item_id", (F.col("dp") - F.col("ip")).alias("diagonal"), F.slice("dw", offset + 1, F.size("iw")).alias("dw"), F.slice("iw", reach + 1, F.size("iw")).alias("iw"), offset.alias("offset"))
@@ -98,7 +98,7 @@ def decontaminate_rows(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """The rows without a hit, with all their columns."""
     dirty = written(find_hits(docs, benchmark, window, gram, id_col, text_col).select("_key").distinct(), "leak-rows")
     keyed = docs.withColumn("_key", row_key(F.col(id_col), F.col(text_col)))
-    return keyed.join(bounded_broadcast(dirty, BROADCAST_ROWS), "_key", "left_anti").drop("_key")
+    return keyed.join(bounded_broadcast(dirty, 120), "_key", "left_anti").drop("_key")
 
 
 def oracle() -> str:

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pactlake.llm.common import bounded_broadcast, once, written
 
 MAX_REPEATS, STEPS, CELLS, SEED = 2.0, 50, 1024, "mix-1"
-#: Sources up to which their few columns are sent to all executors.
-SOURCES = 100_000
+#: Bytes of a row of a source's few columns in memory, at most about (longer names make no table wrong, only larger).
+_ROW_BYTES = 400
 
 
 def token_count(text: Column) -> Column:
@@ -102,11 +102,11 @@ def mix(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy
     edges = running.filter((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("t") > F.col("_rest"))).select("_source", "_cell", "_before", "_rest")
     edges = written(edges.filter("_rest > 0"), "mix-edges")
     upto = F.col("_before") + F.sum("_tokens").over(Window.partitionBy("_source", "_cell").orderBy("_place", "_tokens"))
-    inside = narrow.join(bounded_broadcast(edges, SOURCES), ["_source", "_cell"]).withColumn("_upto", upto).filter("_upto <= _rest")
+    inside = narrow.join(bounded_broadcast(edges, _ROW_BYTES), ["_source", "_cell"]).withColumn("_upto", upto).filter("_upto <= _rest")
     last = inside.groupBy("_source").agg(F.max(F.struct("_place", "_tokens")).alias("_last"))
     cuts = weights.join(edges.select("_source", F.col("_cell").alias("_edge")), "_source", "left").join(last, "_source", "left")
     cuts = written(cuts.select("_source", F.col("exponent").alias("_exponent"), F.col("weight").alias("_weight"), "_full", "_edge", "_last"), "mix-cuts")
-    joined = base.join(bounded_broadcast(cuts, SOURCES), "_source", "left")
+    joined = base.join(bounded_broadcast(cuts, _ROW_BYTES), "_source", "left")
     more = (F.col("_cell") < F.col("_edge")) | ((F.col("_cell") == F.col("_edge")) & (F.struct("_place", "_tokens") <= F.col("_last")))
     copies = F.col("_full") + F.coalesce(more, F.lit(False)).cast("long")
     return joined.withColumn("_copies", copies).drop("_source", "_cell", "_full", "_edge", "_last")

@@ -3,22 +3,29 @@
 A document's set holds its distinct shingles of `width` words (A-Z folded); a text with fewer words has one
 shingle, its whole sequence. Two documents link when 100 * |intersection| >= `percent` * |union|.
 
-Documents with equal sets form one class. Shingles are ordered by how often they occur in the corpus, rarest
-first (counts in 2**22 hash cells, ties by hash: any order common to all documents keeps the filter exact).
-Linked sets share a shingle in their prefixes, the first n - ceil(percent * n / 100) + 1 shingles. Classes
-with the same prefix and size are collapsed into one group; group pairs that share a prefix shingle and pass
-the length and positional filters are expanded to classes and verified on the whole sets.
-
-Only connections are asked for, so pairs are not all listed: for some rounds every prefix shingle elects a
-pivot, all other holders are compared with it, and links found are contracted; shingles whose holders are
-already connected are done. What is left is compared exhaustively. Inside these joins three exact filters
-decide which pairs come out at all: length, position (at the first shared shingle nothing before it can
-match), and a bitmap: each class carries the parities of its shingles in 512 cells, and the number of
-differing parities never exceeds the symmetric difference. No bucket is collected in a task, none is capped.
+Documents with equal sets form one class. One order holds for all shingles: those with a 64-bit hash below a
+bound come first, rarest first by the exact number of classes that hold them (ties by hash), all others follow
+by hash. So only the shingles below the bound need counts (`sampled_share` of all, a little more than a
+prefix), and an ordinary text's prefix consists of shingles that it alone holds. Linked sets share a shingle in
+their prefixes, the first n - ceil(percent * n / 100) + 1 shingles. Only prefix shingles that several classes
+hold are kept, with their positions. Classes with the same size and the same prefix, all of it held by others,
+are collapsed into one group. Group pairs that share a prefix shingle must pass three exact filters: length,
+position (nothing before the first shared shingle can match), and a bitmap: each class carries the parities of
+its shingles in 512 cells, whose differences never exceed the symmetric difference; a group carries what its
+members' bitmaps have in common. Pairs that are left are expanded to members, filtered again by the members'
+own bitmaps and verified on the whole sets.
+
+Only connections are asked for, so links are not all listed. First every shingle elects a pivot group (the one
+with the fewest rarer shingles before it), whose first member is compared with the members of all other groups,
+and every group's first member with the rest of its group; links found are contracted. Then pairs of groups that
+are not in one component yet are compared exhaustively, without those inside the pivot's component. The shuffle
+joins on shingles are plain inner joins, whose hot keys adaptive execution splits. No bucket is collected in a
+task, none is capped.
 
 Null texts and texts without words have n_shingles 0, link with nothing and are their own component. Null
 ids link like others, but name a component only if it has no other id. Repeated rows are linked to each
-other. An empty table gives no rows. Other input columns are ignored.
+other. An empty table gives no rows. Other input columns are ignored, whatever their names. A text is hashed
+whole in one task, with about 50 bytes of memory for each of its words; what follows works on rows.
 """
 
 from __future__ import annotations
@@ -27,18 +34,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlake.llm.bytewise import mixed, slices, word_hashes
-from pactlake.llm.common import bounded_broadcast, row_key, written
+from pactlake.llm.common import bounded_broadcast, discard, row_key, spare, written
 from pactlake.llm.components import components
 
-WIDTH, PERCENT, CELL_BITS, ROUNDS = 3, 90, 22, 3
-_LONGS = 8
-#: Rows of keys up to which they are sent to all executors.
-MOST_BROADCAST = 1_000_000
-_BLOCK = 1024
+WIDTH, PERCENT = 3, 90
+#: Longs of a class's bitmap.
+LONGS = 8
+#: Bytes of a row of keys in memory, at most about.
+_KEY_BYTES = 120
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -63,91 +70,97 @@ def signature(s: np.ndarray) -> bytes:
     return len(s).to_bytes(4, "big") + np.array([s.sum(dtype=np.uint64), mixed(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
-def cell_counts(docs: DataFrame, width: int, bits: int) -> np.ndarray:
-    """Shingles (per document once) in each of 2**bits hash cells; the driver receives 2**bits counts, whatever the input."""
-    cells = 1 << bits
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Parities of the set's members in LONGS * 64 cells."""
+    return np.packbits(np.bincount((s & np.uint64(LONGS * 64 - 1)).astype(np.int64), minlength=LONGS * 64) & 1).view(np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int32)
-        for batch in batches:
-            for s in shingle_sets(batch.column(0), width):
-                np.add.at(total, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
-        blocks = [i for i in range(0, cells, _BLOCK) if total[i : i + _BLOCK].any()]
-        yield pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int32()), "counts": pa.array([total[i : i + _BLOCK] for i in blocks], pa.list_(pa.int32()))})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            counts = batch.column(1)
-            for i, block in enumerate(batch.column(0).to_pylist()):
-                sums[block] = sums.get(block, 0) + counts[i].values.to_numpy().astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "counts": pa.array(list(sums.values()), pa.list_(pa.int64()))})
 
-    parts = docs.mapInArrow(count, "block int, counts array<int>").repartition("block")
-    out = np.zeros(cells, np.int64)
-    for row in written(parts.mapInArrow(add, "block int, counts array<bigint>"), "join-cells").toLocalIterator():
-        out[row["block"] : row["block"] + _BLOCK] += np.array(row["counts"])
-    return out
+def sampled_share(percent: int) -> float:
+    """Share of all shingles that are counted: a little more than a prefix holds."""
+    return min(1.0, 0.08 + 1.1 * (1 - percent / 100))
 
 
 def prefix_length(n: Column, percent: int) -> Column:
     return (n - F.ceil(n * percent / 100) + 1).cast("int")
 
 
-def classes_of(docs: DataFrame, width: int, percent: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, key, n, cid), (classes: cid, doc_id, n, prefix): written tables."""
-    source = docs.select("text", "doc_id", "key")
-    frequency = docs.sparkSession.sparkContext.broadcast(cell_counts(source.select("text"), width, bits).astype(np.uint32))  # 4 bytes a cell, 16 MB
+def index_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, key, n, cid, first, tokens, parity) of every row: tokens are its smallest hashes, `first` of them below the bound."""
+    bound = np.uint64(min(int(sampled_share(percent) * (1 << 64)), (1 << 64) - 1))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = frequency.value
         for batch in batches:
-            n, cids, prefixes, parities = [], [], [], []
+            n, cids, firsts, tokens, parities = [], [], [], [], []
             for s in shingle_sets(batch.column(0), width):
-                keep = len(s) - -(-len(s) * percent // 100) + 1 if len(s) else 0
-                order = np.lexsort((s, counts[(s >> np.uint64(64 - bits)).astype(np.int64)]))[:keep] if keep else []
+                prefix = len(s) - -(-len(s) * percent // 100) + 1 if len(s) else 0
+                first = int(np.searchsorted(s, bound))
                 n.append(len(s))
                 cids.append(signature(s))
-                parities.append(np.packbits(np.bincount((s & np.uint64(_LONGS * 64 - 1)).astype(np.int64), minlength=_LONGS * 64) & 1).view(np.int64))
-                prefixes.append(s[order].view(np.int64) if keep else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(1), "key": batch.column(2), "n": pa.array(n, pa.int64()), "cid": pa.array(cids, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())), "parity": pa.array(parities, pa.list_(pa.int64()))})
+                firsts.append(first)
+                tokens.append(s[: max(first, prefix)].view(np.int64))
+                parities.append(bitmap(s))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(1), "key": batch.column(2), "n": pa.array(n, pa.int64()), "cid": pa.array(cids, pa.binary()), "first": pa.array(firsts, pa.int64()), "tokens": pa.array(tokens, longs), "parity": pa.array(parities, longs)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = written(source.mapInArrow(index, f"doc_id {kind}, key string, n bigint, cid binary, prefix array<bigint>, parity array<bigint>"), "join-index")
-    # equal sets have equal prefixes, so any one will do
-    classes = written(found.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "join-classes")
-    return found.select("doc_id", "key", "n", "cid"), classes
+    return docs.select("text", "doc_id", "key").mapInArrow(index, f"doc_id {kind}, key string, n bigint, cid binary, first bigint, tokens array<bigint>, parity array<bigint>")
+
+
+def classes_of(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(members: doc_id, key, n, cid), (classes: cno, cid, key, n, first, tokens, parity): written tables."""
+    found = written(index_of(docs, width, percent), "join-index")
+    members = written(found.select("doc_id", "key", "n", "cid"), "join-members")
+    one = found.filter("n > 0").groupBy("cid").agg(F.first(F.struct("key", "n", "first", "tokens", "parity")).alias("one"))
+    classes = written(one.select(F.monotonically_increasing_id().alias("cno"), "cid", "one.*"), "join-classes")
+    discard(found)
+    return members, classes
+
+
+def postings_of(classes: DataFrame, percent: int) -> DataFrame:
+    """(cno, n, token, pos) of the prefix shingles that more than one class holds; pos is 0-based, at most the true place."""
+    entries = classes.select("cno", F.explode("tokens").alias("token"))
+    shared = entries.groupBy("token").agg(F.count("*").alias("holders")).filter("holders > 1")
+    bound = int(sampled_share(percent) * (1 << 64)) - (1 << 63)  # hashes are unsigned, Spark's longs are not
+    counted = F.col("token").bitwiseXOR(F.lit(-(1 << 63))) < F.lit(min(bound, (1 << 63) - 1))
+    held = entries.join(shared, "token").select("cno", "token", F.when(counted, F.col("holders")).alias("holders"))
+    own = Window.partitionBy("cno")
+    placed = held.select("cno", "token", F.count("holders").over(own).alias("known"), F.row_number().over(own.orderBy(F.col("holders").asc_nulls_last(), "token")).alias("nth"))
+    placed = placed.join(classes.select("cno", "n", "first"), "cno")
+    # shingles that no other class holds come first, then shared ones below the bound, then the rest
+    pos = (F.col("first") - F.col("known") + F.col("nth") - 1).cast("int")
+    return placed.select("cno", "n", "token", pos.alias("pos")).filter(F.col("pos") < prefix_length(F.col("n"), percent))
 
 
-def postings_of(classes: DataFrame) -> DataFrame:
-    """(token, pos, n, cid, parity) of the prefix shingles that more than one class holds, by way of groups with equal prefix and size."""
-    grouped = classes.select("cid", "n", "prefix", "parity", F.xxhash64("prefix", "n").alias("gid"))
-    groups = grouped.groupBy("gid").agg(F.first("prefix").alias("prefix"), F.count("*").alias("size"))
-    entries = groups.select("gid", "size", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.sum("size").alias("holders")).filter("holders > 1").select("token")
-    shared = bounded_broadcast(written(shared, "join-shared"), 2 * MOST_BROADCAST)
-    entries = entries.join(shared, "token").select("gid", "token", "pos")
-    members = grouped.select("gid", "n", "cid", "parity")
-    return entries.join(members, "gid").select("token", "pos", "n", "cid", "parity")
+def differ(x: str, y: str) -> Column:
+    """Least number of differing cells of two bitmaps' ranges (arrays x_lo, x_hi, y_lo, y_hi)."""
+    at = lambda name, i: F.get(F.col(name), F.lit(i))
+    return sum(F.bit_count(at(f"{x}_lo", i).bitwiseAND(F.bitwise_not(at(f"{y}_hi", i))).bitwiseOR(at(f"{y}_lo", i).bitwiseAND(F.bitwise_not(at(f"{x}_hi", i))))) for i in range(LONGS))
 
 
-def may_link(n: Column, pos: Column, x: Column, m: Column, at: Column, y: Column, percent: int) -> Column:
-    """Filters for sizes n, m, 0-based places of the first shared shingle, and parities x, y."""
-    need = F.ceil((n + m) * percent / (100 + percent))
-    differ = sum(F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i))) for i in range(_LONGS))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - pos, m - at) >= need) & (differ <= n + m - 2 * need)
+def sizes_fit(n: Column, m: Column, percent: int) -> Column:
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def need(n: Column, m: Column, percent: int) -> Column:
+    """Least intersection of linked sets."""
+    return F.ceil((n + m) * percent / (100 + percent))
+
+
+def places_fit(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Column:
+    """Length and position filters for sizes n, m and places pos, at of a shared shingle."""
+    return sizes_fit(n, m, percent) & (F.least(n - pos, m - at) >= need(n, m, percent))
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cid, text) of one row of each wanted class (cid, key); texts compress, sets of hashes do not."""
-    keys = bounded_broadcast(written(wanted.select("key", "cid"), "join-wanted"), MOST_BROADCAST)
-    return docs.select("key", "text").join(keys, "key").select("cid", "text").dropDuplicates(["cid"])
+    """(cno, text) of one row of each wanted class (cno, key); texts compress, sets of hashes do not."""
+    keys = bounded_broadcast(wanted.select("key", "cno"), _KEY_BYTES)
+    return docs.select("key", "text").join(keys, "key").select("cno", "text").dropDuplicates(["cno"])
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """pairs (a, b) with `both`, the size of the intersection, and the sizes n, m of their sets."""
-    left = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
-    met = left.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    left = pairs.join(texts.select(F.col("cno").alias("a"), F.col("text").alias("x")), "a")
+    met = left.join(texts.select(F.col("cno").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, t = None, None
@@ -162,72 +175,118 @@ def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                 m.append(len(t))
             yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), "both": pa.array(out, pa.int64()), "n": pa.array(n, pa.int64()), "m": pa.array(m, pa.int64())})
 
-    return met.mapInArrow(count, "a binary, b binary, both bigint, n bigint, m bigint")
+    return met.mapInArrow(count, "a bigint, b bigint, both bigint, n bigint, m bigint")
 
 
-def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: int = CELL_BITS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, n, cid, comp) of every row; comp is null for rows without shingles. A written table."""
+def groups_of(postings: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(members: cno, gid, key, n, parity), (groups: gid, n, size, lo, hi); a group is named by its first member."""
+    held = postings.groupBy("cno", "n").agg(F.count("*").alias("c"), F.xxhash64(F.array_sort(F.collect_list("token"))).alias("h"))  # a prefix's own shingles
+    whole = F.col("c") >= prefix_length(F.col("n"), percent)
+    held = written(held.select("cno", "n", F.when(whole, F.col("h")).alias("h")), "join-held")
+    named = held.filter("h is not null").groupBy("h", "n").agg(F.min("cno").alias("gid"))
+    met = written(held.join(named, ["h", "n"]).select("cno", "gid"), "join-gids")
+    gids = held.filter("h is null").select("cno", F.col("cno").alias("gid")).unionByName(met)
+    members = written(gids.join(classes.select("cno", "key", "n", "parity"), "cno"), "join-grouped")
+    lo = F.array(*[F.bit_and(F.get("parity", F.lit(i))) for i in range(LONGS)])
+    hi = F.array(*[F.bit_or(F.get("parity", F.lit(i))) for i in range(LONGS)])
+    groups = written(members.groupBy("gid").agg(F.first("n").alias("n"), F.count("*").alias("size"), lo.alias("lo"), hi.alias("hi")), "join-groups")
+    return members, groups
+
+
+def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n, cid) of every row and (cid, comp) of every class: written tables."""
     base = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    members, classes = classes_of(base, width, percent, bits)
-    postings = written(postings_of(classes), "join-postings")
+    rows, classes = classes_of(base, width, percent)
+    postings = written(postings_of(classes, percent), "join-postings")
+    narrow = written(classes.select("cno", "cid", "key", "n", "parity"), "join-narrow")
+    discard(classes)
+    members, groups = groups_of(postings, narrow, percent)
+    entries = written(postings.join(groups.select(F.col("gid").alias("cno")), "cno", "left_semi").withColumnRenamed("cno", "gid"), "join-entries")
+    elected = entries.groupBy("token").agg(F.min(F.struct("pos", "gid", "n")).alias("p"))
+    elected = written(elected.select("token", F.col("p.gid").alias("pivot"), F.col("p.n").alias("m"), F.col("p.pos").alias("at")), "join-elected")
+
+    def sketched(cno: str, name: str) -> DataFrame:
+        return members.select(F.col("cno").alias(cno), F.col("n").alias(f"{name}_n"), F.col("parity").alias(f"{name}_lo"), F.col("parity").alias(f"{name}_hi"))
 
     def test(pairs: DataFrame) -> DataFrame:
-        """Sizes and overlaps of pairs; only their classes' texts are fetched."""
-        pairs = written(pairs, "join-pairs")
-        held = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        texts = written(texts_of(base, classes.select("cid", "key").join(held, "cid", "left_semi")), "join-texts")
-        return written(overlaps(pairs, texts, width), "join-tested")
-
-    links = comp = None
-    for turn in range(rounds):
-        current = postings if comp is None else postings.join(comp, F.col("cid") == F.col("id"), "left").drop("id")
-        current = current.withColumn("comp", F.coalesce("comp", "cid") if comp is not None else F.col("cid"))
-        current = written(current, "join-current")
-        # the rounds elect by size, by largest size and by an id hash
-        rank = [F.col("n"), -F.col("n"), F.xxhash64("cid").bitwiseAND(F.lit(0xFFFF))][turn % 3]
-        elected = current.groupBy("token").agg(F.min(F.struct(rank.alias("r"), "cid", "n", "pos", "comp", "parity")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        elected = elected.filter("lo <> hi").select("token", F.col("p.cid").alias("b"), F.col("p.n").alias("m"), F.col("p.pos").alias("at"), F.col("p.comp").alias("bcomp"), F.col("p.parity").alias("y"))
-        pairs = current.withColumnRenamed("parity", "x").join(elected, "token").filter((F.col("comp") != F.col("bcomp")) & may_link(F.col("n"), F.col("pos"), F.col("x"), F.col("m"), F.col("at"), F.col("y"), percent))
-        tested = test(pairs.select(F.col("cid").alias("a"), "b").distinct())
-        good = tested.filter(F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent).select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        comp = components(links)
-    tested = test(unresolved(postings, comp, percent))
-    links = links.unionByName(tested.filter(F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent).select("a", "b"))
+        """Links among pairs (a, b) of classes; only the texts of those that pass the members' own filters are fetched."""
+        met = pairs.join(sketched("a", "x"), "a").join(sketched("b", "y"), "b")
+        n, m = F.col("x_n"), F.col("y_n")
+        met = written(met.filter(sizes_fit(n, m, percent) & (differ("x", "y") <= n + m - 2 * need(n, m, percent))).select("a", "b").distinct(), "join-pairs")
+        held = met.select(F.col("a").alias("cno")).unionByName(met.select(F.col("b").alias("cno"))).distinct()
+        wanted = written(members.select("cno", "key").join(held, "cno", "left_semi"), "join-wanted")
+        texts = written(texts_of(base, wanted), "join-texts")
+        tested = overlaps(met, texts, width)
+        links = written(tested.filter(F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent).select("a", "b"), "join-links")
+        discard(met, wanted, texts)
+        return links
+
+    fits = places_fit(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), percent)
+    starred = entries.join(elected, "token").filter((F.col("gid") != F.col("pivot")) & fits).select("gid", "pivot").distinct()
+    inside = groups.filter("size > 1").select("gid", F.col("gid").alias("pivot"))
+    links = test(starred.unionByName(inside).join(members.select("gid", "cno"), "gid").filter("cno <> pivot").select(F.col("cno").alias("a"), F.col("pivot").alias("b")))
     comp = components(links)
-    named = members.join(comp.withColumnRenamed("id", "cid"), "cid", "left")
-    return written(named.select("doc_id", "key", "n", "cid", F.when(F.col("n") > 0, F.coalesce("comp", "cid")).alias("comp")), "join-members")
-
-
-def unresolved(postings: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components that share a prefix shingle and that no filter rules out."""
-    current = postings.join(comp, F.col("cid") == F.col("id"), "left").drop("id").withColumn("comp", F.coalesce("comp", "cid"))
-    mixed_tokens = current.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    current = written(current.join(mixed_tokens, "token"), "join-mixed")
-    x = current.select("token", F.col("cid").alias("a"), F.col("n"), F.col("pos"), F.col("comp").alias("acomp"), F.col("parity").alias("x"))
-    y = current.select("token", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("bcomp"), F.col("parity").alias("y"))
-    pairs = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("acomp") != F.col("bcomp")) & may_link(F.col("n"), F.col("pos"), F.col("x"), F.col("m"), F.col("at"), F.col("y"), percent))
-    return pairs.select("a", "b").distinct()
+    named = written(members.select("cno", "gid").join(comp, F.col("cno") == F.col("id"), "left").select("cno", "gid", F.coalesce("comp", "cno").alias("comp")), "join-comps")
+    links = links.unionByName(test(unresolved(entries, groups, elected, named, percent)))
+    comp = written(components(links), "join-found")
+    by_class = written(narrow.join(comp, F.col("cno") == F.col("id"), "left").select("cid", F.coalesce("comp", "cno").alias("comp")), "join-classes")
+    discard(postings, narrow, members, groups, entries, elected, named)
+    return rows, by_class
+
+
+def unresolved(entries: DataFrame, groups: DataFrame, elected: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components whose groups share a prefix shingle and pass the group filters."""
+    spans = written(named.groupBy("gid").agg(F.min("comp").alias("least"), F.max("comp").alias("most")), "join-spans")
+    facts = groups.select("gid", "lo", F.when(F.col("size") > 1, F.col("hi")).alias("hi")).join(spans, "gid")
+    current = entries.join(facts, "gid")
+    span = entries.join(spans, "gid").groupBy("token").agg(F.min("least").alias("first"), F.max("most").alias("last")).filter("first <> last").select("token")
+    major = elected.join(spans.withColumnRenamed("gid", "pivot"), "pivot").select("token", F.when(F.col("least") == F.col("most"), F.col("least")).alias("major"))
+    open_ = written(span.join(major, "token"), "join-open")
+    current = current.join(open_, "token")
+    inner = F.coalesce((F.col("least") == F.col("most")) & (F.col("least") == F.col("major")), F.lit(False))
+    current = written(current.select("token", "gid", "n", "pos", "lo", "hi", "least", "most", inner.alias("inner")), "join-current")
+    x = current.filter("not inner").select("token", F.col("gid").alias("g"), "n", "pos", F.col("lo").alias("x_lo"), F.coalesce("hi", "lo").alias("x_hi"), F.col("least").alias("x_least"), F.col("most").alias("x_most"))
+    y = current.select("token", F.col("gid").alias("h"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("lo").alias("y_lo"), F.coalesce("hi", "lo").alias("y_hi"), F.col("least").alias("y_least"), F.col("most").alias("y_most"), "inner")
+    apart = (F.least("x_least", "y_least") != F.greatest("x_most", "y_most")) & ((F.col("g") < F.col("h")) | (F.col("inner") & (F.col("g") != F.col("h"))))
+    fits = places_fit(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), percent)
+    close = differ("x", "y") <= F.col("n") + F.col("m") - 2 * need(F.col("n"), F.col("m"), percent)
+    pairs = x.join(y, "token").filter(apart & fits & close).select("g", "h").distinct()
+    pairs = written(pairs.unionByName(spans.filter("least <> most").select(F.col("gid").alias("g"), F.col("gid").alias("h"))), "join-group-pairs")
+    left = named.select(F.col("gid").alias("g"), F.col("cno").alias("a"), F.col("comp").alias("acomp"))
+    right = named.select(F.col("gid").alias("h"), F.col("cno").alias("b"), F.col("comp").alias("bcomp"))
+    met = pairs.join(left, "g").join(right, "h").filter((F.col("acomp") != F.col("bcomp")) & ((F.col("g") != F.col("h")) | (F.col("a") < F.col("b"))))
+    return met.select("a", "b")
+
+
+def names_of(rows: DataFrame, by_class: DataFrame, name: Column) -> DataFrame:
+    """(cid, name): the least `name` of the rows in each class's component."""
+    each = rows.filter("n > 0").groupBy("cid").agg(F.min(name).alias("name"))
+    each = written(by_class.join(each, "cid"), "join-named")
+    best = written(each.groupBy("comp").agg(F.min("name").alias("best")), "join-best")
+    return each.select("cid", "comp").join(best, "comp").select("cid", F.col("best").alias("name"))
 
 
 def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Set size and component of every row; see the module's docstring."""
-    rows = linked(docs, width, percent, id_col=id_col, text_col=text_col)
-    names = rows.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    joined = rows.join(names, "comp", "left")
-    return joined.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """One row of each component, the one with the smallest doc_id; rows without shingles all stay."""
-    rows = linked(docs, width, percent)
-    kept = rows.filter("n > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("k")).select("comp", F.col("k.key").alias("kept"))
-    dropped = written(rows.join(kept, "comp").filter("key <> kept").select("key").distinct(), "join-dropped")
-    again = written(rows.filter("n > 0").groupBy("key").count().filter("count > 1").select("key"), "join-again")
-    keyed = docs.withColumn("key", row_key(F.col("doc_id"), F.col("text"))).join(bounded_broadcast(dropped, most_broadcast), "key", "left_anti")
-    again = bounded_broadcast(again, most_broadcast)
-    single = keyed.join(again, "key", "left_anti")
-    return single.unionByName(keyed.join(again, "key", "left_semi").dropDuplicates(["key"])).select(*docs.columns)
+    rows, by_class = linked(docs, width, percent, id_col=id_col, text_col=text_col)
+    names = written(names_of(rows, by_class, F.col("doc_id")), "join-names")
+    joined = rows.join(names, "cid", "left")
+    return joined.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, the one with the smallest doc_id; rows without shingles all stay. All columns stay."""
+    rows, by_class = linked(docs, width, percent, id_col=id_col, text_col=text_col)
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")
+    kept = written(names_of(rows, by_class, order).select("cid", F.col("name.key").alias("kept")), "join-kept")
+    key = spare(docs, "copy_key")
+    dropped = written(rows.join(kept, "cid").filter("key <> kept").select(F.col("key").alias(key)).distinct(), "join-dropped")
+    again = written(rows.filter("n > 0").groupBy("key").count().filter("count > 1").select(F.col("key").alias(key)), "join-again")
+    discard(rows, by_class, kept)
+    keyed = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col))).join(bounded_broadcast(dropped, _KEY_BYTES), key, "left_anti")
+    again = bounded_broadcast(again, _KEY_BYTES)
+    single = keyed.join(again, key, "left_anti")
+    return single.unionByName(keyed.join(again, key, "left_semi").dropDuplicates([key])).drop(key)
 
 
 def oracle() -> str:
