@@ -1,17 +1,21 @@
 """Benchmark decontamination by winnowing.
 
-Both sides are cut into words and hashed by `gram` consecutive words; of every `window - gram + 1`
-neighbouring hashes the smallest is kept as a fingerprint. Any `window` consecutive words hold one whole
-selection window, so training and test text that share `window` words share a fingerprint. Shared
-fingerprints give (row, item) candidates, whose aligned words are compared to extend the hits: on every
-diagonal through a shared gram, the stretches of at least `window` equal words are hit.
-
-Items shorter than a window (but not empty) form one window of their own length; for each such length that
-occurs in the benchmark, all grams of that length are joined exactly.
-
-Null text and text without words: no hits, empty item list. Null items take no part. Repeated rows get the
-same result each; repeated item rows count as one item. Empty tables on either side give n_hit 0 or no
-rows. Other input columns are ignored. DataFrame functions only.
+Both sides are cut into words once; words become 64-bit hashes, which stand for them from then on. Hashes of
+`gram` consecutive words are winnowed: of every `window - gram + 1` neighbouring ones the smallest is kept as a
+fingerprint. Any `window` consecutive words hold one whole selection window, so training and test text that
+share `window` words share a fingerprint, whatever stands around them. Rows that share a fingerprint with an
+item are candidates; there the hit is extended: each of the row's windows is looked up among the windows of the
+items, and the words of all windows found are hit. This is linear in the row's words, however often a gram
+repeats on either side.
+
+Items shorter than a window (but not empty) form one window of their own length, which may hold no fingerprint;
+rows that hold the item's word with the largest hash are candidates for those.
+
+Null text and text without words: no hits, empty item list. Null items and items with a null id take no part.
+Repeated rows get the same result each; repeated item rows count as one item. Empty tables on either side give
+n_hit 0 or no rows. Other input columns are ignored by decontaminate and kept as they are by decontaminate_rows,
+whatever their names. A row's words are an array in one task (about 50 bytes a word while it is built).
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -21,18 +25,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactlake.llm.common import bounded_broadcast, once, row_key, words_of, written
+from pactlake.llm.common import bounded_broadcast, discard, once, row_key, spare, words_of, written
 
 WINDOW, GRAM = 10, 5
-#: Rows of fingerprints up to which the benchmark's side is sent to all executors (24 bytes each).
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a row of keys in memory, at most about.
+_KEY_BYTES = 120
 
 
-def grams(words: Column, n: int) -> Column:
-    """Hash of every n consecutive words, by start."""
+def grams(hashes: Column, n: int) -> Column:
+    """Hash of every n consecutive words, by start. hashes is read n times a place: make it a column of its own first."""
     none = F.array().cast("array<bigint>")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
-    return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(n)]))).otherwise(none)
+    starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - n, F.lit(0)))
+    return F.when(F.size(hashes) >= n, F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(n)]))).otherwise(none)
 
 
 def winnowed(hashes: Column, keep_of: int) -> Column:
@@ -42,63 +46,67 @@ def winnowed(hashes: Column, keep_of: int) -> Column:
     return F.when(F.size(hashes) >= keep_of, F.array_distinct(F.transform(starts, lambda i: F.least(*[F.get(hashes, i + j) for j in range(keep_of)])))).otherwise(none)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every stretch of shared words: _key, item_id, start, length (in words of the row)."""
-    items = written(benchmark.select("item_id", words_of(F.col("text")).alias("iw")).filter((F.size("iw") > 0) & F.col("item_id").isNotNull()).distinct(), "leak-items")
-    short = [r["n"] for r in items.filter(F.size("iw") < window).select(F.size("iw").alias("n")).distinct().collect()]  # below window
-    rows = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
-    tokens = once(rows, dw=words_of(F.col("_text"))).select("_key", "dw")
-    keep_of = window - gram + 1
-
-    def fingerprints(df: DataFrame, words: str, n: int, whole: bool, *keep: str) -> DataFrame:
-        hashed = once(df, hs=grams(F.col(words), n))
-        return hashed.select(*keep, F.explode(F.array_distinct("hs") if whole else winnowed(F.col("hs"), keep_of)).alias("fp"))
-
-    jobs = [(gram, window, items.filter(F.size("iw") >= window))] + [(n, n, items.filter(F.size("iw") == n)) for n in sorted(short)]
-    found = []
-    for n, least, side in jobs:
-        probes = bounded_broadcast(written(fingerprints(side, "iw", n, n == least).distinct(), "leak-prints"), 120)
-        # the few rows that share a fingerprint, with each shared one's places
-        shared = fingerprints(tokens, "dw", n, n == least, "_key").join(probes, "fp").distinct()
-        places = written(side.select("item_id", F.col("iw"), F.posexplode(grams(F.col("iw"), n)).alias("ip", "fp")), "leak-places")
-        hits = written(shared.groupBy("_key").agg(F.collect_set("fp").alias("fps")), "leak-shared")
-        held = tokens.join(hits, "_key").dropDuplicates(["_key"])
-        at = once(held, hs=grams(F.col("dw"), n)).select("_key", "dw", F.posexplode("hs").alias("dp", "fp"), "fps").filter(F.array_contains("fps", F.col("fp")))
-        seeds = at.join(bounded_broadcast(places, 2000), "fp")
-        reach = F.greatest(F.lit(0), F.col("ip") - F.col("dp"))  # item words before the row's start
-        offset = F.greatest(F.lit(0), F.col("dp") - F.col("ip"))
-        diagonals = seeds.select("_key", "item_id", (F.col("dp") - F.col("ip")).alias("diagonal"), F.slice("dw", offset + 1, F.size("iw")).alias("dw"), F.slice("iw", reach + 1, F.size("iw")).alias("iw"), offset.alias("offset"))
-        diagonals = diagonals.dropDuplicates(["_key", "item_id", "diagonal", "iw"])
-        equal = F.transform(F.sequence(F.lit(0), F.least(F.size("dw"), F.size("iw")) - 1), lambda i: F.when(F.get("dw", i) == F.get("iw", i), "1").otherwise("0"))
-        marks = once(diagonals, eq=F.array_join(equal, "")).select("_key", "item_id", "offset", "eq")
-        # runs: text between zeros, each with its start
-        runs = marks.select("_key", "item_id", "offset", F.posexplode(F.split("eq", "0")).alias("nth", "run"), "eq").filter(F.length("run") >= least)
-        start = F.length(F.expr("substring_index(eq, '0', nth)")) + F.when(F.col("nth") > 0, 1).otherwise(0)
-        found.append(runs.select("_key", "item_id", (F.col("offset") + start).alias("start"), F.length("run").alias("length")))
-    return reduce(DataFrame.unionByName, found)
+def word_hashes(text: Column) -> Column:
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+
+
+def find_hits(tokens: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """tokens (key, hs) -> (hits: key, start, length, print; items: print, length, item_id).
+
+    A hit is one window of an item that stands in a row, in words from `start`; several items may have it.
+    """
+    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("hs")).filter((F.size("hs") > 0) & F.col("item_id").isNotNull())
+    items = written(items.distinct(), "leak-items")
+    lengths = sorted({window} | {r["n"] for r in items.filter(F.size("hs") < window).select(F.size("hs").alias("n")).distinct().collect()})  # at most `window`
+    short = lengths[:-1]
+    sides = [items.filter((F.size("hs") >= n) if n == window else (F.size("hs") == n)) for n in lengths]
+    own = [side.select(F.explode(grams(F.col("hs"), n)).alias("print"), F.lit(n).alias("length"), "item_id") for n, side in zip(lengths, sides, strict=True)]
+    windows = written(reduce(DataFrame.unionByName, own).distinct(), "leak-windows")
+    prints = winnowed(F.col("gs"), window - gram + 1)
+    probes = once(sides[-1], gs=grams(F.col("hs"), gram)).select(F.explode(prints).alias("fp"))
+    if short:
+        probes = probes.unionByName(items.filter(F.size("hs") < window).select(F.array_max("hs").alias("fp")))
+        prints = F.concat(prints, F.array_distinct("hs"))
+    probes = written(probes.distinct(), "leak-prints")
+    sought = once(tokens, gs=grams(F.col("hs"), gram)).select("key", F.explode(prints).alias("fp")).join(bounded_broadcast(probes, 32), "fp", "left_semi")
+    keys = written(sought.select("key").distinct(), "leak-candidates")
+    held = written(tokens.join(bounded_broadcast(keys, _KEY_BYTES), "key", "left_semi").dropDuplicates(["key"]), "leak-held")
+    places = reduce(DataFrame.unionByName, [held.select("key", F.posexplode(grams(F.col("hs"), n)).alias("start", "print"), F.lit(n).alias("length")) for n in lengths])
+    known = written(windows.select("print", "length").distinct(), "leak-known")
+    hits = written(places.join(bounded_broadcast(known, 48), ["print", "length"], "left_semi").select("key", "start", "length", "print"), "leak-hits")
+    discard(items, probes, keys, held, known)
+    return hits, windows
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Hit words and items of every row."""
-    hits = written(find_hits(docs, benchmark, window, gram, id_col, text_col), "leak-hits")
-    spans = hits.select("_key", "start", "length").distinct()
-    words = spans.select("_key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at")).distinct().groupBy("_key").agg(F.count("*").alias("n_hit"))
-    items = hits.select("_key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("_key").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    n_words = F.size(words_of(F.col(text_col))).cast("long")
-    rows = docs.select(F.col(id_col), row_key(F.col(id_col), F.col(text_col)).alias("_key"), n_words.alias("n_words"))
-    joined = rows.join(words.join(items, "_key"), "_key", "left")
+    keyed = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    tokens = once(keyed, hs=word_hashes(F.col("text"))).select("id", "key", F.size("hs").cast("long").alias("n_words"), "hs")
+    tokens = written(tokens, "leak-tokens")
+    hits, windows = find_hits(tokens.select("key", "hs"), benchmark, window, gram)
+    rows = written(tokens.select("id", "key", "n_words"), "leak-rows")
+    discard(tokens)
+    at = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1))
+    words = hits.select("key", at.alias("at")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
+    found = hits.select("key", "print", "length").distinct().join(windows, ["print", "length"]).select("key", F.col("item_id").cast("string").alias("item")).distinct()
+    items = found.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))  # a row of the result holds them all
+    joined = rows.join(written(words.join(items, "key"), "leak-found"), "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.select(
-        id_col, "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
 
 def decontaminate_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows without a hit, with all their columns."""
-    dirty = written(find_hits(docs, benchmark, window, gram, id_col, text_col).select("_key").distinct(), "leak-rows")
-    keyed = docs.withColumn("_key", row_key(F.col(id_col), F.col(text_col)))
-    return keyed.join(bounded_broadcast(dirty, 120), "_key", "left_anti").drop("_key")
+    key = spare(docs, "leak_key")
+    named = row_key(F.col(id_col), F.col(text_col))
+    tokens = written(docs.select(named.alias("key"), word_hashes(F.col(text_col)).alias("hs")), "leak-tokens")
+    hits, windows = find_hits(tokens, benchmark, window, gram)
+    dirty = written(hits.select(F.col("key").alias(key)).distinct(), "leak-dirty")
+    discard(tokens, hits, windows)
+    return docs.withColumn(key, named).join(bounded_broadcast(dirty, _KEY_BYTES), key, "left_anti").drop(key)
 
 
 def oracle() -> str:
