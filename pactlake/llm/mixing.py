@@ -13,8 +13,8 @@ source is never ordered in one task.
 
 A null source is a source of its own, a null text has no tokens. A source without tokens, and a table with
 none at all, is drawn once whole. Repeated rows are drawn as separate rows. An empty table gives no rows.
-The bisection runs over one row that holds the sources' sums (as long as there are sources). DataFrame
-functions only.
+The bisection runs over one row that holds the sources' sums, 16 bytes and a name for each, which suits up to
+millions of sources. Other columns travel in the struct `row`, whatever their names. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -79,16 +79,15 @@ def source_weights(sums: DataFrame, max_repeats: float | None = MAX_REPEATS, tar
 
 
 def mix(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, cells: int = CELLS, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """How often every row is drawn: all columns of docs and _tokens, _exponent, _weight, _copies (0 if cut).
+    """How often every row is drawn: (row: a struct of docs' columns, tokens, exponent, weight, place, copies: 0 if cut).
 
     Rows of one source with equal id and token count share one place in a permutation.
     """
     order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    base = docs.withColumns({
-        "_source": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")),
-        "_tokens": token_count(F.col(text_col)),
-        "_place": order,
-    })
+    base = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")).alias("_source"),
+        token_count(F.col(text_col)).alias("_tokens"), order.alias("_place"),
+    )
     base = base.withColumn("_cell", F.floor(F.conv(F.substring("_place", 1, 4), 16, 10).cast("int") * cells / 65536).cast("int"))
     narrow = base.select("_source", "_cell", "_tokens", "_place")
     cell_sums = written(narrow.groupBy("_source", "_cell").agg(F.sum("_tokens").alias("t")), "mix-cells")  # sources * cells rows
@@ -105,21 +104,21 @@ def mix(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy
     inside = narrow.join(bounded_broadcast(edges, _ROW_BYTES), ["_source", "_cell"]).withColumn("_upto", upto).filter("_upto <= _rest")
     last = inside.groupBy("_source").agg(F.max(F.struct("_place", "_tokens")).alias("_last"))
     cuts = weights.join(edges.select("_source", F.col("_cell").alias("_edge")), "_source", "left").join(last, "_source", "left")
-    cuts = written(cuts.select("_source", F.col("exponent").alias("_exponent"), F.col("weight").alias("_weight"), "_full", "_edge", "_last"), "mix-cuts")
+    cuts = written(cuts.select("_source", "exponent", "weight", "_full", "_edge", "_last"), "mix-cuts")
     joined = base.join(bounded_broadcast(cuts, _ROW_BYTES), "_source", "left")
     more = (F.col("_cell") < F.col("_edge")) | ((F.col("_cell") == F.col("_edge")) & (F.struct("_place", "_tokens") <= F.col("_last")))
     copies = F.col("_full") + F.coalesce(more, F.lit(False)).cast("long")
-    return joined.withColumn("_copies", copies).drop("_source", "_cell", "_full", "_edge", "_last")
+    return joined.select("row", F.col("_tokens").alias("tokens"), "exponent", "weight", F.col("_place").alias("place"), copies.alias("copies"))
 
 
 def drawn(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
-    """The mixture: every row as often as it is drawn, with the columns of mix() and _block (from 0) and _key.
+    """The mixture: every row as often as it is drawn: row, tokens, exponent, weight, block (from 0) and key.
 
-    Sorted by _block and _key, the rows run through one permutation a block.
+    Sorted by block and key, the rows run through one permutation a block. `row.*` are the columns of docs.
     """
-    rows = mix(docs, seed=seed, **options).filter("_copies > 0")
-    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
-    return rows.withColumn("_key", F.md5(F.concat_ws("|", "_place", "_block")))
+    rows = mix(docs, seed=seed, **options).filter("copies > 0")
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return rows.select("row", "tokens", "exponent", "weight", "block", F.md5(F.concat_ws("|", "place", "block")).alias("key"))
 
 
 def oracle() -> str:
@@ -134,4 +133,4 @@ f AS (SELECT *, CASE WHEN tokens > 0 THEN goal // tokens ELSE 1 END AS full_bloc
 r AS (SELECT *, CASE WHEN tokens > 0 THEN goal - full_blocks * tokens ELSE 0 END AS rest FROM f),
 o AS (SELECT d.*, weight, a, full_blocks, rest, tokens, sum(n) OVER (PARTITION BY s ORDER BY place, n) AS upto FROM d JOIN r USING (s)),
 c AS (SELECT *, full_blocks + (rest > 0 AND upto <= rest)::BIGINT AS copies FROM o)
-SELECT doc_id, source, n AS n_tokens, CASE WHEN tokens > 0 THEN round(a, 6) END AS exponent, round(weight, 6) AS weight, unnest(range(0, copies)) AS block FROM c"""
+SELECT * EXCLUDE place, md5(place || '|' || block::VARCHAR) AS block_key FROM (SELECT doc_id, source, n AS n_tokens, CASE WHEN tokens > 0 THEN round(a, 6) END AS exponent, round(weight, 6) AS weight, unnest(range(0, copies)) AS block, place FROM c)"""

@@ -23,7 +23,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.drawn(docs).select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.round("_exponent", 6).alias("exponent"), F.round("_weight", 6).alias("weight"), F.col("_block").alias("block"))
+    return mixing.drawn(docs).select("row.doc_id", "row.source", F.col("tokens").alias("n_tokens"), F.round("exponent", 6).alias("exponent"), F.round("weight", 6).alias("weight"), "block", F.col("key").alias("block_key"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
