@@ -4,8 +4,9 @@ Equal texts form one indivisible group. Groups are dealt by hash to buckets; ins
 differencing method repeatedly joins the two partial partitions with the largest spread, one in descending
 and one in ascending order, until one k-way partition is left. The buckets' partitions (at most
 `max_buckets` rows of k sums, whatever the input) are then joined by the same rule, which decides how each
-bucket's k parts map to shards. Slots come from per-(shard, cell) counts and a row number inside a cell, so
-no shard is ever sorted in one task.
+bucket's k parts map to shards. Slots are a seeded shuffle of a shard's rows, in which copies of a row stand
+apart: each row gets a number when it is read, its hash a cell (about `rows_per_cell` rows), and slots come from
+per-(shard, cell) counts and a row number inside a cell, so no shard is ever sorted in one task.
 
 Null texts form one group of size 1 each row, empty texts another. Repeated rows are separate rows with
 their own slots. An empty table gives no rows. Other input columns are ignored.
@@ -67,13 +68,13 @@ def single(value):
     return [cell, cell]
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, groups_per_bucket: int = 20_000, max_buckets: int = 4096, cells: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 8, groups_per_bucket: int = 20_000, max_buckets: int = 4096, rows_per_cell: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shard and slot of every row; see the module's docstring. Groups hold at most max_buckets * 8 driver rows in the last step."""
     text = F.col(text_col)
     raw = F.encode(text, "UTF-8")
     rows = docs.select(
         F.col(id_col), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
-        F.xxhash64(text, F.octet_length(text)).alias("_group"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(cells)).alias("_cell"),
+        F.xxhash64(text, F.octet_length(text)).alias("_group"), F.monotonically_increasing_id().alias("_row"),
     )
     groups = written(rows.groupBy("_group").agg(F.sum("size").alias("bytes")), "shard-groups")
     buckets = min(max_buckets, max(256, math.ceil(groups.count() / groups_per_bucket)))
@@ -100,11 +101,13 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, groups_per_bucket: int = 20
     spark = docs.sparkSession
     place = spark.createDataFrame(placed, "_bucket int, _part int, shard int")
     assigned = parts.join(F.broadcast(place), ["_bucket", "_part"]).select("_group", "shard")
-    settled = written(rows.join(assigned, "_group").drop("_group"), "shard-rows")
+    settled = written(rows.join(assigned, "_group").withColumn("_order", F.xxhash64(id_col, "_group", "_row")).drop("_group", "_row"), "shard-rows")
+    cells = max(64, math.ceil(settled.count() / shards / rows_per_cell))
+    settled = settled.withColumn("_cell", F.pmod(F.col("_order"), F.lit(cells)))
     counts = settled.groupBy("shard", "_cell").count()
     before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))  # shards * cells rows
-    inside = Window.partitionBy("shard", "_cell").orderBy(id_col, "text_crc32", "size")
+    inside = Window.partitionBy("shard", "_cell").orderBy("_order")
     return settled.join(F.broadcast(starts), ["shard", "_cell"]).select(
         id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("_start") + F.row_number().over(inside) - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
