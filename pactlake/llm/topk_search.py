@@ -12,16 +12,19 @@ Cells are cut into chunks of about `chunk` vectors and queries into blocks of ab
 meet in a join on needed (chunk, block) pairs, so the work is a matrix product per pair and no cell, however
 hot, is gathered in one task. Pivots are `pivots` vectors with the smallest id hashes and travel to all tasks.
 
-Vectors that are null, empty or hold null or non-finite components take no part, nor do those whose length is
-not the most common one (the larger, if tied). Null ids take no part. Repeated vec_ids each count as a row;
-a query skips candidates with its own id. Ties go to the smaller vec_id. Fewer than k candidates give fewer
-rows, an empty table gives none. Other input columns are ignored.
+Vectors that are null, empty or hold null or non-finite components take no part. Vectors of different lengths
+have no inner product: each length is searched by itself. Components beyond 2**62 after scaling are cut to it;
+scores beyond the range of a long are cut to its ends, ties among those go by vec_id like all others. Null ids
+take no part. Repeated vec_ids each count as a row; a query skips candidates with its own id. Ties go to the
+smaller vec_id. Fewer than k candidates give fewer rows, an empty table gives none. Other input columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,9 +43,8 @@ def quantised(vectors: DataFrame, scale: int = SCALE, id_col: str = "vec_id", ve
     x = F.col(vector_col)
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) == float("inf")))
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(~bad, x).alias("e")).filter(F.col("vec_id").isNotNull() & (F.size("e") > 0))
-    sizes = rows.groupBy(F.size("e").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).limit(1).collect()
-    width = sizes[0]["size"] if sizes else 0
-    return rows.filter(F.size("e") == width).select("vec_id", F.transform("e", lambda c: F.floor(c.cast("double") * scale).cast("bigint")).alias("v"))
+    most = F.lit(float(1 << 62))
+    return rows.select("vec_id", F.transform("e", lambda c: F.greatest(-most, F.least(most, F.floor(c.cast("double") * scale).cast("double"))).cast("bigint")).alias("v"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -57,20 +59,39 @@ def lifted(v: np.ndarray, most: float | None) -> np.ndarray:
     return np.hstack((v, extra[:, None]))
 
 
+def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Integer inner products: by floats or longs where they hold them exactly, else by Python's integers, cut to a long's range."""
+    largest = float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, v.shape[1])
+    if largest < 2**52:
+        return (q.astype(float) @ v.T.astype(float)).astype(np.int64)
+    if largest < 2**62:
+        return q @ v.T
+    exact = q.astype(object) @ v.T.astype(object)
+    return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T))
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, pivots: int = PIVOTS, rings: int = RINGS, chunk: int = CHUNK, block: int = BLOCK, first_cells: int = FIRST_CELLS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every row for which is_query (a condition on vec_id) holds."""
-    spark = vectors.sparkSession
     rows = written(quantised(vectors, scale, id_col, vector_col), "topk-rows")
-    norm = F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x * x)
+    widths = [r["n"] for r in rows.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]  # one, unless lengths are mixed
+    found = [top_k_of(rows.filter(F.size("v") == n) if len(widths) > 1 else rows, is_query, k, pivots, rings, chunk, block, first_cells) for n in widths]
+    empty = vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    return reduce(DataFrame.unionByName, found, empty) if len(found) != 1 else found[0]
+
+
+def top_k_of(rows: DataFrame, is_query, k: int, pivots: int, rings: int, chunk: int, block: int, first_cells: int) -> DataFrame:
+    """top_k for quantised rows (vec_id, v) of one length."""
+    spark = rows.sparkSession
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     facts = rows.agg(F.count("*").alias("n"), F.max(norm).alias("most"), F.sum(is_query.cast("bigint")).alias("q")).first()
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     if not facts["n"] or not facts["q"]:
         return empty
-    most = float(facts["most"])
+    most = float(facts["most"]) * (1 + 1e-12)  # a sum of rounded squares
     chosen = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]  # a bounded sample
     centres = lifted(np.array(chosen, float), most)
     width = max(1.0, 2 * math.sqrt(most) / rings)
@@ -132,8 +153,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, pivots:
                 q, qids = np.frombuffer(qs, np.int64).reshape(len(qids), -1)[some], qids[some]
                 order = np.argsort(ids, kind="stable")
                 ids, v = ids[order], v[order]
-                small = float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, v.shape[1]) < 2**52
-                scores = (q.astype(float) @ v.T.astype(float)).astype(np.int64) if small else q @ v.T
+                scores = products(q, v)
                 for i, row in enumerate(scores):
                     others = np.flatnonzero(ids != qids[i])
                     if len(others) > k:
@@ -188,7 +208,6 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, pivots:
 def oracle() -> str:
     return f"""
 WITH r AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-m AS (SELECT len(e) AS n FROM r GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1),
-v AS (SELECT vec_id, list_transform(e, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM r, m WHERE len(e) = m.n),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+v AS (SELECT vec_id, list_transform(e, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM r),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s) WHERE rank <= {K}"""
