@@ -23,7 +23,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -119,12 +119,12 @@ def smaller_cells(batches: Iterator[pa.RecordBatch], level: int, length: int) ->
 
 def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """texts (id, h, text) -> (id, h, first, last): ranges of starts whose length-byte strings start elsewhere too."""
-    if length - gram + 1 > 0xFFFF:
-        raise ValueError("length is too large")
+    if not CELLS[0] + gram <= length < 0xFFFF:
+        raise ValueError(f"length must be from {CELLS[0] + gram} to 65534")
     names = written(texts.mapInArrow(lambda b: first_cells(b, length, gram), _NAMES), "repeat-names-0")
     ranges = []
     for level, cell in enumerate(CELLS):
-        again = names.groupBy("inner").count().filter("count > 1").select("inner")
+        again = written(names.groupBy("inner").count().filter("count > 1").select("inner"), f"repeat-again-{level}")  # written, so that the join's hot keys can be split
         names = written(names.join(again, "inner"), f"repeat-cells-{level}")
         same = written(names.groupBy("inner", "outer").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "a", "c")).alias("one")), f"repeat-same-{level}")
         settled = names.join(same.filter("n > 1").select("inner", "outer"), ["inner", "outer"])
@@ -157,12 +157,16 @@ def cut_text(raw: bytes, ranges: list[tuple[int, int]], length: int) -> tuple[by
     return b"".join(kept), [(a, b) for a, b in runs]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What the removal leaves of every row: sizes, spans and the digest of the kept bytes."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", starts_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """What the removal leaves of every row: sizes, spans and the digest of the kept bytes.
+
+    starts_of: another way from texts (id, h, text) to ranges of repeated starts, as suffix_order.repeated_starts.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.hash(text, F.lit(7)).alias("h"), text.alias("text"))
+    named = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(named, text, F.octet_length(text)).alias("id"), F.hash(named, text, F.lit(7)).alias("h"), text.alias("text"))
     texts = keyed.select("id", "h", "text").filter(F.octet_length("text") >= length)
-    ranges = written(repeated_starts(texts, length, gram), "repeat-ranges")
+    ranges = written(repeated_starts(texts, length, gram) if starts_of is None else starts_of(texts), "repeat-ranges")
     lists = written(ranges.groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "repeat-lists")  # a text's own ranges
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
