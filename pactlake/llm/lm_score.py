@@ -1,6 +1,6 @@
 """LM scoring: stupid backoff over n-grams counted in the corpus, summed per document.
 
-score_words (the query): the unit is the word (runs without white space, A-Z folded, as 64-bit hashes), the
+The unit is the word (runs without white space, A-Z folded, as 64-bit hashes), the
 order WORD_ORDER. Counts are whole, and a document is scored with its own counts left out, so an n-gram counts
 as seen only if another row holds it. With c the counts of the other rows and N their words, the word at a
 place scores c(uvw) / c(uv) if uvw is seen, else `backoff` times c(vw) / c(v) if vw is, else `backoff` squared
@@ -9,16 +9,9 @@ are dealt by hash into buckets of about `bucket_bytes`. A bucket's distinct n-gr
 56-bit hashes with counts, are cut into hash ranges; each range is summed over all buckets and the sums go
 back to the buckets in the order in which they were sent, so that only counts return.
 
-score: the unit is the UTF-8 byte, the order `order` (5 by default); every text is preceded by order - 1 padding
-bytes, so each of its bytes ends one n-gram of full order. Rows are dealt by hash into buckets of about
-`bucket_bytes`. A bucket's distinct n-grams and counts are summed over all buckets into the count table, which
-is partitioned by hash; the tables of the lower orders and of the contexts are aggregated from it. The score
-of an n-gram w1..wk is count(w1..wk) / count(w1..w(k-1)) if it was counted at least `min_count` times, else
-`backoff` times the score of w2..wk; single bytes score count / all bytes. Scored n-grams are joined back to
-the buckets that hold them and the logarithms are summed per document.
-
-Null and empty texts (of words: blank ones too) have no n-grams, log_score 0 and a null mean. Repeated rows get equal scores (and count
-as often as they occur). An empty table gives no rows. Other input columns are ignored.
+Null, empty and blank texts have no n-grams, log_score 0 and a null mean. Repeated rows get equal scores, and
+count as often as they occur. A very long text is a bucket of its own, hashed whole in one task (about 100 bytes
+a word). An empty table gives no rows. Other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,87 +26,10 @@ from pyspark.sql import functions as F
 from pactlake.llm import bytewise
 from pactlake.llm.common import written
 
-ORDER, MIN_COUNT, BACKOFF, BUCKET_BYTES = 5, 5, 0.4, 16 << 20
-WORD_ORDER, WORD_BUCKET_BYTES, PART_BYTES = 3, 6 << 20, 16 << 20
-_PAD = 2
+WORD_ORDER, BACKOFF, WORD_BUCKET_BYTES, PART_BYTES = 3, 0.4, 6 << 20, 16 << 20
 _GRAM_BITS = 56
 
 
-def packed_grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
-    """The n-gram of full order that ends at every byte, as a number (order <= 7)."""
-    row = np.repeat(offsets[:-1], np.diff(offsets))
-    depth = np.arange(len(data)) - row
-    out = np.zeros(len(data), np.int64)
-    for back in range(order - 1, -1, -1):
-        code = np.full(len(data), _PAD, np.int64)
-        code[back:] = data[: len(data) - back] if back else data
-        if back:
-            code[depth < back] = _PAD
-        out = out << 8 | code
-    return out
-
-
-def scored_grams(counts: DataFrame, order: int, min_count: int, backoff: float) -> DataFrame:
-    """counts: (g, n) of full order -> (g, log_s)."""
-    all_bytes = counts.agg(F.sum("n")).first()[0] or 1
-    scored = counts.select("g", F.col("n").alias(f"n{order}"))
-    tables = {order: counts}
-    for k in range(order - 1, 0, -1):
-        tables[k] = tables[k + 1].groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("g")).agg(F.sum("n").alias("n"))
-    for k in range(order, 0, -1):
-        mine = F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        if k < order:
-            scored = scored.withColumn("key", mine).join(tables[k].select(F.col("g").alias("key"), F.col("n").alias(f"n{k}")), "key").drop("key")
-        if k > 1:
-            contexts = tables[k].groupBy(F.shiftright("g", 8).alias("key")).agg(F.sum("n").alias(f"c{k}"))
-            scored = scored.withColumn("key", F.shiftright(mine, 8)).join(contexts, "key").drop("key")
-    value = F.col("n1") / F.lit(all_bytes) * backoff ** (order - 1)
-    for k in range(2, order + 1):
-        value = F.when(F.col(f"n{k}") >= min_count, F.col(f"n{k}") / F.col(f"c{k}") * backoff ** (order - k)).otherwise(value)
-    return scored.select("g", F.log(value).alias("log_s"))
-
-
-def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_grams, log_score (sum of natural logarithms) and mean_log_score of every row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(1, math.ceil(size / bucket_bytes))
-    dealt = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(id_col, text), F.lit(buckets)).cast("int").alias("bucket"))
-
-    def count(rows: pa.Table) -> pa.Table:
-        grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for _, _, data, offsets in bytewise.slices(rows.column("text")):
-            g, n = np.unique(packed_grams(data, offsets, order), return_counts=True)
-            grams, where = np.unique(np.concatenate((grams, g)), return_inverse=True)
-            counts = np.bincount(where, np.concatenate((counts, n)), len(grams)).astype(np.int64)
-        bucket = rows.column("bucket")[0].as_py() if len(rows) else 0
-        return pa.table({"bucket": pa.array(np.full(len(grams), bucket), pa.int32()), "g": grams, "n": counts})
-
-    held = written(dealt.groupBy("bucket").applyInArrow(count, "bucket int, g bigint, n bigint"), "lm-held")
-    counts = written(held.groupBy("g").agg(F.sum("n").alias("n")), "lm-counts")
-    scored = written(scored_grams(counts, order, min_count, backoff), "lm-scores")
-    known = held.select("bucket", "g").join(scored, "g")
-
-    def add(rows: pa.Table, table: pa.Table) -> pa.Table:
-        grams, logs = table.column("g").to_numpy(), table.column("log_s").to_numpy()
-        by = np.argsort(grams)
-        grams, logs = grams[by], logs[by]
-        sums, sizes = [], []
-        for _, _, data, offsets in bytewise.slices(rows.column("text")):
-            found = logs[np.searchsorted(grams, packed_grams(data, offsets, order))] if len(data) else np.zeros(0)
-            running = np.concatenate(([0.0], np.cumsum(found)))
-            sums.append(running[offsets[1:]] - running[offsets[:-1]])
-            sizes.append(np.diff(offsets))
-        total = np.concatenate(sums) if sums else np.zeros(0)
-        n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-        return pa.table({"doc_id": rows.column("doc_id"), "n_grams": n, "log_score": total, "mean_log_score": mean})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    scores = dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(add, f"doc_id {kind}, n_grams bigint, log_score double, mean_log_score double")
-    return scores.withColumnRenamed("doc_id", id_col)
-
-
 def planes(x: np.ndarray) -> bytes:
     """Numbers as packed byte planes: high bytes are mostly zero or few."""
     raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)

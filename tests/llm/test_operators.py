@@ -48,31 +48,6 @@ def rows_of(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 
 
-def test_lm_score(spark, docs):
-    found = Counter((r["doc_id"], r["n_grams"], round(r["log_score"], 6)) for r in lm_score.score(docs, bucket_bytes=20_000).collect())
-    data = [(i, (t or "").encode()) for i, t in rows_of(docs)]
-    n, c = [Counter() for _ in range(6)], [Counter() for _ in range(6)]
-    for _, raw in data:
-        padded = b"\2" * 4 + raw
-        for i in range(4, len(padded)):
-            for k in range(1, 6):
-                g = padded[i - k + 1 : i + 1]
-                n[k][g] += 1
-                c[k][g[:-1]] += 1
-    size, want = sum(n[1].values()), Counter()
-    for i, raw in data:
-        padded, total = b"\2" * 4 + raw, 0.0
-        for j in range(4, len(padded)):
-            k = next(k for k in range(5, 0, -1) if k == 1 or n[k][padded[j - k + 1 : j + 1]] >= 5)
-            g = padded[j - k + 1 : j + 1]
-            total += math.log(n[k][g] / (c[k][g[:-1]] if k > 1 else size) * 0.4 ** (5 - k))
-        want[(i, len(raw), round(total, 6))] += 1
-    assert {k[:2] for k in found} == {k[:2] for k in want}
-    by = lambda x: sorted((str(k[0]), k[1], k[2]) for k in x.elements())
-    assert all(abs(a[2] - b[2]) < 1e-4 for a, b in zip(by(found), by(want), strict=True))
-    assert lm_score.score(empty(spark)).count() == 0
-
-
 def test_lm_score_words(spark, docs):
     """Words in place of bytes, whole counts, own counts left out; shuffled words score below fluent ones."""
     found = [(r["doc_id"], r["n_grams"], r["log_score"]) for r in lm_score.score_words(docs, bucket_bytes=20_000, part_bytes=30_000).collect()]
@@ -173,17 +148,21 @@ def test_mixing(spark, docs):
     for _, s, n in base:
         size[s] += n
     for r in rows:
-        drawn[r["source"]] += r["_tokens"]
-    assert {(r["doc_id"], r["source"]) for r in rows} == {(i, s) for i, s, _ in base}  # nothing is lost
+        drawn[r["row"]["source"]] += r["tokens"]
+    assert {(r["row"]["doc_id"], r["row"]["source"]) for r in rows} == {(i, s) for i, s, _ in base}  # nothing is lost
     most = max(size.values())
     a = max(0.0, 1 + math.log(2) / math.log(min(size.values()) / most))
     for s, n in size.items():
         goal = round(most * (n / most) ** a)
         assert n <= drawn[s] <= max(goal, n) and goal - drawn[s] <= max(x for _, k, x in base if k == s)
         assert drawn[s] <= 2 * n + 1
-    cut = mixing.mix(docs, max_repeats=None, target_entropy=99.0, budget=sum(size.values()) // 2).agg(F.sum(F.col("_tokens") * F.col("_copies"))).first()[0]
+    cut = mixing.mix(docs, max_repeats=None, target_entropy=99.0, budget=sum(size.values()) // 2).agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0]
     assert cut <= sum(size.values()) // 2 + len(size)
     assert mixing.drawn(empty(spark)).count() == 0
+    clash = docs.withColumns({"_tokens": F.lit(7), "_source": F.lit("x"), "copies": F.lit(9), "tokens": F.lit(8)})
+    again = mixing.drawn(clash).select("row.*", F.col("block").alias("b")).collect()
+    assert len(again) == len(rows) and {(r["_tokens"], r["_source"], r["copies"], r["tokens"]) for r in again} == {(7, "x", 9, 8)}
+    assert len({(r["block"], r["key"]) for r in rows}) >= len({(r["row"]["doc_id"], r["block"]) for r in rows})
     dry = spark.createDataFrame([(1, None, None, None, 0), (2, "", None, "s", 0)], DOC)
     assert mixing.drawn(dry).count() == 2
 
@@ -203,8 +182,29 @@ def test_sharding(spark, docs):
         if texts.get(r["doc_id"]) is not None:
             assert r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode())
     assert all(len(h) == 1 for h in homes.values())
+    groups = Counter()
+    for i, t in rows_of(docs):
+        groups[t if t is not None else ("null",)] += len((t or "").encode()) + 1
+    ideal = sum(groups.values()) / 8  # the best partition is no better than the mean, nor than the largest group
+    assert max(loads.values()) <= max(max(groups.values()), 1.35 * ideal), loads
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shard_by_bytes(empty(spark)).count() == 0
+    clash = docs.withColumns({"_group": F.lit(1), "size": F.lit(2), "shard": F.lit(3), "_row": F.lit(4)})
+    assert Counter((r["doc_id"], r["size"]) for r in sharding.shard_by_bytes(clash).collect()) == base
+
+
+def test_sharding_balances_many_groups(spark):
+    """1000 texts of 1 to 3000 bytes: the law itself, loads a few bytes apart, and repeats of a row far apart."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 3000))) for _ in range(1000)] + ["same text"] * 64
+    df = spark.createDataFrame([(i if i < 1000 else 1000, t, None, None, 0) for i, t in enumerate(texts)], DOC)
+    loads, places = Counter(), []
+    for r in sharding.shard_by_bytes(df).collect():
+        loads[r["shard"]] += r["size"]
+        if r["doc_id"] == 1000:
+            places.append((r["shard"], r["slot"]))
+    assert len(loads) == 8 and max(loads.values()) - min(loads.values()) <= 64, loads
+    assert len({s for s, _ in places}) == 1 and sum(b[1] == a[1] + 1 for a, b in zip(sorted(places), sorted(places)[1:])) < 50
 
 
 def test_differencing_balances():
@@ -231,6 +231,10 @@ def test_topk(spark):
             best = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted(found) == sorted(want)
+    huge = spark.createDataFrame([(0, [1e8, 1.0]), (1, [1e8, -2.0]), (2, [3e30, 0.0]), (2, [3e30, 0.0]), (50, [1.0, 1.0, 1.0]), (51, [2.0, 0.5, -1.0])], "vec_id bigint, embedding array<float>").withColumn("v", F.lit(1))
+    rows_ = [tuple(r) for r in topk_search.top_k(huge, F.col("vec_id") % 50 == 0).collect()]
+    assert [r for r in rows_ if r[0] == 50] == [(50, 1, 51, 256 * 512 + 256 * 128 - 256 * 256)]
+    assert [r[1:] for r in sorted(rows_) if r[0] == 0] == [(1, 1, (1 << 63) - 1), (2, 2, (1 << 63) - 1), (3, 2, (1 << 63) - 1)]  # beyond a long: cut, by vec_id
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert topk_search.top_k(df.filter("vec_id in (0, 7)"), F.col("vec_id") % 50 == 0).count() == 1
 
@@ -260,6 +264,85 @@ def test_decontaminate(spark, docs):
     assert left.columns == docs.columns and left.count() == sum(not x[5] for x in want)
 
 
+def test_decontaminate_repeated_grams(spark):
+    """The same word over and over on both sides costs no more than its places; extra columns keep their values."""
+    import time
+
+    rows = spark.createDataFrame([(1, "the " * 3000 + "end", None, "k", 0), (2, "an other text of a dozen words that no item holds at all", None, "k", 0)], DOC).withColumn("leak_key", F.lit("mine"))
+    bench = spark.createDataFrame([(1, "the " * 1000), (2, "of a dozen")], "item_id bigint, text string")
+    began = time.time()
+    found = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.decontaminate(rows, bench).collect()}
+    assert found == {1: (3001, 3000, 1), 2: (13, 3, 1)} and time.time() - began < 60
+    left = decontaminate.decontaminate_rows(rows, bench.filter("item_id = 1")).collect()
+    assert [(r["doc_id"], r["leak_key"]) for r in left] == [(2, "mine")]
+
+
+def test_suffix_order(spark):
+    """Ranks against sorted suffixes; repeated starts against counting."""
+    from pactlake.llm import suffix_order
+
+    for text in (b"banana$", b"aaaaaaa", b"mississippi", b"ab", b"a"):
+        rows = [(i, b + 1) for i, b in enumerate(text)]
+        found = {r["pos"]: r["rank"] for r in suffix_order.suffix_ranks(spark.createDataFrame(rows, "pos bigint, a bigint"), len(text)).collect()}
+        want = {p: k for k, p in enumerate(sorted(range(len(text)), key=lambda p, text=text: text[p:]))}
+        assert found == want, text
+    rng = random.Random(6)
+    passage = "".join(rng.choice("xyz ") for _ in range(260))
+    texts = ["ab " + passage + " cd", passage[5:250], "é" * 140, "q", "ab " + passage + " cd"]
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "id bigint, h int, text string")
+    found = {(r["id"], r["first"]) for r in suffix_order.repeated_starts(df, 200).collect()}
+    raw = [t.encode() for t in texts]
+    counts = Counter(x[k : k + 200] for x in raw for k in range(len(x) - 199))
+    assert found == {(i, k) for i, x in enumerate(raw) for k in range(len(x) - 199) if counts[x[k : k + 200]] > 1}
+    out = {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(df.withColumnRenamed("id", "doc_id"), length=200).collect()}
+    other = repeats.remove_repeats(df.withColumnRenamed("id", "doc_id"), length=200, starts_of=lambda t: suffix_order.repeated_starts(t, 200))
+    assert out == {r["doc_id"]: r["n_removed"] for r in other.collect()} and out[0] == len(raw[0])
+
+
+def test_repeats_of_named_rows(spark):
+    """Ids of any type, null ids with equal hashes, extra columns."""
+    long = "".join(random.Random(3).choice("abc ") for _ in range(700))
+    rows = [("x", long), ("y", "!" + long[:450]), (None, "short"), (None, long[300:])]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumns({"h": F.lit(1), "inner": F.lit(2)})
+    found = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in repeats.remove_repeats(df).collect()}
+    assert found == {("x", 700): 700, ("y", 451): 450, (None, 5): 0, (None, 400): 400}
+
+
+def test_estimate_equals_plain_em():
+    """Expectation-maximisation and backward elimination, row by row in plain Python."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    logs, bounds = rng.normal(0, 3, (60, 3)), np.array([0, 0, 1, 12, 30, 60])
+
+    def em(likes, active):
+        pi = [a / sum(active) for a in active]
+        for _ in range(12):
+            sums = [0.0] * len(pi)
+            for row in likes:
+                joint = [p * x for p, x in zip(pi, row)]
+                sums = [s + j / sum(joint) for s, j in zip(sums, joint)]
+            pi = [s / len(likes) for s in sums]
+        return pi, sum(math.log(sum(p * x for p, x in zip(pi, row))) for row in likes)
+
+    found = language_id.estimate(logs, bounds, 1.0, 12)
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        if a == b:
+            assert not found[i].any()
+            continue
+        likes = [[math.exp(x - max(row)) + 1e-12 for x in row] for row in logs[a:b].tolist()]
+        active = [1.0] * 3
+        pi, fit = em(likes, active)
+        while sum(active) > 1:
+            weakest = min((p, k) for k, p in enumerate(pi) if active[k])[1]
+            tried = [0.0 if k == weakest else x for k, x in enumerate(active)]
+            new, new_fit = em(likes, tried)
+            if new_fit + math.log(max(b - a, 2)) / 2 < fit:
+                break
+            active, pi, fit = tried, new, new_fit
+        assert np.allclose(found[i], pi, atol=1e-9), i
+
+
 def test_repeats(spark, docs):
     passage = "ab" * 30 + "".join(random.Random(9).choice("xyz ") for _ in range(500))
     more = spark.createDataFrame([(300, "head é " + passage + " tail", None, None, 0), (301, passage[100:520] + "!" + passage[:450], None, None, 0)], DOC)
