@@ -23,11 +23,16 @@ COPY_WIDTH, COPY_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go: no letter, or no language with LEAST_SHARE of the words."""
+    """Documents without a recognisable language go: no letter, or no language with LEAST_SHARE of the words.
+
+    Without any labelled document all with a letter stay.
+    """
     training = docs.filter(~F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False)))
-    judged = language_id.predict(docs.withColumn("_text", F.col("text")), language_id.fit(training), text_col="_text")
-    kept = judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    return kept.select(*docs.columns)
+    model = language_id.fit(training)
+    if not model.langs:  # nothing is labelled, so nothing can be told from the rest
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    judged = language_id.predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("judged")), model, text_col="judged")
+    return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +47,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Small sources are repeated, at most twice, towards even shares; no document is lost."""
-    return drawn(docs).select(*docs.columns)
+    return drawn(docs).select("row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row."""
+    """Shard and slot of every row; slots are shuffled, so that a document's repeats stand apart."""
     return shard_by_bytes(docs)
 
 
