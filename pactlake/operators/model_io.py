@@ -80,7 +80,10 @@ def with_keyword_prompts(batches: DataFrame) -> DataFrame:
 
 
 def invoke(prompts: DataFrame, model_factory: Callable, calls: int = 8) -> DataFrame:
-    """Prompts with their `response`, at most `calls` at a time (one partition each); a failed call has `error`."""
+    """(prompt_hash, response, error) of every distinct prompt, at most `calls` at a time; a failed call has `error`.
+
+    Prompts are dealt by hash, so a retried task sends its own prompts again; write the result before it is used.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_factory()
@@ -95,10 +98,15 @@ def invoke(prompts: DataFrame, model_factory: Callable, calls: int = 8) -> DataF
                 except Exception as e:  # the document fails, not the corpus
                     answers.append(None)
                     errors.append(str(e))
-            yield batch.assign(response=answers, error=errors)
+            yield pd.DataFrame({"prompt_hash": batch["prompt_hash"], "response": answers, "error": errors})
+
+    unique = prompts.select(F.sha2("prompt", 256).alias("prompt_hash"), "prompt").dropDuplicates(["prompt_hash"])
+    return unique.repartition(calls, "prompt_hash").mapInPandas(run, "prompt_hash string, response string, error string")
+
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
-    return prompts.repartition(calls).mapInPandas(run, f"{kinds}, response string, error string")
+def with_replies(prompts: DataFrame, sent: DataFrame) -> DataFrame:
+    """Prompts with the `response` and `error` that invoke() returned for them."""
+    return prompts.withColumn("prompt_hash", F.sha2("prompt", 256)).join(sent, "prompt_hash").drop("prompt_hash")
 
 
 def replay(prompts: DataFrame, table: DataFrame) -> DataFrame:

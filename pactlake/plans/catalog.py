@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactlake.functions import fixed, text
-from pactlake.operators import coverage, evaluate, evidence, export, filters, jobs, merge, model_io, normalize, segment
+from pactlake.operators import coverage, evaluate, evidence, export, filters, jobs, merge, model_io, normalize, reports, segment
+from pactlake.plans import pipeline
 from pactlake.sources import contract_view, documents
 
 QUERIES: dict = {}
@@ -456,7 +457,7 @@ def report_aggregate(spark, sf_dir):
     return evaluate.aggregate_reports(reports_of(spark, sf_dir))
 
 
-@query("WITH r AS (SELECT o_orderkey AS ord, 'doc' || o_orderkey AS d, floor(o_totalprice) AS s, (o_orderkey % 101)::DOUBLE AS a FROM orders WHERE o_orderkey % 13 > 0) SELECT (SELECT d FROM r ORDER BY a DESC, ord LIMIT 1) AS best, (SELECT d FROM r ORDER BY a, ord LIMIT 1) AS worst, (SELECT d FROM r ORDER BY s, ord LIMIT 1) AS fastest, (SELECT d FROM r ORDER BY s DESC, ord LIMIT 1) AS slowest")
+@query("WITH r AS (SELECT o_orderkey AS ord, 'doc' || o_orderkey AS d, floor(o_totalprice) AS s, CASE WHEN o_orderkey % 13 > 0 THEN (o_orderkey % 101)::DOUBLE ELSE 0 END AS a FROM orders) SELECT (SELECT d FROM r ORDER BY a DESC, ord LIMIT 1) AS best, (SELECT d FROM r ORDER BY a, ord LIMIT 1) AS worst, (SELECT d FROM r ORDER BY s, ord LIMIT 1) AS fastest, (SELECT d FROM r ORDER BY s DESC, ord LIMIT 1) AS slowest")
 def report_highlights(spark, sf_dir):
     return evaluate.highlights(reports_of(spark, sf_dir))
 
@@ -467,6 +468,58 @@ def newest_result(spark, sf_dir):
     return documents.newest_results(files)
 
 
+def raw_reports_of(spark, sf_dir) -> DataFrame:
+    """Reports of the newer shape for even orders, of the older one for odd ones."""
+    o = table(spark, sf_dir, "orders")
+    key, new = F.col("o_orderkey"), F.col("o_orderkey") % 2 == 0
+    counts = F.struct((key % 9).alias("expected_items"), (key % 8).alias("predicted_items"), (key % 7).alias("matched_items"), (key % 4).alias("missing_items"), (key % 5).alias("extra_items"))
+    names = lambda n: F.when(~new, F.transform(F.sequence(F.lit(0), (key % n).cast("int")), lambda i: i.cast("string")))
+    return o.select(
+        F.concat(F.col("o_custkey").cast("string"), F.lit("_"), key.cast("string"), F.lit("_eval_report.json")).alias("filename"), F.concat(F.lit("doc"), key.cast("string")).alias("document_name"), F.floor("o_totalprice").cast("double").alias("processing_time_seconds"),
+        F.when(new, (key % 101).cast("double")).alias("overall_accuracy_percent"), F.when(~new, (key % 97).cast("double")).alias("accuracy_percent"), F.when(key % 3 > 0, (key % 5) / 4).alias("precision"), ((key % 3) / 2).alias("recall"), F.lit(0.5).alias("f1"),
+        F.when(new, counts).alias("summary"), F.when(~new, key % 11).alias("expected"), F.when(~new, key % 10).alias("found"), F.when(~new & (key % 3 > 0), key % 6).alias("matched"), names(4).alias("missing"), names(3).alias("extra"),
+    )
+
+
+@query("SELECT o_custkey || '_' || o_orderkey || '_eval_report.json' AS filename, 'doc' || o_orderkey AS document_name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 101 ELSE o_orderkey % 97 END::DOUBLE AS overall_accuracy_percent, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 5) / 4.0::DOUBLE ELSE 0 END::DOUBLE AS precision, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 9 ELSE o_orderkey % 11 END::BIGINT AS expected_items, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 8 ELSE o_orderkey % 10 END::BIGINT AS predicted_items, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 7 WHEN o_orderkey % 3 > 0 THEN o_orderkey % 6 ELSE 0 END::BIGINT AS matched_items, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 4 ELSE o_orderkey % 4 + 1 END::BIGINT AS missing_items, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 5 ELSE o_orderkey % 3 + 1 END::BIGINT AS extra_items FROM orders")
+def report_summary(spark, sf_dir):
+    rows = reports.report_summary(raw_reports_of(spark, sf_dir))
+    return rows.select("filename", "document_name", "overall_accuracy_percent", "precision", "expected_items", "predicted_items", "matched_items", "missing_items", "extra_items")
+
+
+@query("SELECT o_custkey || '_' || o_orderkey || '_eval_report.json' AS filename, o_custkey::BIGINT AS number, CASE WHEN o_custkey % 3 > 0 THEN o_custkey || '_result.json' END AS result_file, printf('%.2f%%', (o_orderkey % 5) * 25.0::DOUBLE) AS shown FROM orders")
+def report_runs(spark, sf_dir):
+    runs = table(spark, sf_dir, "customer").filter("c_custkey % 3 > 0").select(F.col("c_custkey").cast("bigint").alias("number"), F.concat(F.col("c_custkey").cast("string"), F.lit("_result.json")).alias("result_file"))
+    names = table(spark, sf_dir, "orders").select(F.concat(F.col("o_custkey").cast("string"), F.lit("_"), F.col("o_orderkey").cast("string"), F.lit("_eval_report.json")).alias("filename"), reports.percent((F.col("o_orderkey") % 5) / 4 * 100).alias("shown"))
+    return reports.with_runs(names, runs).select("filename", "number", "result_file", "shown")
+
+
+@query("SELECT 'r' || o_orderkey AS filename, floor(o_totalprice)::DOUBLE AS processing_time_seconds, round(CASE WHEN o_orderkey % 7 > 0 THEN floor(o_totalprice)::DOUBLE / (o_orderkey % 7) END, 2) AS seconds_per_page, round(CASE WHEN o_orderkey % 40 > 0 THEN floor(o_totalprice)::DOUBLE / (o_orderkey % 40) END, 2) AS seconds_per_segment FROM orders")
+def result_performance(spark, sf_dir):
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("r"), key.cast("string")).alias("filename"), F.lit("d").alias("document_name"), F.floor("o_totalprice").cast("double").alias("processing_time_seconds"), (key % 7).alias("total_pages"), (key % 40).alias("total_segments"), (key % 11).alias("total_keyword_groups"))
+    return reports.performance(rows).select("filename", "processing_time_seconds", "seconds_per_page", "seconds_per_segment")
+
+
+@query("SELECT count(*)::BIGINT AS total_files, count_if(o_orderstatus = 'F')::BIGINT AS succeeded, count_if(o_orderstatus <> 'F')::BIGINT AS failed, 3 AS max_parallel_files FROM orders")
+def batch_response(spark, sf_dir):
+    docs = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", "success").otherwise("failed").alias("status"))
+    return pipeline.batch_response(docs, 3)
+
+
+# ---- the whole chain ----
+
+#: CHAIN over normalised lines: footers gone, the number alone on its line joined to its heading.
+NORMAL_CHAIN = PAGES.replace("raw AS", "raw0 AS").replace("FROM raw)", "FROM raw0)") + "," + CHAIN.replace(f"raw AS ({RAW})", "raw AS (SELECT doc_id, page, pos, CASE WHEN text = '2.' THEN '2. Payment Terms' ELSE text END AS text FROM gone WHERE NOT gone AND text <> 'Payment Terms')")
+
+
+@query(f"WITH {NORMAL_CHAIN} SELECT doc_id, 'success' AS status, 3::BIGINT AS total_pages, count(*)::BIGINT AS total_segments, ((count(*) + 47) // 48)::BIGINT AS keyword_extraction_batches FROM segments GROUP BY doc_id")
+def contract_pipeline(spark, sf_dir):
+    """Every rendered contract through all stages. No model takes part, so coverage alone makes groups; counters are compared."""
+    out = pipeline.run(contract_view.pages(spark, sf_dir))
+    return out["documents"].join(out["results"], "doc_id").select("doc_id", "status", "total_pages", "total_segments", "keyword_extraction_batches")
+
+
 # ---- jobs ----
 
 STATES = "CASE WHEN o_orderstatus = 'F' THEN 'success' WHEN o_orderkey % 4 = 0 THEN 'failed' WHEN o_orderkey % 4 = 1 THEN 'cached' WHEN o_orderkey % 4 = 2 THEN 'success' WHEN o_custkey % 2 = 0 THEN 'processing' ELSE 'queued' END"

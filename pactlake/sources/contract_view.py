@@ -56,20 +56,16 @@ FOOTER, FOOTER_SHIFT = 59, 2_000_000_000
 
 
 def lines_sql(dialect: str = "spark") -> str:
-    """(doc_id, page, pos, text) of every raw line: each order is exploded into the template numbers.
-
-    The DuckDB twin is kept as it was: it holds 30 items an order.
-    """
-    shift, most = (FOOTER_SHIFT, "") if dialect == "spark" else (0, " WHERE n <= 30")
+    """(doc_id, page, pos, text) of every raw line: each order is exploded into the template numbers."""
     last = len(TEMPLATES) - 1
     numbers = f"explode(sequence(0, {last}))" if dialect == "spark" else f"unnest(range(0, {last + 1}))"
     base = f"SELECT o_orderkey, o_totalprice, o_orderdate, c_name, n_name, {numbers} AS t FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
     page = "CASE t " + " ".join(f"WHEN {i} THEN {p}" for i, (p, _, _, _) in enumerate(TEMPLATES)) + " END"
-    pos = "CASE t " + " ".join(f"WHEN {i} THEN {n + shift if n >= FOOTER else n}" for i, (_, n, _, _) in enumerate(TEMPLATES)) + " END"
+    pos = "CASE t " + " ".join(f"WHEN {i} THEN {n + FOOTER_SHIFT if n >= FOOTER else n}" for i, (_, n, _, _) in enumerate(TEMPLATES)) + " END"
     text = "CASE t " + " ".join(f"WHEN {i} THEN CASE WHEN {c} THEN {x} END" for i, (_, _, c, x) in enumerate(TEMPLATES)) + " END"
     rank = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)"  # line numbers repeat
     numbered = f"SELECT l_orderkey, l_partkey, l_quantity, {rank} AS n FROM lineitem"
-    items = f"SELECT l_orderkey AS o_orderkey, 1 AS page, CAST(20 + n AS INT) AS pos, '(' || substr('abcdefghij', CAST((n - 1) % 10 + 1 AS INT), 1) || ') Part ' || CAST(l_partkey AS STRING) || ' with a minimum of ' || CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING) || ' units.' AS text FROM ({numbered}){most}"
+    items = f"SELECT l_orderkey AS o_orderkey, 1 AS page, CAST(20 + n AS INT) AS pos, '(' || substr('abcdefghij', CAST((n - 1) % 10 + 1 AS INT), 1) || ') Part ' || CAST(l_partkey AS STRING) || ' with a minimum of ' || CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING) || ' units.' AS text FROM ({numbered})"
     return f"SELECT 'c' || CAST(o_orderkey AS STRING) AS doc_id, CAST(page AS INT) AS page, CAST(pos AS INT) AS pos, text FROM (SELECT o_orderkey, {page} AS page, {pos} AS pos, {text} AS text FROM ({base}) UNION ALL {items}) WHERE text IS NOT NULL"
 
 

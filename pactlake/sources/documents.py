@@ -140,3 +140,15 @@ def free_names(uploads: DataFrame) -> DataFrame:
 def number_of(name: str) -> str | None:
     found = re.match(r"\d+", name)
     return found[0] if found else None
+
+
+def listing(spark: SparkSession, folder: str, pattern: str = "*_eval_report.json") -> DataFrame:
+    """(filename, path, length, modified) of the files of a folder that fit the pattern, by number and name.
+
+    Names only, contents are not read: files without a number come last. A folder without such files gives no rows.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    prefix = F.split(name, "_")[0]
+    number = F.when(prefix.rlike("^[0-9]{1,18}$"), prefix.cast("bigint")).otherwise(F.lit(10**9).cast("bigint"))
+    return files.select(name.alias("filename"), "path", "length", F.col("modificationTime").alias("modified")).orderBy(number, "filename")

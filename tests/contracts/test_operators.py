@@ -101,7 +101,9 @@ def test_keyword_stage(spark):
     segments = spark.createDataFrame([seg(1, "1. Notices\nSend mail.", "1. Notices"), seg(2, "2. Term. It ends.", "2. Term."), seg(1, "boom", doc="e")], SEGMENT)
     batches = model_io.with_keyword_prompts(model_io.keyword_batches(segments, 50))
     reply = "```json\n" + json.dumps({"keyword_groups": [{"representative_keyword": "Notice", "provision": "notice", "reason": "x", "related_keywords": [" a ", ""], "metadata": {"id": "seg_001"}}, {"representative_keyword": "Cure", "related_keywords": ["breach"], "metadata": {"id": "zzz"}}, {"representative_keyword": " "}]}) + "\n```"
-    answered = model_io.invoke(batches, lambda: Echo(reply), 2).cache()
+    sent = model_io.invoke(batches.unionByName(batches), lambda: Echo(reply), 2).cache()
+    assert sent.count() == 2  # equal prompts are sent once
+    answered = model_io.with_replies(batches, sent).cache()
     assert {r["doc_id"]: r["error"] for r in answered.collect()} == {"d": None, "e": "no"}
     out = by_pos(model_io.keyword_groups(batches, answered.filter("error is null").select("doc_id", "batch", "response")))
     assert [(r["representative_keyword"], r["provision_type"], r["related_keywords"]) for r in out] == [("Notice", "notices", ["a"]), ("Cure", "termination", ["breach"])]
