@@ -5,12 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactlake.functions import text
+from pactlake.functions import fixed, text
 
-SIGNATURE = r"(?i)^(IN WITNESS WHEREOF|SIGNATURES?|SIGNED|AGREED AND ACCEPTED|ACCEPTED AND AGREED)\b"
-STRUCTURE = r"(?i)^(ARTICLE|SECTION|SCHEDULE|EXHIBIT|APPENDIX|ANNEX)\b"
-NUMBERED = r"(?U)^(\d+\.|\d+(?:\.\d+)+\.?)\s+(\S.*)$"
-BULLET = r"(?U)^(\([A-Za-z0-9]+\)|[a-z]\.)\s+\S"
 MAX_TOKENS, MIN_TOKENS, MAX_LEVEL = 500, 40, 8
 
 
@@ -24,7 +20,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
 def numbered_title(line: Column) -> Column:
     """S3: the number and the shortest part of the body that ends in . or : (up to 140 characters, no initials); else the line."""
-    number, body = F.regexp_extract(line, NUMBERED, 1), F.regexp_extract(line, NUMBERED, 2)
+    number, body = F.regexp_extract(line, fixed.NUMBERED, 1), F.regexp_extract(line, fixed.NUMBERED, 2)
     ends = F.filter(F.sequence(F.lit(1), F.least(F.greatest(F.length(body), F.lit(1)), F.lit(140))), lambda i: F.substring(body, i, F.lit(1)).isin(".", ":") & ((i == F.length(body)) | F.substring(body, i + 1, F.lit(1)).rlike(r"(?U)^\s")))
     parts = F.filter(F.transform(ends, lambda i: F.substring(body, F.lit(1), i)), lambda p: ~p.rlike(r"(?U)^(?:[A-Z]\.\s*)+$"))
     return F.when(F.size(parts) > 0, F.concat(number, F.lit(" "), F.get(parts, 0))).otherwise(line)
@@ -35,12 +31,12 @@ def detect_headings(lines: DataFrame) -> DataFrame:
     t = F.col("text")
     word = F.lower(F.regexp_extract(t, r"(?U)^\S+", 0))
     structure = F.when(word.isin("schedule", "exhibit", "appendix", "annex"), word).otherwise("section")
-    numbered = t.rlike(NUMBERED)
-    level = F.size(F.split(F.regexp_replace(F.regexp_extract(t, NUMBERED, 1), r"\.+$", ""), r"\."))
-    kind = F.when(t.rlike(SIGNATURE), "signature").when(t.rlike(STRUCTURE), structure).when(numbered, "section").when(t.rlike(BULLET), "bullet")
-    plain = t.rlike(SIGNATURE) | t.rlike(STRUCTURE)
-    title = F.when(plain, t).when(numbered, numbered_title(t)).when(t.rlike(BULLET), F.regexp_extract(t, BULLET, 1))
-    depth = F.when(plain, 1).when(numbered, level).when(t.rlike(BULLET), 99)
+    numbered = t.rlike(fixed.NUMBERED)
+    level = F.size(F.split(F.regexp_replace(F.regexp_extract(t, fixed.NUMBERED, 1), r"\.+$", ""), r"\."))
+    kind = F.when(t.rlike(fixed.SIGNATURE), "signature").when(t.rlike(fixed.STRUCTURE), structure).when(numbered, "section").when(t.rlike(fixed.BULLET), "bullet")
+    plain = t.rlike(fixed.SIGNATURE) | t.rlike(fixed.STRUCTURE)
+    title = F.when(plain, t).when(numbered, numbered_title(t)).when(t.rlike(fixed.BULLET), F.regexp_extract(t, fixed.BULLET, 1))
+    depth = F.when(plain, 1).when(numbered, level).when(t.rlike(fixed.BULLET), 99)
     return lines.withColumns({"h_kind": kind, "h_title": title, "h_level": depth})
 
 
