@@ -291,10 +291,7 @@ def merge_key(spark, sf_dir):
 
 @query(f"WITH {KEYED} SELECT doc_id, min(pos)::INT AS pos, count(*)::BIGINT AS n_merged FROM keyed GROUP BY doc_id, merge_key")
 def merge_first_seen(spark, sf_dir):
-    merged = merge.merge_groups(groups_of(spark, sf_dir)).select("doc_id", "pos")
-    g = groups_of(spark, sf_dir)
-    sizes = g.select("doc_id", "pos", merge.merge_key({c: F.col(c) for c in g.columns}).alias("k")).groupBy("doc_id", "k").agg(F.min("pos").alias("pos"), F.count("*").alias("n_merged"))
-    return merged.join(sizes.drop("k"), ["doc_id", "pos"])
+    return merge.merge_groups(groups_of(spark, sf_dir), counted=True).select("doc_id", "pos", "n_merged")
 
 
 @query()
