@@ -44,6 +44,8 @@ from pactlake.llm.components import components
 WIDTH, PERCENT = 3, 90
 #: Longs of a class's bitmap.
 LONGS = 8
+#: Earlier shingles by which a pair that was met before is told; pairs that are met again all the same cost only time.
+EARLIER = 4
 #: Bytes of a row of keys in memory, at most about.
 _KEY_BYTES = 120
 
@@ -117,18 +119,22 @@ def classes_of(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Da
 
 
 def postings_of(classes: DataFrame, percent: int) -> DataFrame:
-    """(cno, n, token, pos) of the prefix shingles that more than one class holds; pos is 0-based, at most the true place."""
+    """(cno, n, token, pos, earlier) of the prefix shingles that more than one class holds.
+
+    pos is 0-based, at most the true place; earlier has the last few such shingles before.
+    """
     entries = classes.select("cno", F.explode("tokens").alias("token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("holders")).filter("holders > 1")
     bound = int(sampled_share(percent) * (1 << 64)) - (1 << 63)  # hashes are unsigned, Spark's longs are not
     counted = F.col("token").bitwiseXOR(F.lit(-(1 << 63))) < F.lit(min(bound, (1 << 63) - 1))
     held = entries.join(shared, "token").select("cno", "token", F.when(counted, F.col("holders")).alias("holders"))
     own = Window.partitionBy("cno")
-    placed = held.select("cno", "token", F.count("holders").over(own).alias("known"), F.row_number().over(own.orderBy(F.col("holders").asc_nulls_last(), "token")).alias("nth"))
+    order = own.orderBy(F.col("holders").asc_nulls_last(), "token")
+    placed = held.select("cno", "token", F.count("holders").over(own).alias("known"), F.row_number().over(order).alias("nth"), F.collect_list("token").over(order.rowsBetween(-EARLIER, -1)).alias("earlier"))
     placed = placed.join(classes.select("cno", "n", "first"), "cno")
     # shingles that no other class holds come first, then shared ones below the bound, then the rest
     pos = (F.col("first") - F.col("known") + F.col("nth") - 1).cast("int")
-    return placed.select("cno", "n", "token", pos.alias("pos")).filter(F.col("pos") < prefix_length(F.col("n"), percent))
+    return placed.select("cno", "n", "token", pos.alias("pos"), "earlier").filter(F.col("pos") < prefix_length(F.col("n"), percent))
 
 
 def differ(x: str, y: str) -> Column:
@@ -151,6 +157,12 @@ def places_fit(n: Column, pos: Column, m: Column, at: Column, percent: int) -> C
     return sizes_fit(n, m, percent) & (F.least(n - pos, m - at) >= need(n, m, percent))
 
 
+def close(x: str, y: str, percent: int) -> Column:
+    """Length and bitmap filters for two sides with sizes x_n, y_n."""
+    n, m = F.col(f"{x}_n"), F.col(f"{y}_n")
+    return sizes_fit(n, m, percent) & (differ(x, y) <= n + m - 2 * need(n, m, percent))
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cno, text) of one row of each wanted class (cno, key); texts compress, sets of hashes do not."""
     keys = bounded_broadcast(wanted.select("key", "cno"), _KEY_BYTES)
@@ -202,17 +214,13 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     discard(classes)
     members, groups = groups_of(postings, narrow, percent)
     entries = written(postings.join(groups.select(F.col("gid").alias("cno")), "cno", "left_semi").withColumnRenamed("cno", "gid"), "join-entries")
-    elected = entries.groupBy("token").agg(F.min(F.struct("pos", "gid", "n")).alias("p"))
+    # ties go by a hash that differs from shingle to shingle, so that a family of texts gets many pivots
+    elected = entries.groupBy("token").agg(F.min(F.struct("pos", F.xxhash64("token", "gid").alias("h"), "gid", "n")).alias("p"))
     elected = written(elected.select("token", F.col("p.gid").alias("pivot"), F.col("p.n").alias("m"), F.col("p.pos").alias("at")), "join-elected")
 
-    def sketched(cno: str, name: str) -> DataFrame:
-        return members.select(F.col("cno").alias(cno), F.col("n").alias(f"{name}_n"), F.col("parity").alias(f"{name}_lo"), F.col("parity").alias(f"{name}_hi"))
-
     def test(pairs: DataFrame) -> DataFrame:
-        """Links among pairs (a, b) of classes; only the texts of those that pass the members' own filters are fetched."""
-        met = pairs.join(sketched("a", "x"), "a").join(sketched("b", "y"), "b")
-        n, m = F.col("x_n"), F.col("y_n")
-        met = written(met.filter(sizes_fit(n, m, percent) & (differ("x", "y") <= n + m - 2 * need(n, m, percent))).select("a", "b").distinct(), "join-pairs")
+        """Links among pairs (a, b) of classes; only their texts are fetched."""
+        met = written(pairs.select("a", "b"), "join-pairs")
         held = met.select(F.col("a").alias("cno")).unionByName(met.select(F.col("b").alias("cno"))).distinct()
         wanted = written(members.select("cno", "key").join(held, "cno", "left_semi"), "join-wanted")
         texts = written(texts_of(base, wanted), "join-texts")
@@ -224,17 +232,23 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     fits = places_fit(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), percent)
     starred = entries.join(elected, "token").filter((F.col("gid") != F.col("pivot")) & fits).select("gid", "pivot").distinct()
     inside = groups.filter("size > 1").select("gid", F.col("gid").alias("pivot"))
-    links = test(starred.unionByName(inside).join(members.select("gid", "cno"), "gid").filter("cno <> pivot").select(F.col("cno").alias("a"), F.col("pivot").alias("b")))
+    stars = starred.unionByName(inside).join(sketched(members, "gid", "a", "x"), "gid").filter(F.col("a") != F.col("pivot"))
+    links = test(stars.join(sketched(members, "cno", "b", "y").withColumnRenamed("cno", "pivot"), "pivot").filter(close("x", "y", percent)))
     comp = components(links)
     named = written(members.select("cno", "gid").join(comp, F.col("cno") == F.col("id"), "left").select("cno", "gid", F.coalesce("comp", "cno").alias("comp")), "join-comps")
-    links = links.unionByName(test(unresolved(entries, groups, elected, named, percent)))
+    links = links.unionByName(test(unresolved(entries, members, groups, elected, named, percent)))
     comp = written(components(links), "join-found")
     by_class = written(narrow.join(comp, F.col("cno") == F.col("id"), "left").select("cid", F.coalesce("comp", "cno").alias("comp")), "join-classes")
     discard(postings, narrow, members, groups, entries, elected, named)
     return rows, by_class
 
 
-def unresolved(entries: DataFrame, groups: DataFrame, elected: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+def sketched(members: DataFrame, by: str, name: str, side: str, *more: str) -> DataFrame:
+    """Members as `name`, with size and bitmap named for one side of differ()."""
+    return members.select(by, F.col("cno").alias(name), F.col("n").alias(f"{side}_n"), F.col("parity").alias(f"{side}_lo"), F.col("parity").alias(f"{side}_hi"), *more)
+
+
+def unresolved(entries: DataFrame, members: DataFrame, groups: DataFrame, elected: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in different components whose groups share a prefix shingle and pass the group filters."""
     spans = written(named.groupBy("gid").agg(F.min("comp").alias("least"), F.max("comp").alias("most")), "join-spans")
     facts = groups.select("gid", "lo", F.when(F.col("size") > 1, F.col("hi")).alias("hi")).join(spans, "gid")
@@ -244,18 +258,23 @@ def unresolved(entries: DataFrame, groups: DataFrame, elected: DataFrame, named:
     open_ = written(span.join(major, "token"), "join-open")
     current = current.join(open_, "token")
     inner = F.coalesce((F.col("least") == F.col("most")) & (F.col("least") == F.col("major")), F.lit(False))
-    current = written(current.select("token", "gid", "n", "pos", "lo", "hi", "least", "most", inner.alias("inner")), "join-current")
-    x = current.filter("not inner").select("token", F.col("gid").alias("g"), "n", "pos", F.col("lo").alias("x_lo"), F.coalesce("hi", "lo").alias("x_hi"), F.col("least").alias("x_least"), F.col("most").alias("x_most"))
-    y = current.select("token", F.col("gid").alias("h"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("lo").alias("y_lo"), F.coalesce("hi", "lo").alias("y_hi"), F.col("least").alias("y_least"), F.col("most").alias("y_most"), "inner")
+    current = written(current.select("token", "gid", "n", "pos", "earlier", "lo", "hi", "least", "most", inner.alias("inner")), "join-current")
+    x = current.filter("not inner").select("token", F.col("gid").alias("g"), F.col("n").alias("x_n"), "pos", "earlier", F.col("lo").alias("x_lo"), F.coalesce("hi", "lo").alias("x_hi"), F.col("least").alias("x_least"), F.col("most").alias("x_most"))
+    y = current.select("token", F.col("gid").alias("h"), F.col("n").alias("y_n"), F.col("pos").alias("at"), F.col("earlier").alias("before"), F.col("lo").alias("y_lo"), F.coalesce("hi", "lo").alias("y_hi"), F.col("least").alias("y_least"), F.col("most").alias("y_most"), "inner")
     apart = (F.least("x_least", "y_least") != F.greatest("x_most", "y_most")) & ((F.col("g") < F.col("h")) | (F.col("inner") & (F.col("g") != F.col("h"))))
-    fits = places_fit(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), percent)
-    close = differ("x", "y") <= F.col("n") + F.col("m") - 2 * need(F.col("n"), F.col("m"), percent)
-    pairs = x.join(y, "token").filter(apart & fits & close).select("g", "h").distinct()
+    fits = places_fit(F.col("x_n"), F.col("pos"), F.col("y_n"), F.col("at"), percent)
+    again = F.arrays_overlap("earlier", "before")  # a pair that passes here passes at an earlier shared shingle too
+    pairs = x.join(y, "token").filter(apart & fits & close("x", "y", percent) & ~again).select("g", "h").distinct()
     pairs = written(pairs.unionByName(spans.filter("least <> most").select(F.col("gid").alias("g"), F.col("gid").alias("h"))), "join-group-pairs")
-    left = named.select(F.col("gid").alias("g"), F.col("cno").alias("a"), F.col("comp").alias("acomp"))
-    right = named.select(F.col("gid").alias("h"), F.col("cno").alias("b"), F.col("comp").alias("bcomp"))
-    met = pairs.join(left, "g").join(right, "h").filter((F.col("acomp") != F.col("bcomp")) & ((F.col("g") != F.col("h")) | (F.col("a") < F.col("b"))))
-    return met.select("a", "b")
+    # one side's members meet the other group's bitmaps first, so that pairs that no member passes are not expanded
+    other = facts.join(groups.select("gid", "n"), "gid").select(F.col("gid").alias("h"), F.col("n").alias("y_n"), F.col("lo").alias("y_lo"), F.coalesce("hi", "lo").alias("y_hi"), F.col("least").alias("y_least"), F.col("most").alias("y_most"))
+    held = written(members.join(named.select("cno", "comp"), "cno"), "join-held")
+    left = sketched(held, "gid", "a", "x", F.col("comp").alias("acomp")).withColumnRenamed("gid", "g")
+    beside = (F.col("acomp") != F.col("y_least")) | (F.col("acomp") != F.col("y_most"))
+    half = pairs.join(other, "h").join(left, "g").filter(beside & close("x", "y", percent)).drop("y_n", "y_lo", "y_hi")
+    right = sketched(held, "gid", "b", "y", F.col("comp").alias("bcomp")).withColumnRenamed("gid", "h")
+    each = half.join(right, "h").filter((F.col("acomp") != F.col("bcomp")) & ((F.col("g") != F.col("h")) | (F.col("a") < F.col("b"))) & close("x", "y", percent))
+    return each.select("a", "b")
 
 
 def names_of(rows: DataFrame, by_class: DataFrame, name: Column) -> DataFrame:
