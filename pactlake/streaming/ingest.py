@@ -1,4 +1,4 @@
-"""Streaming ingest (T1, T2, T4): new text files of a folder become pages, batch by batch."""
+"""Streaming ingest (T1, T2): new text files of a folder become pages, batch by batch."""
 
 from __future__ import annotations
 
