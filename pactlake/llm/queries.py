@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm import decontaminate, language_id, license_scan, lm_score, mixing, ngram_join, repeats, sharding, topk_search, url_filter
+from pactlake.llm import decontaminate, hard_negatives, language_id, license_scan, lm_score, mixing, ngram_join, repeats, sharding, source_audit, token_counts, topk_search, url_filter
 from pactlake.llm.common import table
 
 
@@ -50,6 +51,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_language_id": op2_language_id,
@@ -61,6 +75,9 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_url_filter": op9_url_filter,
     "op10_ngram_join": op10_ngram_join,
+    "op11_source_audit": op11_source_audit,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLES = {
@@ -70,4 +87,6 @@ ORACLES = {
     "op7_decontaminate": decontaminate.oracle(),
     "op9_url_filter": url_filter.oracle(),
     "op10_ngram_join": ngram_join.oracle(),
+    "op11_source_audit": source_audit.oracle(),
+    "op12_hard_negatives": hard_negatives.oracle(),
 }
