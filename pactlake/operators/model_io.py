@@ -167,20 +167,35 @@ def keyword_groups(batches: DataFrame, replies: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.row_number().over(order) - 1).alias("pos"), F.col("name").alias("representative_keyword"), kind.alias("provision_type"), F.col("related").alias("related_keywords"), context.alias("context_text"), F.lit(None).cast("string").alias("exact_text"), F.expr(f"cast(array() as array<{EVIDENCE}>)").alias("evidences"), meta.cast(META).alias("meta"))
 
 
+def first_segments(segments: DataFrame, most: int) -> DataFrame:
+    """The first `most` segments of each (document, page, source), (document, page), (document, source) and document.
+
+    has_page and has_source tell a null of the segments from a side that is left open.
+    """
+    s = segments.select("doc_id", F.struct("seg_no", "segment_id").alias("s"), "page", "source")
+    on = lambda page, source: F.struct(F.lit(page).alias("has_page"), F.lit(source).alias("has_source"), (F.col("page") if page else F.lit(None)).alias("page"), (F.col("source") if source else F.lit(None)).alias("source"))
+    keyed = s.select("doc_id", "s", F.explode(F.array(*[on(p, q) for p in (True, False) for q in (True, False)])).alias("on")).select("doc_id", "s", "on.*")
+    return keyed.groupBy("doc_id", "has_page", "has_source", "page", "source").agg(F.slice(F.array_sort(F.collect_list("s")), 1, most).alias("first"))
+
+
 def candidate_segments(groups: DataFrame, segments: DataFrame, most: int = 2) -> DataFrame:
     """(doc_id, pos, rank, segment_id): the named segment; else the first on the page and source; else the document's first.
 
-    Three equi-joins on the document; only the first `most` segments of a tier are carried on.
+    A null page or source of a group leaves that side open. Lookups by equality in the lists of `first_segments`, so a
+    group meets one list of at most `most` segments, not the segments of its document.
     """
     wanted = F.coalesce(text.blank_to_null(F.col("meta.id")), F.col("meta.segment_id"))
     g = groups.select("doc_id", "pos", wanted.alias("segment_id"), F.col("meta.page").alias("page"), F.col("meta.source").alias("source"))
-    s = segments.select("doc_id", "seg_no", "segment_id", F.col("page").alias("_page"), F.col("source").alias("_source"))
-    named = g.join(s.select("doc_id", "segment_id"), ["doc_id", "segment_id"]).select("doc_id", "pos", F.lit(1).alias("rank"), "segment_id")
-    open_ = g.join(named.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti").drop("segment_id")
-    met = open_.join(s, "doc_id").withColumn("fits", (F.col("source").isNull() | F.coalesce(F.col("source") == F.col("_source"), F.lit(False))) & (F.col("page").isNull() | F.coalesce(F.col("page") == F.col("_page"), F.lit(False))))
-    met = met.withColumn("any", F.max("fits").over(Window.partitionBy("doc_id", "pos"))).filter("fits or not any")
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "pos").orderBy("seg_no"))).filter(F.col("rank") <= most)
-    return named.unionByName(ranked.select("doc_id", "pos", "rank", "segment_id"))
+    named = g.join(segments.select("doc_id", "segment_id"), ["doc_id", "segment_id"], "left_semi").select("doc_id", "pos", F.lit(1).alias("rank"), "segment_id")
+    open_ = g.join(named.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti").drop("segment_id").withColumns({"has_page": F.col("page").isNotNull(), "has_source": F.col("source").isNotNull()})
+    lists = first_segments(segments, most)
+    both = lists.filter("(not has_page or page is not null) and (not has_source or source is not null)")
+    keys = ["doc_id", "has_page", "has_source"]
+    known = lambda df: df.withColumns({"page": F.coalesce(F.col("page").cast("string"), F.lit("")), "source": F.coalesce("source", F.lit(""))})
+    met = known(open_).join(known(both), [*keys, "page", "source"], "left")
+    whole = lists.filter("not has_page and not has_source").select("doc_id", F.col("first").alias("any"))
+    found = met.join(whole, "doc_id", "left").select("doc_id", "pos", F.posexplode(F.coalesce("first", "any")).alias("rank", "s"))
+    return named.unionByName(found.select("doc_id", "pos", (F.col("rank") + 1).alias("rank"), "s.segment_id"))
 
 
 def evidence_batches(groups: DataFrame, segments: DataFrame, size: int = 50, most: int = 2) -> DataFrame:

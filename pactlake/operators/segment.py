@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pactlake.functions import fixed, text
 
-MAX_TOKENS, MIN_TOKENS, MAX_LEVEL = 500, 40, 8
+MAX_TOKENS, MIN_TOKENS = 500, 40
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -65,24 +65,30 @@ def build_blocks(lines: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "block_no", "lines", "source", kind.alias("kind"), title.alias("title"), F.coalesce("level", F.lit(1)).alias("level"), F.coalesce(empty, F.lit(False)).alias("dropped"))
 
 
-def parent_titles(blocks: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame:
-    """parent_section_title. A parent of level k lives while the latest section of level <= k has level k.
+def parent_titles(blocks: DataFrame) -> DataFrame:
+    """parent_section_title, at any depth; dropped headings count as parents.
 
-    Dropped headings count as parents. Sections deeper than max_level are treated as that level's children.
+    A fold over the blocks of a chapter (a section of level 1 and what follows it; nothing from before outlives it),
+    whose state is the stack of open sections by level: a section closes those of its own level and below. A bullet's
+    parent is the innermost open section, a section's the one a level above, else the chapter's.
     """
-    before = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    section = F.col("kind") == "section"
-    alive = {}
-    for k in range(1, max_level + 1):
-        latest = F.last(F.when(section & (F.col("level") <= k), F.struct("level", "title")), ignorenulls=True).over(before)
-        alive[k] = F.when(latest["level"] == k, latest["title"])
-    newest = F.last(F.when(section, F.col("title")), ignorenulls=True).over(before)
-    up = F.lit(None).cast("string")
-    for k in range(2, max_level + 1):
-        up = F.when(F.col("level") == k, F.coalesce(alive[k - 1], alive[1])).otherwise(up)
-    up = F.when(F.col("level") > max_level, F.coalesce(alive[max_level], alive[1])).otherwise(up)
-    parent = F.when(F.col("kind") == "bullet", newest).when(section & (F.col("level") > 1), up)
-    return blocks.withColumn("parent_section_title", parent)
+    columns, section = blocks.columns, (F.col("kind") == "section")
+    before = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
+    chapters = blocks.withColumn("_chapter", F.count(F.when(section & (F.col("level") == 1), 1)).over(before))
+    packed = chapters.groupBy("doc_id", "_chapter").agg(F.array_sort(F.collect_list(F.struct("block_no", *[c for c in columns if c not in ("doc_id", "block_no")]))).alias("_blocks"))
+    start = F.struct(F.expr("cast(array() as array<struct<level:int,title:string>>)").alias("open"), text.no_strings().alias("parents"))
+
+    def step(acc: Column, b: Column) -> Column:
+        open_, is_section = acc["open"], b["kind"] == "section"
+        at = lambda level: F.get(F.filter(open_, lambda s: s["level"] == level), 0)["title"]
+        above = F.when(is_section & (b["level"] > 1), F.coalesce(text.blank_to_null(at(b["level"] - 1)), at(F.lit(1))))
+        parent = F.when(b["kind"] == "bullet", F.get(open_, F.size(open_) - 1)["title"]).otherwise(above)
+        kept = F.filter(open_, lambda s: s["level"] < b["level"])
+        own = F.struct(b["level"].cast("int").alias("level"), b["title"].alias("title"))
+        return F.struct(F.when(is_section, F.array_append(kept, own)).otherwise(open_).alias("open"), F.array_append(acc["parents"], parent).alias("parents"))
+
+    found = packed.withColumn("_parents", F.aggregate("_blocks", start, step, lambda acc: acc["parents"]))
+    return found.select("doc_id", F.inline(F.zip_with("_blocks", "_parents", lambda b, p: F.struct(b.alias("b"), p.alias("parent_section_title"))))).select(*[c if c == "doc_id" else f"b.{c}" for c in columns], "parent_section_title")
 
 
 def pieces_that_fit(x: Column, most: int) -> Column:
