@@ -7,9 +7,9 @@ symbols less the merges. A character outside the vocabulary counts as its UTF-8
 
 A merged symbol is always a piece, so no merge crosses two characters that stand side by side in no piece. The
 vocabulary is asked whether a blank ever follows another character inside a piece, and which signs follow a letter
-in none; the text falls apart there into words that are merged by themselves. Counts of words up to CACHED_CHARS are kept
-in a table of at most CACHED_WORDS entries for each Python worker, emptied when full; longer words are merged
-each time, in n log n steps, so one huge word or text is no more than a long loop over its own length.
+in none; the text falls apart there into parts that are merged by themselves. Counts of words and parts up to
+CACHED_CHARS are kept in two tables of at most CACHED_WORDS entries for each Python worker, emptied when full; longer
+ones are merged each time, in n log n steps, so one huge word or text is no more than a long loop over its length.
 
 Model: a SentencePiece BPE file with byte pieces and without user-defined or unused pieces; the driver reads it
 once (at most MODEL_BYTES) and tasks get its bytes. Normalisation is the library's own for that file.
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import sentencepiece
@@ -32,10 +32,26 @@ from pyspark.sql import types as T
 
 BLANK = "▁"
 LIMIT = 4096
-CACHED_WORDS, CACHED_CHARS = 1 << 18, 64
+CACHED_WORDS, CACHED_CHARS = 1 << 19, 64
 MODEL_BYTES = 16 << 20
 
 
+class Remembered(dict):
+    """Values of a function of a word; at most `most` of them are kept, and none of long words."""
+
+    def __init__(self, function: Callable[[str], int], most: int):
+        super().__init__()
+        self.function, self.most = function, most
+
+    def __missing__(self, word: str) -> int:
+        found = self.function(word)
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Merger:
     """Counts tokens with the pieces of one model."""
 
@@ -47,10 +63,12 @@ class Merger:
         normal = [i for i in ids if not (processor.is_byte(i) or processor.is_control(i) or processor.is_unknown(i))]
         self.rank = {processor.id_to_piece(i): -processor.get_score(i) for i in normal}
         self.single = frozenset(c for c in self.rank if len(c) == 1)
-        self.words = re.compile(self.word_pattern()).findall
+        pattern = self.word_pattern()
+        self.parts = re.compile(pattern).findall
+        self.falls_apart = BLANK in pattern
         self.normalize = sentencepiece.SentencePieceNormalizer(model_proto=model).normalize
-        self.cache: dict[str, int] = {}
-        self.cached_words = cached_words
+        self.of_part = Remembered(self.merged, cached_words)
+        self.of_word = Remembered(lambda word: sum(map(self.of_part.__getitem__, self.parts(BLANK + word))), cached_words)
 
     def word_pattern(self) -> str:
         """Cuts a text before runs of blanks, and between letters and the signs that follow a letter in no piece."""
@@ -93,17 +111,10 @@ class Merger:
 
     def count(self, text: str | None) -> int:
         """Tokens of a text; null has none."""
-        total, cache = 0, self.cache
-        for word in self.words(self.normalize(text)) if text else ():
-            found = cache.get(word)
-            if found is None:
-                found = self.merged(word)
-                if len(word) <= CACHED_CHARS:
-                    if len(cache) >= self.cached_words:
-                        cache.clear()
-                    cache[word] = found
-            total += found
-        return total
+        text = self.normalize(text) if text else ""
+        if self.falls_apart and text[:1] == BLANK and text[-1:] != BLANK and 2 * BLANK not in text:
+            return sum(map(self.of_word.__getitem__, text[1:].split(BLANK)))
+        return sum(map(self.of_part.__getitem__, self.parts(text)))
 
 
 def model_bytes(path: str) -> bytes:

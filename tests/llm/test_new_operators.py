@@ -147,7 +147,7 @@ def test_token_cache_is_bounded():
     merger = token_counts.Merger(token_counts.model_bytes(MODEL), cached_words=10)
     text = " ".join(f"wörd{i}" for i in range(100))
     assert merger.count(text) == len(sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(text))
-    assert len(merger.cache) <= 10
+    assert len(merger.of_word) <= 10 and len(merger.of_part) <= 10
 
 
 def test_token_model_must_have_bytes(tmp_path):
