@@ -79,10 +79,24 @@ def with_keyword_prompts(batches: DataFrame) -> DataFrame:
     return batches.withColumn("prompt", json_prompt(KEYWORD_PROMPT, "Contract segment batch JSON", F.struct("source", parts.alias("segments"))))
 
 
-def invoke(prompts: DataFrame, model_factory: Callable, calls: int = 8) -> DataFrame:
-    """(prompt_hash, response, error) of every distinct prompt, at most `calls` at a time; a failed call has `error`.
+def call_slots(prompts: DataFrame, calls: int, per_document: int) -> DataFrame:
+    """(prompt_hash, prompt, slot): every distinct prompt with the slot, of `calls`, that sends it.
 
-    Prompts are dealt by hash, so a retried task sends its own prompts again; write the result before it is used.
+    A document's prompts go round `per_document` slots that its key picks, so no more of them than that run at once,
+    and no more than `calls` of all. A prompt of several documents is sent for the first of them.
+    """
+    if calls < 1 or per_document < 1:
+        raise ValueError("at least one call must be allowed at a time")
+    own = prompts.groupBy(F.sha2("prompt", 256).alias("prompt_hash")).agg(F.min(F.struct(F.col("doc_id").cast("string").alias("doc"), "batch")).alias("o"), F.first("prompt").alias("prompt"))
+    turn = F.col("o.batch") % min(calls, per_document)
+    return own.select("prompt_hash", "prompt", F.pmod(F.xxhash64("o.doc") + turn, F.lit(calls)).cast("int").alias("slot"))
+
+
+def invoke(prompts: DataFrame, model_factory: Callable, calls: int = 8, per_document: int = 3) -> DataFrame:
+    """(prompt_hash, response, error) of every distinct prompt; a failed call has `error`.
+
+    A slot is a partition and sends one prompt after the other (see call_slots). A retried task sends its own prompts
+    again; write the result before it is used.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,8 +114,8 @@ def invoke(prompts: DataFrame, model_factory: Callable, calls: int = 8) -> DataF
                     errors.append(str(e))
             yield pd.DataFrame({"prompt_hash": batch["prompt_hash"], "response": answers, "error": errors})
 
-    unique = prompts.select(F.sha2("prompt", 256).alias("prompt_hash"), "prompt").dropDuplicates(["prompt_hash"])
-    return unique.repartition(calls, "prompt_hash").mapInPandas(run, "prompt_hash string, response string, error string")
+    slots = call_slots(prompts, calls, per_document).repartitionById(calls, "slot").drop("slot")
+    return slots.mapInPandas(run, "prompt_hash string, response string, error string")
 
 
 def with_replies(prompts: DataFrame, sent: DataFrame) -> DataFrame:
