@@ -14,6 +14,7 @@ from pactlake.operators import coverage, evaluate, evidence, export, filters, jo
 from pactlake.plans import pipeline
 from pactlake.plans.scratch import Scratch
 from pactlake.sources import contract_view, documents
+from pactlake.streaming import lifecycle
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -563,6 +564,53 @@ def batch_status_rollup(spark, sf_dir):
     return jobs.rollup_status(counts, total)
 
 
+#: Job events from the table of events: a user's events are a batch of four files, its clock is twenty times faster.
+JOB_EVENTS = {
+    "batch_id": "user_id", "job_id": "concat(user_id, '-', event_id % 4)", "seq": "event_id",
+    "event": "CASE event_type WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN 'retried' ELSE 'created' END WHEN 'click' THEN 'started' WHEN 'view' THEN 'step' WHEN 'purchase' THEN CASE WHEN event_id % 5 = 0 THEN 'cached' ELSE 'succeeded' END ELSE 'failed' END",
+    "stage": "CASE WHEN event_type = 'view' THEN CASE event_id % 4 WHEN 0 THEN 'load' WHEN 1 THEN 'llm1' WHEN 2 THEN 'export' ELSE 'other' END END", "error": "CASE WHEN event_type = 'error' THEN props END",
+}
+_DUE = f"(CASE WHEN j.attempt > 0 THEN j.started + {lifecycle.FILE_HOURS * lifecycle.HOUR} ELSE {{began}} + {lifecycle.BATCH_HOURS * lifecycle.HOUR} END)"
+_PUT = "struct_pack(job_id := j.job_id, status := {status}, stage := {stage}, progress := {progress}, started := {started}, finished := {finished}, error := {error}, attempt := {attempt})"
+_put = lambda **new: _PUT.format(**({"status": "j.status", "stage": "j.stage", "progress": "j.progress", "started": "j.started", "finished": "j.finished", "error": "j.error", "attempt": "j.attempt"} | new))
+_expire = lambda jobs, began, now: f"list_transform({jobs}, lambda j: CASE WHEN j.status = 'processing' AND {_DUE.format(began=began)} <= {now} THEN {_put(status=quote_all(['failed']), stage=quote_all(['failed']), finished=_DUE.format(began=began), error=quote_all([lifecycle.TIMED_OUT]))} ELSE j END)"
+_STEPS = "CASE e.stage " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in lifecycle.STEP_PROGRESS.items()) + f" ELSE {lifecycle.STEP_UNKNOWN} END"
+_NEW = {"status": "'queued'", "stage": "'queued'", "progress": "0", "started": "NULL::BIGINT", "finished": "NULL::BIGINT", "error": "NULL::VARCHAR"}
+_APPLY = f"""list_transform(x.jobs, lambda j: CASE WHEN j.job_id <> e.job_id THEN j
+  WHEN e.event = 'started' AND j.status = 'queued' THEN {_put(status="'processing'", stage="'processing'", progress=str(lifecycle.STARTED), started="e.at_us", finished="NULL::BIGINT", error="NULL::VARCHAR")}
+  WHEN e.event = 'step' AND j.status = 'processing' THEN {_put(stage="e.stage", progress=_STEPS)}
+  WHEN e.event = 'failed' AND j.status = 'processing' THEN {_put(status="'failed'", stage="'failed'", finished="e.at_us", error="e.error")}
+  WHEN e.event IN ('cached', 'succeeded') AND j.status = 'processing' THEN {_put(status="CASE e.event WHEN 'cached' THEN 'cached' ELSE 'success' END", stage="CASE e.event WHEN 'cached' THEN 'cached' ELSE 'success' END", progress=str(lifecycle.ENDED), finished="e.at_us", error="NULL::VARCHAR")}
+  WHEN e.event = 'retried' AND j.status = 'failed' THEN {_put(**_NEW, attempt="j.attempt + 1")} ELSE j END)"""
+_JOBS_TYPE = "STRUCT(job_id VARCHAR, status VARCHAR, stage VARCHAR, progress INT, started BIGINT, finished BIGINT, error VARCHAR, attempt INT)"
+_n = lambda state: f"len(list_filter(jobs, lambda j: j.status = '{state}'))::INT"
+
+
+@query(
+    f"""WITH RECURSIVE raw AS (SELECT {', '.join(f'{x} AS {c}' for c, x in JOB_EVENTS.items())}, epoch_us(ts) // 20 AS at_us FROM events), ev AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY at_us, seq) AS n FROM raw),
+run AS (SELECT batch_id, 0::BIGINT AS n, []::{_JOBS_TYPE}[] AS jobs, NULL::BIGINT AS began FROM ev WHERE n = 1
+  UNION ALL SELECT e.batch_id, e.n, CASE WHEN e.event = 'created' AND len(list_filter(x.jobs, lambda j: j.job_id = e.job_id)) = 0 THEN list_append(x.jobs, struct_pack(job_id := e.job_id, status := 'queued', stage := 'queued', progress := 0, started := NULL::BIGINT, finished := NULL::BIGINT, error := NULL::VARCHAR, attempt := 0)::{_JOBS_TYPE}) ELSE {_APPLY} END,
+    coalesce(x.began, CASE WHEN e.event = 'started' AND len(list_filter(x.jobs, lambda j: j.job_id = e.job_id AND j.status = 'queued')) > 0 THEN e.at_us END)
+  FROM (SELECT run.batch_id, run.n, run.began, {_expire("run.jobs", "run.began", "f.at_us")}::{_JOBS_TYPE}[] AS jobs FROM run JOIN ev f ON f.batch_id = run.batch_id AND f.n = run.n + 1) x JOIN ev e ON e.batch_id = x.batch_id AND e.n = x.n + 1),
+last AS (SELECT batch_id, began, {_expire("jobs", "began", "watermark")} AS jobs FROM run, (SELECT (max(at_us) // 1000 - 600000) * 1000 AS watermark FROM raw) QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY n DESC) = 1),
+counts AS (SELECT *, len(jobs)::INT AS total_files, {_n("queued")} AS queued_count, {_n("processing")} AS processing_count, {_n("success")} AS succeeded_count, {_n("failed")} AS failed_count, {_n("cached")} AS cached_count FROM last WHERE len(jobs) > 0),
+judged AS (SELECT *, CASE WHEN succeeded_count + failed_count + cached_count = total_files THEN CASE WHEN failed_count = total_files THEN 'failed' ELSE 'completed' END WHEN processing_count > 0 THEN 'processing' ELSE 'queued' END AS status FROM counts)
+SELECT batch_id::VARCHAR AS batch_id, status, total_files, queued_count, processing_count, succeeded_count, failed_count, cached_count, began AS started, CASE WHEN status IN ('completed', 'failed') THEN list_max(list_transform(jobs, lambda j: j.finished)) END AS finished,
+  array_to_string(list_sort(list_transform(jobs, lambda j: concat_ws(':', j.job_id, j.status, j.stage, j.progress, coalesce(j.error, ''), j.attempt, coalesce(j.started, 0), coalesce(j.finished, 0)))), ' ') AS files FROM judged"""
+)
+def job_lifecycle(spark, sf_dir):
+    """The events of the table replayed as a stream of job events; the last state of every batch."""
+    own, out = spark.newSession(), Scratch(spark)  # a session of its own, for the state store's setting
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = own.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file
+    at = "timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz)) div 20)"
+    events = stream.selectExpr(*[f"{x} AS {c}" for c, x in JOB_EVENTS.items()], f"{at} AS at")
+    last = lifecycle.replay(events, f"{out.folder}/changes", f"{out.folder}/checkpoint")
+    entry = lambda j: F.concat_ws(":", j["job_id"], j["status"], j["stage"], j["progress"], F.coalesce(j["error"], F.lit("")), j["attempt"], F.coalesce(j["started"], F.lit(0)), F.coalesce(j["finished"], F.lit(0)))
+    files = F.array_join(F.array_sort(F.transform("files", entry)), " ")
+    return out.keep_only(last.drop("version").withColumn("files", files))
+
+
 def cache_of(spark, sf_dir, new: bool) -> DataFrame:
     o = table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0" if new else "o_orderkey % 2 = 0")
     mark = "new" if new else "old"
