@@ -18,7 +18,11 @@ own bitmaps and verified on the whole sets.
 Only connections are asked for, so links are not all listed. First every shingle elects a pivot group (the one
 with the fewest rarer shingles before it), whose first member is compared with the members of all other groups,
 and every group's first member with the rest of its group; links found are contracted. Then pairs of groups that
-are not in one component yet are compared exhaustively, without those inside the pivot's component. The shuffle
+are not in one component yet are compared exhaustively, without those inside the pivot's component. Where a shingle would
+bring about more than `hot_pairs` such comparisons (texts that share much and link with little), the classes behind it
+are ordered anew: all their shingles are counted among themselves, so that what a text has for itself comes first and
+what the family shares falls behind the places that can still link. They join again on these prefixes, by size as well
+as shingle: the larger set of a pair looks up the sizes that its place of the shingle leaves possible. The shuffle
 joins on shingles are plain inner joins, whose hot keys adaptive execution splits. No bucket is collected in a
 task, none is capped.
 
@@ -46,6 +50,10 @@ WIDTH, PERCENT = 3, 90
 LONGS = 8
 #: Earlier shingles by which a pair that was met before is told; pairs that are met again all the same cost only time.
 EARLIER = 4
+#: Comparisons at one shingle from which on its classes are ordered anew.
+HOT_PAIRS = 1 << 19
+#: Sizes up to EXACT_SIZES are bands of their own, then each band is BAND_STEP times as wide as the one before.
+EXACT_SIZES, BAND_STEP = 64, 1.02
 #: Bytes of a row of keys in memory, at most about.
 _KEY_BYTES = 120
 
@@ -205,7 +213,7 @@ def groups_of(postings: DataFrame, classes: DataFrame, percent: int) -> tuple[Da
     return members, groups
 
 
-def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", hot_pairs: int = HOT_PAIRS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, n, cid) of every row and (cid, comp) of every class: written tables."""
     base = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     rows, classes = classes_of(base, width, percent)
@@ -236,7 +244,13 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     links = test(stars.join(sketched(members, "cno", "b", "y").withColumnRenamed("cno", "pivot"), "pivot").filter(close("x", "y", percent)))
     comp = components(links)
     named = written(members.select("cno", "gid").join(comp, F.col("cno") == F.col("id"), "left").select("cno", "gid", F.coalesce("comp", "cno").alias("comp")), "join-comps")
-    links = links.unionByName(test(unresolved(entries, members, groups, elected, named, percent)))
+    current, hot = still_open(entries, groups, elected, named, hot_pairs)
+    later = unresolved(current.join(hot, "token", "left_anti"), members, groups, named, percent)
+    if not hot.isEmpty():
+        behind = current.join(hot, "token", "left_semi").select("gid").distinct()
+        classes = written(members.join(behind, "gid", "left_semi").join(named.select("cno", "comp"), "cno").select("cno", "key", "n", "parity", "comp"), "join-hot-classes")
+        later = later.unionByName(reordered(classes, texts_of(base, classes), width, percent))
+    links = links.unionByName(test(later.distinct()))
     comp = written(components(links), "join-found")
     by_class = written(narrow.join(comp, F.col("cno") == F.col("id"), "left").select("cid", F.coalesce("comp", "cno").alias("comp")), "join-classes")
     discard(postings, narrow, members, groups, entries, elected, named)
@@ -248,17 +262,64 @@ def sketched(members: DataFrame, by: str, name: str, side: str, *more: str) -> D
     return members.select(by, F.col("cno").alias(name), F.col("n").alias(f"{side}_n"), F.col("parity").alias(f"{side}_lo"), F.col("parity").alias(f"{side}_hi"), *more)
 
 
-def unresolved(entries: DataFrame, members: DataFrame, groups: DataFrame, elected: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components whose groups share a prefix shingle and pass the group filters."""
+def still_open(entries: DataFrame, groups: DataFrame, elected: DataFrame, named: DataFrame, hot_pairs: int) -> tuple[DataFrame, DataFrame]:
+    """(entries of shingles whose groups lie in several components, shingles with more than hot_pairs comparisons among them).
+
+    inner: the group lies whole in the component of the shingle's pivot; two inner groups need no comparison.
+    """
     spans = written(named.groupBy("gid").agg(F.min("comp").alias("least"), F.max("comp").alias("most")), "join-spans")
     facts = groups.select("gid", "lo", F.when(F.col("size") > 1, F.col("hi")).alias("hi")).join(spans, "gid")
-    current = entries.join(facts, "gid")
     span = entries.join(spans, "gid").groupBy("token").agg(F.min("least").alias("first"), F.max("most").alias("last")).filter("first <> last").select("token")
     major = elected.join(spans.withColumnRenamed("gid", "pivot"), "pivot").select("token", F.when(F.col("least") == F.col("most"), F.col("least")).alias("major"))
     open_ = written(span.join(major, "token"), "join-open")
-    current = current.join(open_, "token")
     inner = F.coalesce((F.col("least") == F.col("most")) & (F.col("least") == F.col("major")), F.lit(False))
+    current = entries.join(facts, "gid").join(open_, "token")
     current = written(current.select("token", "gid", "n", "pos", "earlier", "lo", "hi", "least", "most", inner.alias("inner")), "join-current")
+    load = current.groupBy("token").agg(F.count("*").alias("every"), F.count_if(~F.col("inner")).alias("outer"))
+    return current, written(load.filter(F.col("every") * F.col("outer") > hot_pairs).select("token"), "join-hot")
+
+
+def band(n: Column) -> Column:
+    """Number of the size band of n; larger sizes never have smaller numbers."""
+    return F.when(n <= EXACT_SIZES, n).otherwise(EXACT_SIZES + F.floor(F.log(n / F.lit(float(EXACT_SIZES))) / F.log(F.lit(BAND_STEP)))).cast("int")
+
+
+def reordered(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes (cno, n, parity, comp) in different components that pass all filters on prefixes ordered
+    by how many of these classes hold a shingle. Of a pair, b is the larger (or equal, then with the larger cno).
+
+    The smaller set's shared shingles must be at least need(n, n), so its prefix is about half as long as b's.
+    """
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_pydict({"cno": batch.column(0), "tokens": pa.array(sets, pa.list_(pa.int64()))})
+
+    deck = written(texts.select("cno", "text").mapInArrow(spell, "cno bigint, tokens array<bigint>").select("cno", F.explode("tokens").alias("token")), "join-deck")
+    holders = deck.groupBy("token").agg(F.count("*").alias("holders"))
+    order = Window.partitionBy("cno").orderBy("holders", "token")
+    placed = deck.join(holders, "token").withColumn("pos", F.row_number().over(order) - 1).filter("holders > 1").join(classes.select("cno", "n", "comp"), "cno")
+    placed = written(placed.filter(F.col("pos") < prefix_length(F.col("n"), percent)).select("token", "cno", "n", "pos", "comp"), "join-places")
+    major = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps"))
+    placed = placed.join(major.filter("comps > 1"), "token").join(classes.select("cno", "parity"), "cno").withColumn("inside", F.col("comp") == F.col("major"))
+    n, pos = F.col("n"), F.col("pos")
+    named = lambda df, side, name, place: df.select("token", "band", F.col("cno").alias(name), n.alias(f"{side}_n"), pos.alias(place), F.col("parity").alias(f"{side}_lo"), F.col("parity").alias(f"{side}_hi"), F.col("comp").alias(f"{side}_comp"), F.col("inside").alias(f"{side}_inside"))
+    placed = written(placed.select("token", "cno", "n", "pos", "comp", "parity", "inside"), "join-placed")
+    small = named(placed.filter(n - pos >= need(n, n, percent)).withColumn("band", band(n)), "x", "a", "pos")
+    least = F.greatest(F.lit(1), F.floor(n * percent / 100))
+    most = F.least(n, F.ceil((n - pos) * (100 + percent) / percent) - n + 1)
+    large = named(placed.filter(most >= least).withColumn("band", F.explode(F.sequence(band(least), band(F.greatest(most, least))))), "y", "b", "at")
+    fits = places_fit(F.col("x_n"), F.col("pos"), F.col("y_n"), F.col("at"), percent) & (F.col("x_comp") != F.col("y_comp"))
+    fits = fits & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("a") < F.col("b")))) & close("x", "y", percent)
+    met = lambda x, y: x.join(y, ["token", "band"]).filter(fits).select("a", "b")
+    return met(small, large.filter("not y_inside")).unionByName(met(small.filter("not x_inside"), large.filter("y_inside"))).distinct()
+
+
+def unresolved(current: DataFrame, members: DataFrame, groups: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components whose groups share a prefix shingle of `current` and pass the group filters."""
+    spans = written(named.groupBy("gid").agg(F.min("comp").alias("least"), F.max("comp").alias("most")), "join-group-spans")
+    facts = groups.select("gid", "lo", F.when(F.col("size") > 1, F.col("hi")).alias("hi")).join(spans, "gid")
     x = current.filter("not inner").select("token", F.col("gid").alias("g"), F.col("n").alias("x_n"), "pos", "earlier", F.col("lo").alias("x_lo"), F.coalesce("hi", "lo").alias("x_hi"), F.col("least").alias("x_least"), F.col("most").alias("x_most"))
     y = current.select("token", F.col("gid").alias("h"), F.col("n").alias("y_n"), F.col("pos").alias("at"), F.col("earlier").alias("before"), F.col("lo").alias("y_lo"), F.coalesce("hi", "lo").alias("y_hi"), F.col("least").alias("y_least"), F.col("most").alias("y_most"), "inner")
     apart = (F.least("x_least", "y_least") != F.greatest("x_most", "y_most")) & ((F.col("g") < F.col("h")) | (F.col("inner") & (F.col("g") != F.col("h"))))
@@ -285,9 +346,9 @@ def names_of(rows: DataFrame, by_class: DataFrame, name: Column) -> DataFrame:
     return each.select("cid", "comp").join(best, "comp").select("cid", F.col("best").alias("name"))
 
 
-def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """Set size and component of every row; see the module's docstring."""
-    rows, by_class = linked(docs, width, percent, id_col=id_col, text_col=text_col)
+    rows, by_class = linked(docs, width, percent, id_col=id_col, text_col=text_col, hot_pairs=hot_pairs)
     names = written(names_of(rows, by_class, F.col("doc_id")), "join-names")
     joined = rows.join(names, "cid", "left")
     return joined.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))

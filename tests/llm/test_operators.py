@@ -420,6 +420,35 @@ def test_ngram_join_chain(spark):
     assert {r["component_id"] for r in ngram_join.join_documents(df).collect()} == {0}
 
 
+def family(rng, n, own, shared=170, start=0):
+    """Texts of `shared` common words with `own` words of their own in one place: they share nearly all, most link with none."""
+    base = [f"s{i}" for i in range(shared)]
+    rows = []
+    for k in range(n):
+        at, many = rng.randrange(shared), own + rng.randrange(3)
+        rows.append((start + k, " ".join(base[:at] + [f"o{start + k}x{j}" for j in range(many)] + base[at:])))
+    return rows
+
+
+@pytest.mark.parametrize("hot_pairs", [1, 200])
+def test_families_that_share_much(spark, docs, hot_pairs):
+    """Families around the limit, and the fixture, with the classes of nearly every shingle ordered anew."""
+    rng = random.Random(hot_pairs)
+    rows = family(rng, 60, 16) + family(rng, 40, 6, start=100) + family(rng, 30, 7, shared=150, start=200) + rows_of(docs)
+    rows += [(300 + i, t + " " + " ".join(f"e{i}{j}" for j in range(i % 9))) for i, (_, t) in enumerate(family(rng, 40, 2, start=400))]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOC)
+    found = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in ngram_join.join_documents(df, hot_pairs=hot_pairs).collect())
+    assert found == sorted((str(a), b, c) for a, b, c in brute_components(rows))
+
+
+def test_a_large_family_without_links(spark):
+    """Four thousand texts that share all but sixteen words: none links, and no square of them is gone through."""
+    rows = family(random.Random(3), 4000, 16, shared=186)
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOC).repartition(4)
+    found = ngram_join.join_documents(df).collect()
+    assert len(found) == 4000 and all(r["component_id"] == r["doc_id"] for r in found)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     found = {r["id"]: r["comp"] for r in components.components(spark.createDataFrame(links, "a int, b int")).collect()}
