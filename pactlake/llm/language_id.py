@@ -18,7 +18,6 @@ results. Other input columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +38,8 @@ _BREAK[ord("A") : ord("Z") + 1] = _BREAK[ord("a") : ord("z") + 1] = False
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _FOLD[_BREAK] = 32
-_LETTER = re.compile(r"[^\W\d_]")
+#: Unicode letters; numbers such as one half or Roman four are none.
+LETTER = r"\p{L}"
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY, steps: int
         known = shared.value
         bits = known.logs.shape[1].bit_length() - 1 if known.langs else 0
         for batch in batches:
-            texts = batch.column(0)
+            texts, lettered = batch.column(0), batch.column(1).to_pylist()
             preds, scores, sizes = [], [], []
             for lo, hi, data, offsets in bytewise.slices(texts):
                 if not known.langs:
@@ -181,8 +181,7 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY, steps: int
                 pi = estimate(logs, bounds, penalty, steps)
                 best = pi.argmax(axis=1)
                 for i in range(hi - lo):
-                    text = texts[lo + i].as_py()
-                    if not text or not _LETTER.search(text) or not pi[i].any():
+                    if not lettered[lo + i] or not pi[i].any():
                         preds.append(UNKNOWN)
                         scores.append(0.0)
                         sizes.append(0)
@@ -191,10 +190,11 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY, steps: int
                         scores.append(float(min(1.0, pi[i, best[i]])))
                         sizes.append(int((pi[i] > 0).sum()))
             extra = {"lang_pred": pa.array(preds, pa.string()), "score": pa.array(scores, pa.float64()), "n_langs": pa.array(sizes, pa.int32())}
-            yield pa.RecordBatch.from_pydict({f.name: batch.column(i + 1) for i, f in enumerate(kept)} | extra)
+            yield pa.RecordBatch.from_pydict({f.name: batch.column(i + 2) for i, f in enumerate(kept)} | extra)
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string, score double, n_langs int"])
-    return docs.select(text_col, *[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
+    lettered = F.coalesce(F.col(f"`{text_col}`").rlike(LETTER), F.lit(False)).alias("has a letter")
+    return docs.select(f"`{text_col}`", lettered, *[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
