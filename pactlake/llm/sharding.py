@@ -2,9 +2,9 @@
 
 Equal texts form one indivisible group. Groups are dealt by hash to buckets; inside each bucket the largest
 differencing method repeatedly joins the two partial partitions with the largest spread, one in descending
-and one in ascending order, until one k-way partition is left. The buckets' partitions (at most
-`max_buckets` rows of k sums, whatever the input) are then joined by the same rule, which decides how each
-bucket's k parts map to shards. Slots are a seeded shuffle of a shard's rows, in which copies of a row stand
+and one in ascending order, until one k-way partition is left. The buckets' partitions are then joined by the
+same rule, `fan` of them a task, level by level; the driver joins the last `fan` at most (k sums each). That
+decides how each bucket's k parts map to shards. Slots are a seeded shuffle of a shard's rows, in which copies of a row stand
 apart: each row gets a number when it is read, its hash a cell (about `rows_per_cell` rows), and slots come from
 per-(shard, cell) counts and a row number inside a cell, so no shard is ever sorted in one task.
 
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactlake.llm.common import written
+from pactlake.llm.common import bounded_broadcast, discard, written
 
 
 def differencing(items: list[tuple[list[int], list]], k: int) -> list[tuple[int, list]]:
@@ -68,8 +68,28 @@ def single(value):
     return [cell, cell]
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, groups_per_bucket: int = 20_000, max_buckets: int = 4096, rows_per_cell: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Shard and slot of every row; see the module's docstring. Groups hold at most max_buckets * 8 driver rows in the last step."""
+def joined(sums: DataFrame, shards: int, fan: int) -> DataFrame:
+    """Join the partitions of `fan` buckets at a time: (_bucket, _part, bytes) -> (_bucket, _part, _parent, _up, bytes)."""
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        placed = joined_parts(pdf["_bucket"].tolist(), pdf["_part"].tolist(), pdf["bytes"].tolist(), shards)
+        size = dict(zip(zip(pdf["_bucket"], pdf["_part"], strict=True), pdf["bytes"], strict=True))
+        return pd.DataFrame([(b, p, pdf["_parent"].iloc[0], up, size[b, p]) for b, p, up in placed], columns=["_bucket", "_part", "_parent", "_up", "bytes"])
+
+    return sums.withColumn("_parent", F.floor(F.col("_bucket") / fan).cast("int")).groupBy("_parent").applyInPandas(join, "_bucket int, _part int, _parent int, _up int, bytes long")
+
+
+def joined_parts(buckets: list, parts: list, sizes: list, shards: int) -> list[tuple]:
+    """(bucket, part, shard) of the rows of some buckets, by differencing their partitions."""
+    sums: dict[int, list[int]] = {}
+    for b, p, n in sorted(zip(buckets, parts, sizes, strict=True)):
+        sums.setdefault(b, [0] * shards)[p] = n
+    items = [(s, [single((b, p)) if n else None for p, n in enumerate(s)]) for b, s in sums.items()]
+    return [(b, p, i) for i, (_, linked) in enumerate(differencing(items, shards)) for b, p in members(linked)]
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = 8, groups_per_bucket: int = 20_000, fan: int = 4096, rows_per_cell: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Shard and slot of every row; see the module's docstring."""
     text = F.col(text_col)
     raw = F.encode(text, "UTF-8")
     rows = docs.select(
@@ -77,7 +97,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, groups_per_bucket: int = 20
         F.xxhash64(text, F.octet_length(text)).alias("_group"), F.monotonically_increasing_id().alias("_row"),
     )
     groups = written(rows.groupBy("_group").agg(F.sum("size").alias("bytes")), "shard-groups")
-    buckets = min(max_buckets, max(256, math.ceil(groups.count() / groups_per_bucket)))
+    buckets = max(256, math.ceil(groups.count() / groups_per_bucket))
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "_group"], ascending=[False, True], kind="stable")
@@ -92,23 +112,28 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, groups_per_bucket: int = 20
         keyed.groupBy("_bucket").applyInPandas(local, "_group long, _bucket int, _part int").join(groups, "_group"),
         "shard-parts",
     )
-    sums = parts.groupBy("_bucket", "_part").agg(F.sum("bytes").alias("bytes")).collect()  # at most max_buckets * shards rows
-    by_bucket: dict[int, list[int]] = {}
-    for r in sorted(sums, key=lambda r: (r["_bucket"], r["_part"])):
-        by_bucket.setdefault(r["_bucket"], [0] * shards)[r["_part"]] = r["bytes"]
-    items = [(s, [single((b, p)) for p in range(shards)]) for b, s in by_bucket.items()]
-    placed = [(b, p, i) for i, (_, linked) in enumerate(differencing(items, shards)) for b, p in members(linked)]
     spark = docs.sparkSession
-    place = spark.createDataFrame(placed, "_bucket int, _part int, shard int")
-    assigned = parts.join(F.broadcast(place), ["_bucket", "_part"]).select("_group", "shard")
+    sums = parts.groupBy("_bucket", "_part").agg(F.sum("bytes").alias("bytes"))
+    levels = []
+    while buckets > fan:
+        levels.append(written(joined(sums, shards, fan), "shard-level"))
+        sums = levels[-1].groupBy(F.col("_parent").alias("_bucket"), F.col("_up").alias("_part")).agg(F.sum("bytes").alias("bytes"))
+        buckets = math.ceil(buckets / fan)
+    last = sums.collect()  # at most fan * shards rows
+    placed = joined_parts([r["_bucket"] for r in last], [r["_part"] for r in last], [r["bytes"] for r in last], shards)
+    place = F.broadcast(spark.createDataFrame(placed, "_bucket int, _part int, shard int"))
+    for level in reversed(levels):
+        place = level.join(place.select(F.col("_bucket").alias("_parent"), F.col("_part").alias("_up"), "shard"), ["_parent", "_up"]).select("_bucket", "_part", "shard")
+    assigned = parts.join(place, ["_bucket", "_part"]).select("_group", "shard")
     settled = written(rows.join(assigned, "_group").withColumn("_order", F.xxhash64(id_col, "_group", "_row")).drop("_group", "_row"), "shard-rows")
+    discard(groups, parts, *levels)
     cells = max(64, math.ceil(settled.count() / shards / rows_per_cell))
     settled = settled.withColumn("_cell", F.pmod(F.col("_order"), F.lit(cells)))
     counts = settled.groupBy("shard", "_cell").count()
     before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))  # shards * cells rows
+    starts = written(counts.select("shard", "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start")), "shard-starts")  # shards * cells rows
     inside = Window.partitionBy("shard", "_cell").orderBy("_order")
-    return settled.join(F.broadcast(starts), ["shard", "_cell"]).select(
+    return settled.join(bounded_broadcast(starts, 64), ["shard", "_cell"]).select(
         id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("_start") + F.row_number().over(inside) - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -78,12 +78,17 @@ def test_language_id(spark):
     rng = random.Random(1)
     make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
     rows = [(i, make("abcde" if i % 2 else "vwxyzü", 30), "aa" if i % 2 else "zz", "s", 0) for i in range(120)]
+    rows += [(504, "½ ²", None, "s", 0), (505, "Ⅳ Ⅷ", None, "s", 0), (506, "ª", "aa", "s", 0)] + [(507, make("abcde", 30), "aa", "s", 0)] * 3
+    rows += [(508, make("vwxyzü", 60_000), "zz", "s", 0)]
     rows += [(500, None, "aa", "s", 0), (501, "", "aa", "s", 0), (502, "12 34 -- 5", None, "s", 0), (503, make("abcde", 20) + " " + make("vwxyzü", 60), None, "s", 0), (None, make("abcde", 9), "aa", "s", 0)]
     df = spark.createDataFrame(rows, DOC)
     found = {r["doc_id"]: r for r in language_id.identify(df).collect()}
     assert all(found[i]["lang_pred"] == k for i, _, k, _, _ in rows[:120])
     assert all(found[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, *_ in rows[:120])
-    assert [found[i]["lang_pred"] for i in (500, 501, 502)] == ["und"] * 3 and found[500]["score"] == 0
+    assert [found[i]["lang_pred"] for i in (500, 501, 502, 504, 505)] == ["und"] * 5 and found[500]["score"] == 0
+    assert found[506]["lang_pred"] != "und" and found[507]["lang_pred"] == "aa" and found[508]["lang_pred"] == "zz"
+    clash = df.withColumns({"lang_pred": F.lit("x"), "held_out": F.lit(1), "score": F.lit("y"), "has a letter": F.lit(2), "n_langs": F.lit(3)})
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(clash).collect()} == {i: r["lang_pred"] for i, r in found.items()}
     assert found[503]["lang_pred"] == "zz" and 0.6 < found[503]["score"] < 0.9 and found[503]["n_langs"] == 2
     assert {r["lang_pred"] for r in language_id.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language_id.identify(empty(spark)).count() == 0
@@ -207,6 +212,23 @@ def test_sharding_balances_many_groups(spark):
     assert len({s for s, _ in places}) == 1 and sum(b[1] == a[1] + 1 for a, b in zip(sorted(places), sorted(places)[1:])) < 50
 
 
+@pytest.mark.parametrize("fan", [3, 100])
+def test_sharding_joins_buckets_in_levels(spark, fan):
+    """The law holds when the buckets are joined level by level; ties, copies and nulls included."""
+    rng = random.Random(fan)
+    texts = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 3000))) for _ in range(1200)] + ["tie"] * 40 + [None] * 30 + ["abc", "acb", "bca"]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOC)
+    rows = sharding.shard_by_bytes(df, fan=fan).collect()
+    loads, homes, slots = Counter(), {}, {}
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+        homes.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(rows) == len(texts) and all(len(h) == 1 for h in homes.values())
+    assert len(loads) == 8 and max(loads.values()) - min(loads.values()) <= 1024, loads
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_differencing_balances():
     rng = random.Random(2)
     sizes = [rng.randint(1, 10_000) for _ in range(500)]
