@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
@@ -10,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pactlake.functions import text
+from pactlake.sources import pdf
+
 PAGE = "doc_id string, source string, page int, page_label string, total_pages int, text string"
 SUPPORTED = (".txt", ".pdf")
 ROW_GAP = 6.0
@@ -41,33 +45,24 @@ def text_pages(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return df.select(F.col("path").alias("doc_id"), file_name(F.col("path")).alias("source"), F.lit(1).alias("page"), F.lit("1").alias("page_label"), F.lit(1).alias("total_pages"), "text")
 
 
-def pdf_fragments(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """L3: (doc_id, source, page, total_pages, plain, x, y, text) of all text fragments; needs the optional pypdf."""
-    try:
-        import pypdf  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading PDF files needs the optional package pypdf") from e
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
+def pdf_fragments(spark: SparkSession, paths: list[str] | str, range_bytes: int | None = None) -> DataFrame:
+    """L3: (doc_id, source, page, total_pages, plain, x, y, text) of all text fragments (see pactlake.sources.pdf).
 
-        from pypdf import PdfReader
+    Files are scanned as binary rows, from any store that Spark reads. With range_bytes they are named files of a
+    store that pyarrow opens, and those of more bytes are read by several tasks, a range of pages each.
+    """
+    if range_bytes is not None:
+        spark.dataSource.register(pdf.PdfFragments)
+        names = json.dumps([paths] if isinstance(paths, str) else list(paths))
+        return spark.read.format(pdf.PdfFragments.name()).option("paths", names).option("range_bytes", range_bytes).load()
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in pdf.FRAGMENT.split(", ")]
         for batch in batches:
-            rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                reader = PdfReader(io.BytesIO(content))
-                if reader.is_encrypted:
-                    reader.decrypt("")
-                for number, page in enumerate(reader.pages, 1):
-                    seen = []
-                    plain = page.extract_text(visitor_text=lambda t, _cm, tm, _f, _s, seen=seen: seen.append((float(tm[4]), float(tm[5]), t)) if t.strip() else None)
-                    for x, y, t in seen or [(None, None, None)]:
-                        rows.append((path, path.rsplit("/", 1)[-1], number, len(reader.pages), plain, x, y, t))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "page", "total_pages", "plain", "x", "y", "text"])
+                yield pd.DataFrame(list(pdf.fragment_tuples(path, content)), columns=columns)
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(read, "doc_id string, source string, page int, total_pages int, plain string, x double, y double, text string")
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(read, pdf.FRAGMENT)
 
 
 def fragment_rows(fragments: Column, gap: float = ROW_GAP) -> Column:
@@ -84,18 +79,18 @@ def fragment_rows(fragments: Column, gap: float = ROW_GAP) -> Column:
         return F.when(F.size(near) > 0, grown).otherwise(F.array_append(acc, F.struct(y.alias("y"), F.array(item).alias("items")))).cast(kind)
 
     rows = F.aggregate(ordered, F.expr(f"cast(array() as {kind})"), step)
-    return F.transform(rows, lambda r: F.array_join(F.transform(F.array_sort(F.transform(r["items"], lambda t, i: F.struct(t["x"].alias("x"), i.alias("i"), F.trim(t["text"]).alias("text")))), lambda t: t["text"]), " "))
+    return F.transform(rows, lambda r: F.array_join(F.transform(F.array_sort(F.transform(r["items"], lambda t, i: F.struct(t["x"].alias("x"), i.alias("i"), text.squeeze(t["text"]).alias("text")))), lambda t: t["text"]), " "))
 
 
 def needs_plain(fragments: Column) -> Column:
     """More than 12 words at the bottom edge that are no source footer."""
-    low = F.filter(fragments, lambda f: (f["y"] <= 1.0) & ~F.lower(F.trim(f["text"])).startswith("source:"))
-    return F.coalesce(F.aggregate(low, F.lit(0), lambda a, f: a + F.size(F.filter(F.split(F.trim(f["text"]), r"\s+"), lambda w: w != ""))), F.lit(0)) > 12
+    low = F.filter(fragments, lambda f: (f["y"] <= 1.0) & ~F.lower(text.squeeze(f["text"])).startswith("source:"))
+    return F.coalesce(F.aggregate(low, F.lit(0), lambda a, f: a + text.token_count(f["text"])), F.lit(0)) > 12
 
 
 def layout_pages(fragments: DataFrame) -> DataFrame:
     """L4: pages whose text follows the layout, or the plain text where that fails."""
-    found = fragments.groupBy("doc_id", "source", "page", "total_pages").agg(F.first("plain").alias("plain"), F.collect_list(F.when(F.col("text").isNotNull(), F.struct("x", "y", "text"))).alias("fs"))
+    found = fragments.groupBy("doc_id", "source", "page", "total_pages").agg(F.first("plain").alias("plain"), F.collect_list(F.when(text.squeeze(F.col("text")) != "", F.struct("x", "y", "text"))).alias("fs"))
     layout = F.array_join(fragment_rows(F.col("fs")), "\n")
     out = F.when((F.size("fs") == 0) | needs_plain(F.col("fs")), F.coalesce("plain", F.lit(""))).otherwise(layout)
     return found.select("doc_id", "source", "page", F.col("page").cast("string").alias("page_label"), "total_pages", out.alias("text"))
