@@ -8,11 +8,54 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pactlake.operators.snapshots import BUCKETS, KeyedTable
+
 MAX_FILES, MAX_PARALLEL = 10, 5
 JOB = "id string, batch_id string, filename string, input_path string, file_hash string, config_hash string, status string, stage string, progress int, output_path string, total_pages int, total_segments int, keyword_groups int, error string, created_at string, updated_at string, started_at string, finished_at string"
 CACHE_KEY = ["file_hash", "config_hash"]
 
 
+#: The tables of a JobStore: keys and columns.
+BATCH = "id string, status string, total_files int, max_parallel_files int, config_hash string, created_at string, updated_at string, started_at string, finished_at string, queued_count bigint, processing_count bigint, succeeded_count bigint, failed_count bigint, cached_count bigint"
+CACHE = "file_hash string, config_hash string, output_path string, total_pages int, total_segments int, keyword_groups int, created_at string, updated_at string"
+
+
+class JobStore:
+    """Batches, file jobs and the result cache as keyed tables of a folder; every change is one new version (K5 to K9)."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        table = lambda name, keys, schema: KeyedTable(spark, f"{folder.rstrip('/')}/{name}", keys, schema, buckets)
+        self.batches, self.jobs, self.cache = table("batches", ("id",), BATCH), table("jobs", ("id",), JOB), table("cache", tuple(CACHE_KEY), CACHE)
+
+    def create(self, batch: DataFrame, jobs: DataFrame) -> None:
+        """K5: file jobs first, so that a batch that is there has its files; a repeated call changes nothing."""
+        zero = {c: F.lit(0).cast("bigint") for c in ("processing_count", "succeeded_count", "failed_count", "cached_count")}
+        absent = lambda old, new: old.unionByName(new.join(old.select("id"), "id", "left_anti").select(*old.columns))
+        self.jobs.merge(jobs, absent)
+        self.batches.merge(batch.withColumns({"queued_count": F.col("total_files").cast("bigint"), **zero}), absent)
+
+    def update(self, changes: DataFrame, now: str, order: str | None = None) -> int:
+        """K7: set fields of file jobs by id; a progress stays within 0 to 99 unless the job has ended."""
+        fixed = changes
+        if "progress" in changes.columns:
+            ended = F.col("status").isin("success", "cached") if "status" in changes.columns else F.lit(False)
+            fixed = changes.withColumn("progress", F.when(ended, F.col("progress")).otherwise(progress(F.col("progress"))))
+        return self.jobs.set_fields(fixed.withColumn("updated_at", F.lit(now)), order)
+
+    def retry(self, ids: DataFrame, now: str) -> int:
+        """K8: the failed ones of the jobs named in ids (id) go back to the queue."""
+        return self.jobs.merge(ids.select("id"), lambda old, new: reset_failed(old, new, now))
+
+    def remember(self, rows: DataFrame) -> int:
+        """K6: results by file and configuration; an entry that is replaced keeps created_at."""
+        return self.cache.upsert(rows, "updated_at", kept=("created_at",))
+
+    def refresh(self, now: str) -> int:
+        """K9, A3: counts, status and times of all batches from their jobs."""
+        jobs = self.jobs.read()
+        return self.batches.merge(self.batches.read().select("id"), lambda old, _: refresh_batches(old, jobs, now).select(*old.columns))
+
+
 def create_batch(spark: SparkSession, batch_id: str, files: list[tuple[str, str, str]], config_hash: str, now: str, parallel: int = 2) -> tuple[DataFrame, DataFrame]:
     """K5: (batch, file jobs) for files (name, path, hash), all queued."""
     if not 1 <= len(files) <= MAX_FILES:
@@ -38,17 +81,30 @@ def upsert_cache(cache: DataFrame, rows: DataFrame) -> DataFrame:
     return cache.join(newest.select(*CACHE_KEY), CACHE_KEY, "left_anti").unionByName(merged.select(*cache.columns))
 
 
-def probe_cache(jobs: DataFrame, cache: DataFrame) -> DataFrame:
-    """Jobs with cached_output, null if their file and configuration are new."""
-    return jobs.join(cache.select(*CACHE_KEY, F.col("output_path").alias("cached_output")), CACHE_KEY, "left")
+def probe_cache(jobs: DataFrame, cache: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Jobs with cached_output, null if their file and configuration are new, or their output is gone.
+
+    existing: (path) of the outputs that are there, as `documents.paths_under` lists them; without it entries are trusted.
+    """
+    known = cache.select(*CACHE_KEY, F.col("output_path").alias("cached_output"))
+    if existing is not None:
+        place = lambda c: F.regexp_replace(c, "^file:/+", "/").alias("_place")  # noqa: E731  file:/a and file:///a are /a
+        known = known.withColumn("_place", place("cached_output")).join(existing.select(place("path")), "_place", "left_semi").drop("_place")
+    return jobs.join(known, CACHE_KEY, "left")
 
 
-def reset_failed(jobs: DataFrame, ids: list[str], now: str) -> DataFrame:
-    """K8: the named jobs go back to the queue if they failed."""
-    hit = F.col("id").isin(*ids) & (F.col("status") == "failed")
+def reset_failed(jobs: DataFrame, ids: list[str] | DataFrame, now: str) -> DataFrame:
+    """K8: the named jobs go back to the queue if they failed; ids: a list, or a table with the column id."""
+    if isinstance(ids, DataFrame):
+        jobs = jobs.join(ids.select("id", F.lit(True).alias("_named")).distinct(), "id", "left")
+        named = F.coalesce("_named", F.lit(False))
+    else:
+        named = F.col("id").isin(*ids)
+    hit = named & (F.col("status") == "failed")
     cleared = {"status": F.lit("queued"), "stage": F.lit("queued"), "progress": F.lit(0), "total_pages": F.lit(0), "total_segments": F.lit(0), "keyword_groups": F.lit(0), "updated_at": F.lit(now)}
     empty = {c: F.lit(None).cast("string") for c in ("error", "output_path", "started_at", "finished_at")}
-    return jobs.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in (cleared | empty).items()})
+    judged = jobs.withColumn("_hit", hit)
+    return judged.withColumns({c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in (cleared | empty).items()}).drop("_hit", "_named")
 
 
 def status_counts(jobs: DataFrame, batch: str = "batch_id", status: str = "status") -> DataFrame:

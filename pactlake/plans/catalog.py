@@ -628,6 +628,46 @@ def cache_probe(spark, sf_dir):
     return jobs.probe_cache(wanted, cache_of(spark, sf_dir, False))
 
 
+@query(
+    """WITH j AS (SELECT o_orderkey AS k, o_custkey AS b FROM orders),
+states AS (SELECT *, CASE WHEN k % 8 = 0 THEN 'success' WHEN k % 8 = 4 THEN CASE WHEN k % 3 = 0 THEN 'queued' ELSE 'failed' END WHEN k % 2 = 0 THEN 'processing' ELSE 'queued' END AS status FROM j),
+counts AS (SELECT b, count(*) AS n, count_if(status = 'queued')::BIGINT AS q, count_if(status = 'processing')::BIGINT AS p, count_if(status = 'success')::BIGINT AS s, count_if(status = 'failed')::BIGINT AS f FROM states GROUP BY b)
+SELECT k::VARCHAR AS id, status, CASE WHEN k % 8 = 0 THEN 'success' WHEN k % 8 = 4 THEN CASE WHEN k % 3 = 0 THEN 'queued' ELSE 'export' END WHEN k % 2 = 0 THEN 'processing' ELSE 'queued' END AS stage,
+  CASE WHEN k % 8 = 0 THEN 100 WHEN k % 8 = 4 THEN CASE WHEN k % 3 = 0 THEN 0 ELSE 99 END WHEN k % 2 = 0 THEN 5 ELSE 0 END::INT AS progress, CASE WHEN k % 8 = 4 AND k % 3 <> 0 THEN 'no text' END AS error,
+  CASE WHEN k % 2 = 0 AND NOT (k % 8 = 4 AND k % 3 = 0) THEN 't1' END AS started_at, CASE WHEN k % 8 = 4 AND k % 3 = 0 THEN 't4' WHEN k % 4 = 0 THEN 't3' WHEN k % 2 = 0 THEN 't1' ELSE 't0' END AS updated_at,
+  CASE WHEN s + f = n THEN CASE WHEN f = n THEN 'failed' ELSE 'completed' END WHEN p > 0 THEN 'processing' ELSE 'queued' END AS batch_status, q AS queued_count, f AS failed_count, 6::INT AS versions FROM states JOIN counts USING (b)"""
+)
+def job_table_merges(spark, sf_dir):
+    """The orders as file jobs through the job tables: created, started, stepped, ended, some retried; five merges and a refresh."""
+    out = Scratch(spark)
+    store = jobs.JobStore(spark, f"{out.folder}/jobs", buckets=8)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("batch_id"))
+    zero, none = F.lit(0), F.lit(None).cast("string")
+    queued = o.select("id", "batch_id", F.concat("id", F.lit(".txt")).alias("filename"), F.lit("in").alias("input_path"), F.lit("h").alias("file_hash"), F.lit("c").alias("config_hash"), F.lit("queued").alias("status"), F.lit("queued").alias("stage"), zero.alias("progress"), none.alias("output_path"), zero.alias("total_pages"), zero.alias("total_segments"), zero.alias("keyword_groups"), none.alias("error"), F.lit("t0").alias("created_at"), F.lit("t0").alias("updated_at"), none.alias("started_at"), none.alias("finished_at"))
+    batch = o.groupBy("batch_id").agg(F.count("*").cast("int").alias("total_files")).select(F.col("batch_id").alias("id"), F.lit("queued").alias("status"), "total_files", F.lit(2).alias("max_parallel_files"), F.lit("c").alias("config_hash"), F.lit("t0").alias("created_at"), F.lit("t0").alias("updated_at"), none.alias("started_at"), none.alias("finished_at"))
+    store.create(batch, queued)
+    store.create(batch, queued)  # a repeated call changes nothing
+    store.update(o.filter("k % 2 = 0").select("id", F.lit("processing").alias("status"), F.lit("processing").alias("stage"), F.lit(5).alias("progress"), F.lit("t1").alias("started_at")), "t1")
+    steps = o.filter("k % 4 = 0").select("id", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("llm1").alias("stage"), F.lit(80).alias("progress")), F.struct(F.lit(2).alias("seq"), F.lit("export").alias("stage"), F.lit(250).alias("progress")))).alias("s")).select("id", "s.*")
+    store.update(steps, "t2", order="seq")
+    ends = o.filter("k % 4 = 0").select("id", F.when(F.col("k") % 8 == 0, "success").otherwise("failed").alias("status"), F.when(F.col("k") % 8 == 0, "success").otherwise("export").alias("stage"), F.when(F.col("k") % 8 == 0, 100).otherwise(99).alias("progress"), F.when(F.col("k") % 8 == 4, "no text").alias("error"))
+    store.update(ends, "t3")
+    version = store.retry(o.filter("k % 3 = 0").select("id"), "t4")
+    store.refresh("t5")
+    batches = store.batches.read().select(F.col("id").alias("batch_id"), F.col("status").alias("batch_status"), "queued_count", "failed_count")
+    return out.keep_only(store.jobs.read().join(batches, "batch_id").select("id", "status", "stage", "progress", "error", "started_at", "updated_at", "batch_status", "queued_count", "failed_count", F.lit(version).alias("versions")))
+
+
+@query("SELECT 'h' || o_orderkey AS file_hash, 'c' AS config_hash, CASE WHEN o_orderkey % 2 = 0 AND o_custkey % 5 > 0 THEN 'out/' || o_orderkey || '.json' END AS cached_output FROM orders WHERE o_orderkey % 3 <> 0")
+def cache_probe_existing(spark, sf_dir):
+    """As cache_probe, but an entry whose output is no longer there is none."""
+    o = table(spark, sf_dir, "orders")
+    path = F.concat(F.lit("out/"), F.col("o_orderkey").cast("string"), F.lit(".json"))
+    keys = [F.concat(F.lit("h"), F.col("o_orderkey").cast("string")).alias("file_hash"), F.lit("c").alias("config_hash")]
+    cache = o.filter("o_orderkey % 2 = 0").select(*keys, path.alias("output_path"))
+    return jobs.probe_cache(o.filter("o_orderkey % 3 <> 0").select(*keys), cache, o.filter("o_custkey % 5 > 0").select(path.alias("path")))
+
+
 @query("SELECT upload_id, filename, CASE WHEN n = 0 THEN filename ELSE replace(filename, '.txt', '_' || n || '.txt') END AS stored_as FROM (SELECT o_orderkey AS upload_id, 'file' || o_custkey || '.txt' AS filename, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)")
 def upload_names(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("upload_id"), F.concat(F.lit("file"), F.col("o_custkey").cast("string"), F.lit(".txt")).alias("filename"))

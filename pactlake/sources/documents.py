@@ -147,3 +147,9 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*_eval_report.json
     prefix = F.split(name, "_")[0]
     number = F.when(prefix.rlike("^[0-9]{1,18}$"), prefix.cast("bigint")).otherwise(F.lit(10**9).cast("bigint"))
     return files.select(name.alias("filename"), "path", "length", F.col("modificationTime").alias("modified")).orderBy(number, "filename")
+
+
+def paths_under(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, length, modified) of the files below a folder, however deep; names only, contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
