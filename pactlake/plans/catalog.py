@@ -179,7 +179,33 @@ def seg_token_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.token_count(F.col("text")).alias("token_count"))
 
 
-@query()
+STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+COUNT = "len(regexp_extract_all({0}, '\\S+'))"
+SOME = "list_filter(list_transform({0}, lambda u: " + STRIP.format("u") + "), lambda u: u <> '')"
+SENTENCES = SOME.format("string_split(regexp_replace({0}, '([.!?;])\\s+([A-Z0-9(\"])', '\\1' || chr(1) || '\\2', 'g'), chr(1))")
+
+
+def windows_sql(x: str, most: int) -> str:
+    words = f"regexp_extract_all({x}, '\\S+\\s*')"
+    part = f"array_to_string({words}[k * {most} + 1:k * {most} + {most}], '')"
+    return f"list_transform(range(0, (len({words}) + {most - 1}) // {most}), lambda k: {STRIP.format(part)})"
+
+
+def packed_sql(pieces: str, joins: str) -> str:
+    """Fold of pieces into chunks: state t, piece s, both (done, open, n); `joins` says when s joins the open chunk."""
+    states = f"list_transform({pieces}, lambda p: struct_pack(done := []::VARCHAR[], open := p, n := {COUNT.format('p')}))"
+    step = f"struct_pack(done := CASE WHEN t.open = '' OR ({joins}) THEN t.done ELSE list_append(t.done, t.open) END, open := CASE WHEN t.open <> '' AND ({joins}) THEN t.open || chr(10) || s.open ELSE s.open END, n := CASE WHEN t.open <> '' AND ({joins}) THEN t.n + s.n ELSE s.n END)"
+    return f"list_reduce({states}, lambda t, s: {step}, struct_pack(done := []::VARCHAR[], open := '', n := 0::BIGINT))"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {STRIP.format("text")} AS x FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT doc_id, x, flatten(list_transform({SOME.format("string_split_regex(x, chr(10) || '[[:space:]]*' || chr(10) || '|' || chr(10))")}, lambda p: CASE WHEN {COUNT.format("p")} <= {segment.MAX_TOKENS} THEN [p] ELSE flatten(list_transform({SENTENCES.format("p")}, lambda s: {windows_sql("s", segment.MAX_TOKENS)})) END)) AS ps FROM d WHERE {COUNT.format("x")} > {segment.MAX_TOKENS}),
+packed AS (SELECT doc_id, {packed_sql("ps", f"t.n + s.n <= {segment.MAX_TOKENS}")} AS t FROM pieces), chunks AS (SELECT doc_id, CASE WHEN t.open <> '' THEN list_append(t.done, t.open) ELSE t.done END AS cs FROM packed),
+merged AS (SELECT doc_id, {packed_sql("cs", f"s.n < {segment.MIN_TOKENS} AND t.n + s.n <= {segment.MAX_TOKENS}")} AS t FROM chunks), long AS (SELECT doc_id, CASE WHEN t.open <> '' THEN list_append(t.done, t.open) ELSE t.done END AS cs FROM merged),
+every AS (SELECT doc_id, cs FROM long UNION ALL SELECT doc_id, [x] FROM d WHERE {COUNT.format("x")} <= {segment.MAX_TOKENS})
+SELECT doc_id, (k - 1)::INT AS chunk, {COUNT.format("cs[k]")}::INT AS token_count, md5(cs[k]) AS part_md5 FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS k FROM every)"""
+)
 def seg_split_long(spark, sf_dir):
     """Chunks of every document under the token limits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(segment.split_by_tokens(F.col("text"))).alias("chunk", "part"))
@@ -317,9 +343,43 @@ def merge_first_seen(spark, sf_dir):
     return merge.merge_groups(groups_of(spark, sf_dir), counted=True).select("doc_id", "pos", "n_merged")
 
 
-@query()
+def distinct_sql(values: str) -> str:
+    """The first spelling of each key among the stripped non-blank values."""
+    clean = f"list_filter(list_transform({values}, lambda u: trim(coalesce(u, ''))), lambda u: u <> '')"
+    return f"list_filter({clean}, lambda v, i: list_position(list_transform({clean}, lambda w: {key_sql('w')}), {key_sql('v')}) = i)"
+
+
+SPECIAL_NAME = "CASE WHEN k = 'parties' THEN 'Parties' WHEN starts_with(k, 'payment terms::') THEN 'Payment Terms' WHEN k = 'governing law and dispute resolution' THEN 'Governing Law and Dispute Resolution' END"
+
+
+def points_sql(g: str) -> str:
+    words = FOLD.format(f"({g}.context || ' ' || coalesce({g}.exact, ''))")
+    needles = (("made between", 4), ("service provider", 2), ("client", 2), ("authorized representative", -3))
+    return f"(CASE WHEN coalesce({g}.exact, '') <> '' THEN 5 ELSE 0 END + CASE WHEN {g}.context <> '' THEN 3 ELSE 0 END" + "".join(f" + CASE WHEN contains({words}, '{w}') THEN {n} ELSE 0 END" for w, n in needles) + ")"
+
+
+def named_sql(g: dict[str, str]) -> str:
+    """A group's state under the name that its key asks for."""
+    own = f"CASE WHEN {key_sql('trim(' + g['rep'] + ')')} <> {key_sql('special')} THEN [trim({g['rep']})] ELSE []::VARCHAR[] END"
+    related = distinct_sql(f"list_concat({g['related']}, {own})")
+    return f"struct_pack(rep := coalesce(special, {g['rep']}), kind := {g['kind']}, related := CASE WHEN special IS NOT NULL THEN {related} ELSE {g['related']} END, context := {g['context']}, exact := {g['exact']}, segment := {g['segment']})"
+
+
+_FIRST = {f: f"gs[1].{f}" for f in ("rep", "kind", "related", "context", "exact", "segment")}
+_BETTER = f"{points_sql('s')} > {points_sql('t')}"
+_STEP = {"rep": "t.rep", "kind": "t.kind", "related": distinct_sql("list_concat(t.related, s.related, [s.rep])"), "segment": f"CASE WHEN {_BETTER} THEN s.segment ELSE t.segment END"} | {c: f"coalesce(nullif(CASE WHEN {_BETTER} THEN s.{c} ELSE t.{c} END, ''), t.{c})" for c in ("context", "exact")}
+
+
+@query(
+    f"""WITH {KEYED}, states AS (SELECT doc_id, merge_key AS k, min(pos) AS pos, list(struct_pack(rep := name, kind := kind, related := related, context := context, exact := exact, segment := segment_id) ORDER BY pos) AS gs FROM keyed GROUP BY doc_id, merge_key),
+special AS (SELECT *, {SPECIAL_NAME} AS special FROM states),
+folded AS (SELECT doc_id, pos, list_reduce(gs[2:], lambda t, s: {named_sql(_STEP)}, {named_sql(_FIRST)}) AS g FROM special)
+SELECT doc_id, pos::INT AS pos, g.rep AS representative_keyword, g.kind AS provision_type, array_to_string(g.related, '|') AS related, md5(coalesce(g.context, '')) AS context_md5, md5(coalesce(g.exact, '')) AS exact_md5, g.segment AS segment_id FROM folded"""
+)
 def merge_groups(spark, sf_dir):
-    return merge.merge_groups(groups_of(spark, sf_dir)).select("doc_id", "pos", "representative_keyword", "provision_type", F.array_join("related_keywords", "|").alias("related"), F.md5(F.coalesce("context_text", F.lit(""))).alias("context_md5"), F.col("meta.segment_id").alias("segment_id"))
+    """The folds' results: names, related keywords, context, exact text and segment of every merged group."""
+    merged = merge.merge_groups(groups_of(spark, sf_dir))
+    return merged.select("doc_id", "pos", "representative_keyword", "provision_type", F.array_join("related_keywords", "|").alias("related"), F.md5(F.coalesce("context_text", F.lit(""))).alias("context_md5"), F.md5(F.coalesce("exact_text", F.lit(""))).alias("exact_md5"), F.col("meta.segment_id").alias("segment_id"))
 
 
 START = key_sql("substr(b, 1, {0})")
