@@ -212,13 +212,13 @@ WEIGHTS = {"keyword": 0.25, "grouping": 0.20, "context": 0.25, "exact": 0.25, "p
 MATCH_WEIGHTS = {"keyword": 0.35, "grouping": 0.20, "context": 0.20, "exact": 0.20, "page": 0.05}
 
 # ---- fixed values: patterns of lines and headings ----
-NUMBER_ALONE = r"^(?:\d+\.|\d+(?:\.\d+)+\.?|\([A-Za-z]\))$"
-NUMBER_START = r"^(?:\d+(?:\.\d+)*\.?|\([A-Za-z]\))\s+\S"
-LIST_MARKER = r"^(?:[-*•]|\([A-Za-z0-9]+\)|[A-Za-z]\.)\s+"
-SOURCE_FOOTER = r"(?i)^(?:\d+\s+)?Source:\s+.+$"
-LEGAL_HEADING = r"(?i)^(ARTICLE|SECTION|SCHEDULE|EXHIBIT|APPENDIX|ANNEX)\b"
-TABLE_LIKE = r"\t|\s{2,}|\$|%|\b\d{1,3}(?:,\d{3})+\b"
-SIGNATURE = r"(?i)^(IN WITNESS WHEREOF|SIGNATURES?|SIGNED|AGREED AND ACCEPTED|ACCEPTED AND AGREED)\b"
-STRUCTURE = r"(?i)^(ARTICLE|SECTION|SCHEDULE|EXHIBIT|APPENDIX|ANNEX)\b"
+NUMBER_ALONE = r"(?U)^(?:\d+\.|\d+(?:\.\d+)+\.?|\([A-Za-z]\))$"
+NUMBER_START = r"(?U)^(?:\d+(?:\.\d+)*\.?|\([A-Za-z]\))\s+\S"
+LIST_MARKER = r"(?U)^(?:[-*•]|\([A-Za-z0-9]+\)|[A-Za-z]\.)\s+"
+SOURCE_FOOTER = r"(?iU)^(?:\d+\s+)?Source:\s+.+$"
+LEGAL_HEADING = r"(?iU)^(ARTICLE|SECTION|SCHEDULE|EXHIBIT|APPENDIX|ANNEX)\b"
+TABLE_LIKE = r"(?U)\t|\s{2,}|\$|%|\b\d{1,3}(?:,\d{3})+\b"
+SIGNATURE = r"(?iU)^(IN WITNESS WHEREOF|SIGNATURES?|SIGNED|AGREED AND ACCEPTED|ACCEPTED AND AGREED)\b"
+STRUCTURE = r"(?iU)^(ARTICLE|SECTION|SCHEDULE|EXHIBIT|APPENDIX|ANNEX)\b"
 NUMBERED = r"(?U)^(\d+\.|\d+(?:\.\d+)+\.?)\s+(\S.*)$"
 BULLET = r"(?U)^(\([A-Za-z0-9]+\)|[a-z]\.)\s+\S"

@@ -78,20 +78,30 @@ def preview(names: Column, most: int = 8) -> Column:
     return F.slice(F.coalesce(names, text.no_strings()), 1, most)
 
 
+def beginning(x: Column, full: bool = False, most: int = 1000) -> Column:
+    """The first `most` characters, or all."""
+    return x if full else F.substring(x, 1, most)
+
+
 def shortened(x: Column, most: int = 260) -> Column:
     """White space squeezed, cut to `most` characters with three dots."""
-    clean = F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " "))
-    return F.when(F.length(clean) > most, F.concat(F.rtrim(F.substring(clean, 1, most - 3)), F.lit("..."))).otherwise(clean)
+    clean = text.squeeze(x)
+    return F.when(F.length(clean) > most, F.concat(F.regexp_replace(F.substring(clean, 1, most - 3), r"(?U)\s+$", ""), F.lit("..."))).otherwise(clean)
 
 
 def joined_names(names: Column) -> Column:
-    """Names joined by commas, each once whatever its case, blank ones left out."""
-    clean = F.filter(F.transform(F.coalesce(names, text.no_strings()), lambda s: F.trim(s)), lambda s: s != "")
-    once = F.aggregate(clean, text.no_strings(), lambda acc, s: F.when(F.exists(acc, lambda a: F.lower(a) == F.lower(s)), acc).otherwise(F.array_append(acc, s)))
+    """Names joined by commas, white space squeezed, each once whatever its case, blank ones left out."""
+    clean = F.filter(F.transform(F.coalesce(names, text.no_strings()), text.squeeze), lambda s: s != "")
+    once = F.aggregate(clean, text.no_strings(), lambda acc, s: F.when(F.exists(acc, lambda a: text.folded(a) == text.folded(s)), acc).otherwise(F.array_append(acc, s)))
     return F.array_join(once, ", ")
 
 
 def page_samples(pages: DataFrame, full: bool = False, most: int = 1000) -> DataFrame:
     """Pages with their text's length and its beginning."""
-    shown = F.col("text") if full else F.substring("text", 1, most)
-    return pages.select("doc_id", "page", F.length("text").alias("text_length"), shown.alias("text"))
+    return pages.select("doc_id", "page", F.length("text").alias("text_length"), beginning(F.col("text"), full, most).alias("text"))
+
+
+def segment_samples(segments: DataFrame) -> DataFrame:
+    """Segments as they are looked at: id, title, page, metadata and whole text."""
+    meta = F.struct("source", "parent_section_title", "token_count", "chunk_index", "chunk_total", "is_continuation")
+    return segments.select("doc_id", "segment_id", "title", "page", meta.alias("metadata"), "text")

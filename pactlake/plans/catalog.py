@@ -598,6 +598,78 @@ def batch_response(spark, sf_dir):
     return pipeline.batch_response(docs, 3)
 
 
+# ---- helpers of reports and replies ----
+
+
+@query(
+    "WITH r AS (SELECT o_custkey AS number, max(o_custkey || '_' || o_orderkey || '_result.json') AS result FROM orders GROUP BY 1), t AS (SELECT c_custkey AS number, 'ground_truth_' || c_custkey || '.json' AS truth FROM customer WHERE c_custkey % 3 > 0) SELECT number, result, truth, CASE WHEN result IS NULL THEN 'missing result' WHEN truth IS NULL THEN 'missing ground truth' END AS skipped FROM r FULL JOIN t USING (number)"
+)
+def report_pairs(spark, sf_dir):
+    """Results and truths by number (J11), with the reason why a number is skipped."""
+    name = F.concat_ws("_", "o_custkey", "o_orderkey", F.lit("result.json"))
+    results = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("number")).agg(F.max(name).alias("filename"))
+    truths = table(spark, sf_dir, "customer").filter("c_custkey % 3 > 0").select(F.col("c_custkey").alias("number"), F.concat(F.lit("ground_truth_"), F.col("c_custkey").cast("string"), F.lit(".json")).alias("filename"))
+    return evaluate.pair_files(results, truths)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 3 THEN 2 WHEN o_orderkey % 7 = 5 THEN 0 END::INT AS n_groups, CASE WHEN o_orderkey % 7 < 3 THEN 'Term ' || o_orderkey END AS first_name, CASE WHEN o_orderkey % 7 < 3 THEN 'a|' || o_custkey END AS related FROM orders")
+def reply_parse(spark, sf_dir):
+    """Replies as models give them (I7): plain, fenced, inside a sentence, without an object, empty, null."""
+    key = F.col("o_orderkey")
+    whole = F.format_string('{"keyword_groups": [{"representative_keyword": "Term %s", "related_keywords": ["a", "%s"]}, {"representative_keyword": "Other {}"}]}', key.cast("string"), F.col("o_custkey").cast("string"))
+    reply = F.when(key % 7 == 0, whole).when(key % 7 == 1, F.concat(F.lit(" ```json\n"), whole, F.lit("\n``` "))).when(key % 7 == 2, F.concat(F.lit("Here it is: "), whole, F.lit(" Anything else?")))
+    reply = reply.when(key % 7 == 3, "I can't see any {clause").when(key % 7 == 4, "").when(key % 7 == 5, '{"keyword_groups": []}')
+    groups = model_io.parse_reply(reply)["keyword_groups"]
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(groups.isNotNull(), F.size(groups)).alias("n_groups"), F.get(groups, 0)["representative_keyword"].alias("first_name"), F.array_join(F.get(groups, 0)["related_keywords"], "|").alias("related"))
+
+
+SHORT = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+
+
+@query(
+    f"WITH {GROUPS} SELECT doc_id, pos::INT AS pos, CASE WHEN len(related) = 1 OR lower(name) = 'fees' THEN name ELSE name || ', Fees' END AS names, CASE WHEN length({SHORT.format('context')}) > 60 THEN rtrim(substr({SHORT.format('context')}, 1, 57)) || '...' ELSE {SHORT.format('context')} END AS shown, segment_id || ': ' || substr(context, 1, 40) AS sample FROM groups"
+)
+def report_display(spark, sf_dir):
+    """How a report shows a group (X12): its names once each whatever their case, its context cut short; a sample of its text."""
+    names = reports.joined_names(F.concat(F.array("representative_keyword"), "related_keywords"))
+    return groups_of(spark, sf_dir).select("doc_id", "pos", names.alias("names"), reports.shortened(F.col("context_text"), 60).alias("shown"), F.concat("meta.segment_id", F.lit(": "), reports.beginning(F.col("context_text"), most=40)).alias("sample"))
+
+
+CANDIDATE_BODY = "trim(regexp_replace(text, '^(?:\\d+(?:\\.\\d+)*\\.?|\\([A-Za-z]\\))\\s+', ''))"
+CANDIDATE_WORDS = "list_filter(string_split_regex(trim(regexp_replace(body, '[.:]+$', '')), '\\s+'), lambda w: w <> '')"
+
+
+@query(
+    f"""WITH raw AS ({RAW}), b AS (SELECT *, {CANDIDATE_BODY} AS body FROM raw), w AS (SELECT *, {CANDIDATE_WORDS} AS ws FROM b)
+SELECT doc_id, page, pos, len(ws) > 0 AND len(ws) <= 12 AND NOT regexp_matches(body, '[,;]$') AND (({upper_sql('body')} AND len(ws) <= 10) OR len(list_filter(ws, lambda x: {upper_sql('x[1]')})) >= greatest(1, len(ws) - 1)) AS heading,
+  regexp_matches(text, '\\t|\\s{{2,}}|\\$|%|\\b\\d{{1,3}}(?:,\\d{{3}})+\\b') AS tabular, regexp_matches(text, '^(?:\\d+(?:\\.\\d+)*\\.?|\\([A-Za-z]\\))\\s+\\S') OR regexp_matches(text, '^(?:\\d+\\.|\\d+(?:\\.\\d+)+\\.?|\\([A-Za-z]\\))$') OR regexp_matches(text, '^(?:[-*•]|\\([A-Za-z0-9]+\\)|[A-Za-z]\\.)\\s+') OR regexp_matches(text, '\\t|\\s{{2,}}|\\$|%|\\b\\d{{1,3}}(?:,\\d{{3}})+\\b') AS opens FROM w"""
+)
+def norm_line_kinds(spark, sf_dir):
+    """What each line of the contracts is taken for before wrapped lines are joined."""
+    line = F.col("text")
+    return contract_view.raw_lines(spark, sf_dir).select("doc_id", "page", "pos", normalize.is_heading_candidate(line).alias("heading"), normalize.is_table_like(line).alias("tabular"), normalize.starts_block(line).alias("opens"))
+
+
+_KEYS = f"list_transform(list_concat([name], related), lambda u: {key_sql('u')})"
+ALIASES = f"list_sort(list_distinct(list_filter(list_concat({_KEYS}, list_transform({_KEYS}, lambda u: array_to_string({CANON.format('u')}, ' '))), lambda u: u <> '')))"
+_CANONS = "list_distinct(list_filter(list_transform({0}, lambda u: array_to_string(" + CANON.format("u") + ", ' ')), lambda u: u <> ''))"
+_SETS = "list_filter(list_transform({0}, lambda u: list_distinct(" + CANON.format("u") + ")), lambda u: len(u) > 0)"
+
+
+@query(
+    f"""WITH {GROUPS}, al AS (SELECT doc_id, pos, {ALIASES} AS a FROM groups), ca AS (SELECT *, {_CANONS.format("a")} AS c, {_SETS.format("a")} AS s FROM al),
+pairs AS (SELECT p.doc_id, p.pos, p.a AS pa, t.a AS ta, p.c AS pc, t.c AS tc, p.s AS ps, t.s AS ts FROM ca p JOIN ca t ON t.doc_id = p.doc_id AND t.pos = p.pos + 2)
+SELECT doc_id, pos::INT AS pos, CASE WHEN len(ta) = 0 THEN 0.0 ELSE greatest(len(list_intersect(ta, pa))::DOUBLE / len(ta), CASE WHEN len(tc) = 0 THEN 0.0 ELSE len(list_intersect(tc, pc))::DOUBLE / len(tc) * 0.95::DOUBLE END) END::DOUBLE AS grouping,
+  coalesce(list_max(flatten(list_transform(ps, lambda x: list_transform(ts, lambda y: len(list_intersect(x, y))::DOUBLE / least(len(x), len(y)))))), 0.0)::DOUBLE AS label_overlap, array_to_string(pa, '|') AS aliases FROM pairs"""
+)
+def eval_label_scores(spark, sf_dir):
+    """Grouping and label scores (C11, C15, U6) of each group against the one two places on."""
+    g = groups_of(spark, sf_dir).select("doc_id", "pos", text.aliases(F.concat(F.array("representative_keyword"), "related_keywords")).alias("a"))
+    sets = lambda a: F.filter(F.transform(a, lambda x: F.array_distinct(text.canonical_tokens(x))), lambda t: F.size(t) > 0)
+    pairs = g.withColumn("at", F.col("pos") + 2).join(g.select("doc_id", F.col("pos").alias("at"), F.col("a").alias("t")), ["doc_id", "at"])
+    return pairs.select("doc_id", "pos", evaluate.grouping_score(F.col("a"), F.col("t")).alias("grouping"), evaluate.label_overlap(sets(F.col("a")), sets(F.col("t"))).alias("label_overlap"), F.array_join("a", "|").alias("aliases"))
+
+
 # ---- the whole chain ----
 
 #: CHAIN over normalised lines: footers gone, the number alone on its line joined to its heading.
