@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from pactlake.sources.documents import file_name
 
@@ -33,3 +34,35 @@ def start(pages: DataFrame, process: Callable[[DataFrame], DataFrame], out: str,
 def progress(query) -> list[dict]:
     """Batches done so far with their input rows."""
     return [{"batch": p["batchId"], "rows": p["numInputRows"]} for p in query.recentProgress]
+
+class RunLog(StreamingQueryListener):
+    """T4: what the batches of streams report: number, rows, seconds and observed metrics; no job of its own.
+
+    spark.streams.addListener(log); a stream's metrics come from DataFrame.observe under their name.
+    """
+
+    def __init__(self) -> None:
+        self.batches: list[dict] = []
+        self.ended: list[dict] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        seen = {name: row.asDict() for name, row in p.observedMetrics.items()}
+        self.batches.append({"query": str(p.id), "batch": p.batchId, "rows": p.numInputRows, "seconds": p.batchDuration / 1000, "metrics": seen})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.append({"query": str(event.id), "error": event.exception})
+
+    def totals(self, metrics: str) -> dict[str, float]:
+        """Sums of the metrics of one name over all batches."""
+        out: dict[str, float] = {}
+        for batch in self.batches:
+            for k, v in batch["metrics"].get(metrics, {}).items():
+                out[k] = out.get(k, 0) + (v or 0)
+        return out

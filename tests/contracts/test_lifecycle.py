@@ -85,3 +85,28 @@ def test_only_fitting_events_change_a_job():
     assert lifecycle.after(running, "started", 9, None, None) is running and lifecycle.after(running, "step", 9, "strange", None)["progress"] == 50
     failed = lifecycle.after(running, "failed", 9, None, "boom")
     assert failed["error"] == "boom" and lifecycle.after(failed, "retried", 10, None, None) == queued | {"attempt": 1}
+
+
+def test_run_log_of_a_stream(spark, tmp_path):
+    """Rows and observed metrics of every batch add up to those of the files."""
+    import time
+
+    from pactlake.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    for i in range(5):
+        (tmp_path / "in" / f"{i}.txt").write_text("words " * (i + 1))
+    log = ingest.RunLog()
+    spark.streams.addListener(log)
+    try:
+        pages = ingest.text_stream(spark, str(tmp_path / "in"), 2).observe("pages", F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+        query = ingest.start(pages, lambda df: df.select("source"), str(tmp_path / "out"), str(tmp_path / "ck"), once=True)
+        query.awaitTermination()
+        waited = time.monotonic()
+        while not log.ended and time.monotonic() < waited + 20:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(log)
+    done = [b for b in log.batches if b["rows"]]
+    assert [b["rows"] for b in done] == [2, 2, 1] and all(b["seconds"] >= 0 for b in done)
+    assert log.totals("pages") == {"n": 5, "chars": 6 * 15} and log.ended[0]["error"] is None
