@@ -1,20 +1,23 @@
 """License scans: phrase labels plus an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a stretch of words across lines (see below). Block and template are sets of words; a block matches a template if it holds at least
-`threshold` of the template's words. Template words are ordered by their frequency in the whole corpus,
-rarest first. A match must then share a word with the template's prefix (all but the last required - 1
-words), hold enough template words (length filter), and have enough words left after the shared one on
-both sides (positional filter). Survivors are verified by the exact intersection. Words that are in no
-template can't add to an intersection, so block sets are kept to template words; the frequency table and
-the prefix index hold at most the templates' words and are the only broadcast data.
-
-A template that wraps over lines is found in stretches: around each word of the template's prefix, REACH times
-the template's length to either side, whatever line breaks or blank lines lie within. Only rows of several
-lines that hold `required` words of the template anywhere are looked at, and stretches are verified by the
-same exact intersection.
-
-Null text counts as empty: no words, no labels, null first_word and last_word, score 0. Repeated rows get
-the same result each. An empty table gives no rows. Other input columns are ignored.
+A block is a run of consecutive lines with words, for a template of m words at most m of them, however long the lines
+and whatever stands between. Block and template are sets of words; a block matches a template if it holds at least
+`threshold` of the template's words. Template words are ordered by their frequency in the whole corpus, rarest first.
+
+First whole texts are joined with the templates, as no run can hold what its text does not: a match must share a word
+with the template's prefix (all but the last required - 1 words), hold enough template words (length filter), and have
+enough words left after the shared one on both sides (positional filter); survivors are verified by the exact
+intersection. Words that are in no template can't add to an intersection, so sets are kept to template words; the
+frequency table and the prefix index hold at most the templates' words and are the only broadcast data.
+
+Then the runs of the texts that are left are counted, for each template. A word of the template adds one to every run
+that begins after the line of its last occurrence, and no more than m - 1 lines before its own: an interval of
+beginnings. A running sum over the intervals' ends is the number of different template words in each run, so runs need
+neither be listed nor limited.
+
+Null text counts as empty: no words, no labels, null first_word and last_word, score 0. Texts of any length are read
+whole. Repeated rows get the same result each; labels that match equally well all stay. An empty table gives no rows.
+Other input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlake.llm.common import WORD, ascii_lower, once, row_key, words_of, written
@@ -40,10 +43,6 @@ TEMPLATES = {
     "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
 }
 THRESHOLD = 0.9
-#: Words to either side of a prefix word, as a multiple of the template's length: room for comment marks and names between.
-REACH = 2
-
-
 def templates_of(templates: dict[str, list[str]]) -> list[tuple[int, str, list[str]]]:
     blocks = [(label, sorted(set(re.findall(WORD, block)))) for label, found in templates.items() for block in found]
     return [(i, label, words) for i, (label, words) in enumerate(blocks)]
@@ -53,8 +52,11 @@ def required(n: int, threshold: float) -> int:
     return max(1, math.ceil(round(threshold * n, 9)))
 
 
-def match_blocks(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every (row, line, template) with containment of at least the threshold: _key, block, label, containment."""
+def match_blocks(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", lines: bool = True) -> DataFrame:
+    """Every (row, block, template) with containment of at least the threshold: _key, block, label, containment.
+
+    Blocks are the lines, or (not lines) the whole text as block 0.
+    """
     spark = docs.sparkSession
     blocks = templates_of(templates)
     vocabulary = sorted({w for _, _, words in blocks for w in words})
@@ -68,7 +70,7 @@ def match_blocks(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, t
         index += [(w, i, label, pos, len(ordered), need, [order[x] for x in ordered]) for pos, w in enumerate(ordered[: len(ordered) - need + 1])]
     prefix_index = spark.createDataFrame(index, "w string, template int, label string, pos int, n int, need int, ranks array<int>")
     rank = F.create_map(*[x for w, i in order.items() for x in (F.lit(w), F.lit(i))])
-    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.posexplode(F.split(text, "\n")).alias("block", "line"))
+    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.posexplode(F.split(text, "\n") if lines else F.array(text)).alias("block", "line"))
     known = F.array_distinct(F.filter(words_of(F.col("line")), lambda w: w.isin(vocabulary)))
     sets = once(keyed.select("_key", "block", "line"), words=known).filter(F.size("words") >= least)
     sets = sets.select("_key", "block", F.array_sort(F.transform("words", lambda w: rank[w])).alias("ranks"))
@@ -83,34 +85,28 @@ def match_blocks(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, t
     return found.groupBy("_key", "block", "template").agg(F.first("label").alias("label"), F.max("containment").alias("containment"))
 
 
-def shared_around(prefix: list[str], template: list[str], reach: int) -> Column:
-    """The most template words in a stretch of `reach` words to either side of a prefix word, in the column `words`."""
-    own = F.array(*[F.lit(w) for w in template])
-    spots = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda at: F.get("words", at).isin(prefix))
-    return F.array_max(F.transform(spots, lambda at: F.size(F.array_intersect(F.slice("words", F.greatest(at - reach + 1, F.lit(1)), F.lit(2 * reach + 1)), own))))
-
-
-def match_wrapped(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every (row, template) that a stretch of words across lines holds by at least the threshold: _key, label, containment."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lengths = [len(re.findall(WORD, block)) for found in templates.values() for block in found]
+def match_runs(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every (row, template) that a run of lines holds by at least the threshold: _key, label, containment (the best run's)."""
+    spark = docs.sparkSession
     blocks = templates_of(templates)
-    vocabulary = sorted({w for _, _, words in blocks for w in words})
-    rows = docs.filter(F.contains(text, F.lit("\n"))).select(row_key(F.col(id_col), F.col(text_col)).alias("_key"), text.alias("_text"))
-    rows = once(rows, words=words_of(F.col("_text"))).select("_key", "words")
-    rows = once(rows, have=F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary))))
-    strings = lambda ws: F.array(*[F.lit(w) for w in ws])
-    holds = [F.size(F.array_intersect("have", strings(words))) >= required(len(words), threshold) for _, _, words in blocks]
-    rows = rows.withColumn("could", F.array_compact(F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(holds)]))).filter(F.size("could") > 0)
-    # a match holds a word of any len(words) - required + 1 of the template's: the longest are the rarest
-    best = []
-    for i, label, words in blocks:
-        need, reach = required(len(words), threshold), REACH * lengths[i]
-        prefix = sorted(words, key=lambda w: (-len(w), w))[: len(words) - need + 1]
-        most = shared_around(prefix, words, reach)
-        best.append(F.when(F.array_contains("could", i), F.struct(F.lit(label).alias("label"), most.alias("shared"), F.lit(need).alias("need"), F.lit(len(words)).alias("n"))))
-    found = rows.select("_key", F.inline(F.array_compact(F.array(*best)))).filter("shared >= need")
-    return found.groupBy("_key", "label").agg(F.max(F.col("shared") / F.col("n")).alias("containment"))
+    longest = [len(re.findall(WORD, block)) for found in templates.values() for block in found]
+    words = [(i, w, longest[i], len(own), required(len(own), threshold)) for i, _, own in blocks for w in own]
+    known = spark.createDataFrame(words, "template int, w string, m int, n int, need int")
+    could = written(match_blocks(docs, templates, threshold, id_col, text_col, lines=False).select("_key", "template", "label"), "license-texts")
+    texts = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    texts = texts.join(could.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
+    cut = F.filter(F.transform(F.split("_text", "\n"), words_of), lambda ws: F.size(ws) > 0)
+    lines = texts.select("_key", F.posexplode(cut).alias("line", "ws")).select("_key", "line", F.explode(F.array_distinct("ws")).alias("w"))
+    hits = lines.join(F.broadcast(known), "w").join(could, ["_key", "template"])
+    before = F.lag("line").over(Window.partitionBy("_key", "template", "w").orderBy("line"))
+    begin = F.greatest(F.coalesce(before + 1, F.col("line") - F.col("m") + 1), F.col("line") - F.col("m") + 1)
+    hits = hits.withColumn("begin", begin)
+    ends = F.array(F.struct(F.col("begin").alias("at"), F.lit(1).alias("change")), F.struct((F.col("line") + 1).alias("at"), F.lit(-1).alias("change")))
+    changes = hits.select("_key", "template", "label", "n", "need", F.explode(ends).alias("e")).select("_key", "template", "label", "n", "need", "e.at", "e.change")
+    changes = changes.groupBy("_key", "template", "label", "n", "need", "at").agg(F.sum("change").alias("change"))
+    held = F.sum("change").over(Window.partitionBy("_key", "template").orderBy("at"))
+    best = changes.withColumn("held", held).groupBy("_key", "template", "label", "n", "need").agg(F.max("held").alias("shared"))
+    return best.filter(F.col("shared") >= F.col("need")).groupBy("_key", "label").agg(F.max(F.col("shared") / F.col("n")).alias("containment"))
 
 
 def starts_of(words: Column, phrase: str) -> Column:
@@ -131,8 +127,7 @@ def starts_of(words: Column, phrase: str) -> Column:
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Labels of every row. score: the best containment of a matched block, 1 where a phrase stands, else 0."""
-    lines = match_blocks(docs, templates, threshold, id_col, text_col).select("_key", "label", "containment")
-    matched = written(lines.unionByName(match_wrapped(docs, templates, threshold, id_col, text_col)), "license-blocks")
+    matched = written(match_runs(docs, templates, threshold, id_col, text_col), "license-runs")
     matched = matched.groupBy("_key").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     keyed = docs.select(F.col(id_col), row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
     df = once(keyed, words=words_of(F.col("_text"))).select(id_col, "_key", "words")
@@ -161,14 +156,19 @@ def oracle() -> str:
         parts = phrase.split(" ")
         test = " AND ".join(f"w[i + {j + 1}] = '{p}'" for j, p in enumerate(parts))
         starts.append(f"SELECT rid, '{label}' AS label, i AS pos FROM (SELECT rid, w, unnest(range(0, len(w) - {len(parts) - 1})) AS i FROM d WHERE list_contains(w, '{parts[0]}')) WHERE {test}")
-    values = ", ".join(f"('{label}', {words}::VARCHAR[], {required(len(words), THRESHOLD)})" for _, label, words in templates_of(TEMPLATES))
+    lengths = [len(re.findall(WORD, block)) for found in TEMPLATES.values() for block in found]
+    values = ", ".join(f"({i}, '{label}', {own}::VARCHAR[], {required(len(own), THRESHOLD)}, {lengths[i]})" for i, label, own in templates_of(TEMPLATES))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, {words.format(t="text")} AS w FROM documents),
 base AS ({" UNION ALL ".join(starts)}),
 b AS (SELECT rid, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY rid),
-t(label, tw, need) AS (VALUES {values}),
-lines AS (SELECT rid, list_distinct({words.format(t="line")}) AS lw FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
-m AS (SELECT rid, label, len(list_intersect(lw, tw)) / len(tw)::DOUBLE AS c FROM lines, t WHERE len(lw) >= need AND len(list_intersect(lw, tw)) >= need),
+t(tid, label, tw, need, m) AS (VALUES {values}),
+could AS (SELECT rid, text, t.* FROM d, t WHERE len(list_intersect(list_distinct(w), tw)) >= need),
+cut AS (SELECT rid, k, {words.format(t="ls[k]")} AS lw FROM (SELECT rid, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT DISTINCT rid, string_split(text, chr(10)) AS ls FROM could))),
+lines AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY k) AS ln, lw FROM cut WHERE len(lw) > 0),
+runs AS (SELECT c.rid, c.tid, any_value(c.label) AS label, any_value(c.need) AS need, any_value(len(c.tw)) AS n, len(list_intersect(list_distinct(flatten(list(b.lw))), any_value(c.tw))) AS shared
+  FROM could c JOIN lines a ON a.rid = c.rid AND len(list_intersect(a.lw, c.tw)) > 0 JOIN lines b ON b.rid = a.rid AND b.ln BETWEEN a.ln AND a.ln + c.m - 1 GROUP BY c.rid, c.tid, a.ln),
+m AS (SELECT rid, label, shared / n::DOUBLE AS c FROM runs WHERE shared >= need),
 allof AS (SELECT rid, label FROM m UNION SELECT rid, label FROM base),
 l AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS labels FROM allof GROUP BY rid),
 s AS (SELECT rid, max(c) AS best FROM m GROUP BY rid)

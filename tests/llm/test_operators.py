@@ -128,6 +128,39 @@ def test_license_headers_wrap(spark):
         assert (label in found[i]["labels"].split(",") and found[i]["score"] == 1.0) if label else not found[i]["labels"], (i, label)
 
 
+def test_line_breaks_do_not_decide(spark):
+    """A template with 150 words in its middle: found on one line, and with line breaks anywhere in the filler."""
+    block = license_scan.TEMPLATES["apache-2"][1].split(" ")
+    filler = [f"z{i}" for i in range(150)]
+    one = " ".join(block[:9] + filler + block[9:])
+    rows = [(0, one), (1, one.replace(" z70 ", "\nz70 ")), (2, one.replace(" z7 ", "\n\n z7 ").replace(" z99 ", " \r\n# \nz99 "))]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOC)
+    assert {(r["labels"], r["score"]) for r in license_scan.scan_licenses(df).collect()} == {("apache-2", 1.0)}
+
+
+def test_runs_of_lines_equal_brute_force(spark):
+    rng = random.Random(8)
+    templates = {"a": ["t1 t2 t3 t4 t5 t6"], "b": ["t3 t4 u1", "v1 v2 v1 v3"]}
+    pool = sorted({w for ts in templates.values() for t in ts for w in t.split()}) + ["z1", "z2", "--", ""]
+    texts = ["\n".join(" ".join(rng.choice(pool) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 14))) for _ in range(150)]
+    texts += [None, "", "\n\n", texts[0], "t1 t2 t3 t4 t5 t6\n" * 50]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)] + [(3, texts[3], "x", None, 0)], DOC).withColumns({"w": F.lit(1), "template": F.lit(2), "line": F.lit("z")})
+    found = {(int(r["_key"].split(":")[0]), r["label"], round(r["containment"], 6)) for r in license_scan.match_runs(df, templates, 0.6).collect()}
+    want = set()
+    for i, t in enumerate(texts):
+        lines = [set(words(line)) for line in (t or "").split("\n") if words(line)]
+        for label, blocks in templates.items():
+            held = []
+            for block in blocks:
+                own, m = set(block.split()), len(block.split())
+                most = max((len(set().union(*lines[k : k + m]) & own) for k in range(len(lines))), default=0)
+                if most >= math.ceil(round(0.6 * len(own), 9)):
+                    held.append(most / len(own))
+            if held:
+                want.add((i, label, round(max(held), 6)))
+    assert found == want and len(want) > 50
+
+
 def test_block_matches_equal_brute_force(spark):
     rng = random.Random(3)
     templates = {"a": ["t1 t2 t3 t4 t5 t6 t7 t8 t9 t10"], "b": ["t3 t4 u1 u2 u3"]}
