@@ -222,3 +222,34 @@ SIGNATURE = r"(?iU)^(IN WITNESS WHEREOF|SIGNATURES?|SIGNED|AGREED AND ACCEPTED|A
 STRUCTURE = r"(?iU)^(ARTICLE|SECTION|SCHEDULE|EXHIBIT|APPENDIX|ANNEX)\b"
 NUMBERED = r"(?U)^(\d+\.|\d+(?:\.\d+)+\.?)\s+(\S.*)$"
 BULLET = r"(?U)^(\([A-Za-z0-9]+\)|[a-z]\.)\s+\S"
+
+# ---- fixed values: spacing of lines ----
+ZERO_WIDTH = r"[\u200b-\u200f\u202a-\u202e\u2060\ufeff]"
+CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+CUT_WORD = r"(?U)(\w)-\s*\n\s*(\w)"
+LEADING_NUMBER = r"(?U)^(?:\d+(?:\.\d+)*\.?|\([A-Za-z]\))\s+"
+SPACING = (
+    (r"(?U)\s+([,.;:!?])", "$1"),
+    (r"(?U)([;:!?])(?=\S)", "$1 "),
+    (r"(?U)(?<!\d),(?=\S)(?!\d)", ", "),
+    (r"(?<=[A-Za-z]{2})\.(?=[A-Z])", ". "),
+    (r"(?<=[a-z])(?=(" + "|".join(BOUNDARY_WORDS) + r")\b)", " "),
+)
+
+# ---- fixed values: configuration ----
+YES, NO = ("1", "true", "yes", "y"), ("0", "false", "no", "n")
+PROVIDERS = ("openai-compatible", "openai", "grok", "groq", "gemini")
+PROVIDER_ALIASES = {"compatible": "openai-compatible", "openai-compatible-api": "openai-compatible", "xai": "grok", "google": "gemini", "google-gemini": "gemini"}
+KEY_VARIABLES = {"openai-compatible": ("OPENAI_API_KEY",), "openai": ("OPENAI_API_KEY",), "grok": ("XAI_API_KEY", "GROK_API_KEY"), "groq": ("GROQ_API_KEY",), "gemini": ("GOOGLE_API_KEY", "GEMINI_API_KEY")}
+SHARED_KEY = "KEYWORD_LLM_API_KEY"
+#: field -> environment variable
+VARIABLES = {
+    "provider": "KEYWORD_LLM_PROVIDER",
+    "model": "KEYWORD_LLM_MODEL",
+    "max_parallel_llm_calls": "MAX_PARALLEL_LLM_CALLS",
+    "max_total_llm_calls": "MAX_TOTAL_LLM_CALLS",
+    "fast_exact": "KEYWORD_FAST_EXACT",
+    "coverage_max_groups": "KEYWORD_COVERAGE_MAX_GROUPS",
+    "coverage_mode": "KEYWORD_COVERAGE_MODE",
+    "filter_groups": "KEYWORD_FILTER_LOW_CONFIDENCE_GROUPS",
+}
