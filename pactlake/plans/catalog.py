@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pactlake.functions import fixed, text
 from pactlake.operators import coverage, evaluate, evidence, export, filters, jobs, merge, model_io, normalize, reports, segment
 from pactlake.plans import pipeline
+from pactlake.plans.config import PipelineConfig
 from pactlake.plans.scratch import Scratch
 from pactlake.sources import contract_view, documents
 from pactlake.streaming import lifecycle
@@ -683,6 +684,48 @@ def contract_pipeline(spark, sf_dir):
     return out.scratch.keep_only(out["documents"].join(out["results"], "doc_id").select("doc_id", "status", "total_pages", "total_segments", "keyword_extraction_batches"))
 
 
+REPLAYED = (
+    NORMAL_CHAIN
+    + f""",
+titled AS (SELECT *, trim(regexp_replace(regexp_replace(title, '^[0-9.]+', ''), '[.:]+$', '')) AS name FROM segments WHERE title IS NOT NULL),
+replied AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg_no) - 1 AS pos, name, CASE WHEN seg_no % 3 = 0 THEN ['Fees', upper(name)] ELSE [name] END AS related, trim(text) AS context, NULL::VARCHAR AS exact, segment_id FROM titled WHERE name <> ''),
+groups AS (SELECT *, {INFER.format("concat_ws(' ', name, array_to_string(related, ' '))")} AS kind FROM replied),
+gk AS (SELECT *, {key_sql('name')} AS k, {GTEXT} AS gt FROM groups), keyed AS (SELECT *, {MERGE_KEY} AS merge_key FROM gk),
+states AS (SELECT doc_id, merge_key AS k, min(pos) AS pos, list(struct_pack(rep := name, kind := kind, related := related, context := context, exact := exact, segment := segment_id) ORDER BY pos) AS gs FROM keyed GROUP BY doc_id, merge_key),
+special AS (SELECT *, {SPECIAL_NAME} AS special FROM states),
+folded AS (SELECT doc_id, pos, list_reduce(gs[2:], lambda t, s: {named_sql(_STEP)}, {named_sql(_FIRST)}) AS g FROM special)"""
+)
+
+
+@query(
+    f"WITH {REPLAYED} SELECT doc_id, 'success' AS status, count(*)::INT AS total_keyword_groups, ((count(*) + 49) // 50)::BIGINT AS evidence_extraction_batches, md5(string_agg(concat_ws('|', g.rep, array_to_string(g.related, ','), 'exact ' || g.rep, 'exact ' || g.rep), ';' ORDER BY pos)) AS groups_md5 FROM folded GROUP BY doc_id"
+)
+def chain_replayed(spark, sf_dir):
+    """Every rendered contract through the chain with recorded replies of both model stages; the exported groups are compared.
+
+    The first stage's replies name each titled segment, the second's give each group a text. Coverage, the filter and
+    local evidence are off: they have queries of their own.
+    """
+    off = PipelineConfig(coverage_mode="off", filter_groups=False, fast_exact=False)
+    chain = pipeline.Chain(contract_view.pages(spark, sf_dir), config=off)
+    prompts = chain["keyword_prompts"]
+    name = F.trim(F.regexp_replace("title", r"^[0-9.]+|[.:]+$", ""))
+    related = F.when(F.col("seg_no") % 3 == 0, F.array(F.lit("Fees"), F.upper(name))).otherwise(F.array(name))
+    group = F.struct(name.alias("representative_keyword"), related.alias("related_keywords"), F.col("text").alias("context_text"), F.struct(F.col("segment_id").alias("id")).alias("metadata"))
+    named = chain["segments"].filter("title is not null").select("doc_id", "segment_id", "seg_no", group.alias("g"))
+    asked = prompts.select("doc_id", "prompt", F.explode("segments.segment_id").alias("segment_id"))
+    packed = asked.join(named, ["doc_id", "segment_id"], "left").groupBy(F.sha2("prompt", 256).alias("prompt_hash"), "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("g").isNotNull(), F.struct("seg_no", "g")))).alias("gs"))
+    reply = lambda gs: F.to_json(F.struct(gs.alias("keyword_groups")))
+    first = packed.groupBy("prompt_hash").agg(F.first(reply(F.transform("gs", lambda x: x["g"]))).alias("response"))
+    chain.replies = chain.scratch.keep(first, "first-replies")
+    entry = lambda g: F.struct(g["representative_keyword"].alias("representative_keyword"), F.concat(F.lit("exact "), g["representative_keyword"]).alias("exact_text"), F.lit(0.5).alias("confidence"))
+    second = chain["evidence_prompts"].select(F.sha2("prompt", 256).alias("prompt_hash"), reply(F.transform("keyword_groups", entry)).alias("response")).dropDuplicates(["prompt_hash"])
+    chain.replies = chain.replies.unionByName(chain.scratch.keep(second, "second-replies"))
+    shown = F.transform("keyword_groups", lambda g: F.concat_ws("|", g["representative_keyword"], F.array_join(g["related_keywords"], ","), g["context_text"], g["exact_text"]))
+    rows = chain["documents"].join(chain["results"], "doc_id")
+    return chain.scratch.keep_only(rows.select("doc_id", "status", "total_keyword_groups", "evidence_extraction_batches", F.md5(F.array_join(shown, ";")).alias("groups_md5")))
+
+
 # ---- jobs ----
 
 STATES = "CASE WHEN o_orderstatus = 'F' THEN 'success' WHEN o_orderkey % 4 = 0 THEN 'failed' WHEN o_orderkey % 4 = 1 THEN 'cached' WHEN o_orderkey % 4 = 2 THEN 'success' WHEN o_custkey % 2 = 0 THEN 'processing' ELSE 'queued' END"
