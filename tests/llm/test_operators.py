@@ -464,6 +464,16 @@ def test_ngram_join(spark, docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect() if shingles(r["text"])) == sorted(str(c) for c in best)
 
 
+def test_columns_that_clash(spark, docs):
+    """Other columns may have the names that the operators use inside."""
+    names = ("cno", "gid", "token", "key", "n", "comp", "copy_key", "word", "gram", "count", "bucket", "ranges", "words")
+    clash = docs.withColumns({c: F.lit("x") for c in names})
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(ngram_join.join_documents(clash)) == plain(ngram_join.join_documents(docs))
+    assert plain(ngram_join.keep_first(clash).select("doc_id", "text")) == plain(ngram_join.keep_first(docs).select("doc_id", "text"))
+    assert plain(lm_score.score_words(clash)) == plain(lm_score.score_words(docs))
+
+
 def test_ngram_join_chain(spark):
     """A chain of single edits: the ends do not link, but belong together."""
     w = [f"w{i}" for i in range(120)]

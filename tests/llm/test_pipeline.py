@@ -34,6 +34,25 @@ def test_pipeline(spark, tmp_path):
     assert 1 <= copies <= 3 and [n for n, _ in corpus_pipeline.STAGES][0] == "language_id"
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows, ties, a very long text, columns that clash; then nothing at all."""
+    import corpus_pipeline
+
+    clean = "the quick brown fox jumps over the lazy dog near the old river bank while seven children watch from the bridge"
+    rows = [(1, clean, "en", "a", 0), (1, clean, "en", "a", 0), (2, clean, "en", "a", 0), (3, None, None, None, None), (4, "", "en", "a", 0), (5, "12 34", None, "a", 0), (None, "another text about gardens and rain in the early spring of the year", "en", None, None)]
+    rows += [(10 + i, f"letter {i} tells of " + " ".join(f"topic{i}x{j}" for j in range(20)), "en", "b", 0) for i in range(6)] + [(30, "long " + " ".join(f"word{j}" for j in range(30_000)), "en", "b", 0)]
+    rows += [(40, "Q: " + " ".join(f"bench{j}" for j in range(12)) + " end", "en", "b", 0)]
+    clash = {"lang_pred": "x", "score": "y", "copy_key": "z", "_group": "g", "row": "r", "judged": "j", "tokens": "t"}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({c: F.lit(v) for c, v in clash.items()})
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.createDataFrame([("b", " ".join(f"bench{j}" for j in range(12))), ("n", None)], "item_id string, text string").write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    ids = {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").select("doc_id").collect()}
+    assert ids >= {1, None, 30} | set(range(10, 16)) and not ids & {2, 3, 4, 5, 40}
+    for name, schema in (("documents", "doc_id bigint, text string, lang string, source string, n_chars bigint"), ("benchmark", "item_id string, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_near_copies_stage(spark):
     """Five words and 0.8: brute force of its own, with pairs that 3 words and 0.9 leave apart."""
     import random
@@ -64,6 +83,6 @@ def test_queries_are_registered():
     from pactlake.llm import queries
 
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(queries.QUERIES)
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert importlib.util.find_spec("corpus_pipeline")
