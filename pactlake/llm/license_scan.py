@@ -28,7 +28,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactlake.llm.common import WORD, ascii_lower, once, row_key, words_of, written
+from pactlake.llm.common import WORD, ascii_lower, bounded_broadcast, once, row_key, words_of, written
 
 #: phrase -> label
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -94,7 +94,9 @@ def match_runs(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, thr
     known = spark.createDataFrame(words, "template int, w string, m int, n int, need int")
     could = written(match_blocks(docs, templates, threshold, id_col, text_col, lines=False).select("_key", "template", "label"), "license-texts")
     texts = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    texts = texts.join(could.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
+    # hashes of keys are small enough to send where texts would be shuffled; the join of hits below is by the key itself
+    wanted = could.select(F.xxhash64("_key").alias("_hash")).distinct()
+    texts = texts.withColumn("_hash", F.xxhash64("_key")).join(bounded_broadcast(wanted, 32), "_hash", "left_semi").dropDuplicates(["_key"])
     cut = F.filter(F.transform(F.split("_text", "\n"), words_of), lambda ws: F.size(ws) > 0)
     lines = texts.select("_key", F.posexplode(cut).alias("line", "ws")).select("_key", "line", F.explode(F.array_distinct("ws")).alias("w"))
     hits = lines.join(F.broadcast(known), "w").join(could, ["_key", "template"])
