@@ -21,7 +21,9 @@ and every group's first member with the rest of its group; links found are contr
 are not in one component yet are compared exhaustively, without those inside the pivot's component. Where a shingle would
 bring about more than `hot_pairs` such comparisons (texts that share much and link with little), the classes behind it
 are ordered anew: all their shingles are counted among themselves, so that what a text has for itself comes first and
-what the family shares falls behind the places that can still link. They join again on these prefixes, by size as well
+what the family shares falls behind the places that can still link. On these prefixes each shingle draws a few pivots anew, round by
+round, and links with them are contracted, so that a family of near copies, of which many but not all pairs link, is one
+component before its pairs would be listed. What is still apart after that joins by size as well
 as shingle: the larger set of a pair looks up the sizes that its place of the shingle leaves possible. The shuffle
 joins on shingles are plain inner joins, whose hot keys adaptive execution splits. No bucket is collected in a
 task, none is capped.
@@ -52,6 +54,8 @@ LONGS = 8
 EARLIER = 4
 #: Comparisons at one shingle from which on its classes are ordered anew.
 HOT_PAIRS = 1 << 19
+#: Pivots that a shingle of the new prefixes draws in each round, and rounds at most; pairs that no round decides are all compared.
+PIVOTS, ROUNDS = 4, 8
 #: Sizes up to EXACT_SIZES are bands of their own, then each band is BAND_STEP times as wide as the one before.
 EXACT_SIZES, BAND_STEP = 64, 1.02
 #: Bytes of a row of keys in memory, at most about.
@@ -249,7 +253,20 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     if not hot.isEmpty():
         behind = current.join(hot, "token", "left_semi").select("gid").distinct()
         classes = written(members.join(behind, "gid", "left_semi").join(named.select("cno", "comp"), "cno").select("cno", "key", "n", "parity", "comp"), "join-hot-classes")
-        later = later.unionByName(reordered(classes, texts_of(base, classes), width, percent))
+        places = reordered(classes, texts_of(base, classes), width, percent)
+        placed = apart(places, classes)
+        for salt in range(ROUNDS):
+            drawn = written(drawn_stars(placed, percent, salt), "join-drawn")
+            if drawn.count() * comparisons(placed) <= hot_pairs:  # so many pairs are to be expected
+                break
+            found = test(drawn)
+            if found.isEmpty():
+                break
+            links = links.unionByName(found)
+            classes = contracted(classes, found)
+            discard(placed)
+            placed = apart(places, classes)
+        later = later.unionByName(still_apart(placed, percent))
     links = links.unionByName(test(later.distinct()))
     comp = written(components(links), "join-found")
     by_class = written(narrow.join(comp, F.col("cno") == F.col("id"), "left").select("cid", F.coalesce("comp", "cno").alias("comp")), "join-classes")
@@ -285,11 +302,7 @@ def band(n: Column) -> Column:
 
 
 def reordered(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes (cno, n, parity, comp) in different components that pass all filters on prefixes ordered
-    by how many of these classes hold a shingle. Of a pair, b is the larger (or equal, then with the larger cno).
-
-    The smaller set's shared shingles must be at least need(n, n), so its prefix is about half as long as b's.
-    """
+    """(token, cno, n, pos) of the shared shingles in prefixes ordered by how many of these classes hold a shingle: a written table."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,13 +312,54 @@ def reordered(classes: DataFrame, texts: DataFrame, width: int, percent: int) ->
     deck = written(texts.select("cno", "text").mapInArrow(spell, "cno bigint, tokens array<bigint>").select("cno", F.explode("tokens").alias("token")), "join-deck")
     holders = deck.groupBy("token").agg(F.count("*").alias("holders"))
     order = Window.partitionBy("cno").orderBy("holders", "token")
-    placed = deck.join(holders, "token").withColumn("pos", F.row_number().over(order) - 1).filter("holders > 1").join(classes.select("cno", "n", "comp"), "cno")
-    placed = written(placed.filter(F.col("pos") < prefix_length(F.col("n"), percent)).select("token", "cno", "n", "pos", "comp"), "join-places")
+    placed = deck.join(holders, "token").withColumn("pos", F.row_number().over(order) - 1).filter("holders > 1").join(classes.select("cno", "n"), "cno")
+    placed = written(placed.filter(F.col("pos") < prefix_length(F.col("n"), percent)).select("token", "cno", "n", "pos"), "join-places")
+    discard(deck)
+    return placed
+
+
+def apart(places: DataFrame, classes: DataFrame) -> DataFrame:
+    """Places of shingles whose classes (cno, n, parity, comp) lie in several components: a written table. inside: in the largest of them."""
+    placed = places.join(classes.select("cno", "comp"), "cno")
     major = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps"))
     placed = placed.join(major.filter("comps > 1"), "token").join(classes.select("cno", "parity"), "cno").withColumn("inside", F.col("comp") == F.col("major"))
+    return written(placed.select("token", "cno", "n", "pos", "comp", "parity", "inside"), "join-placed")
+
+
+def comparisons(placed: DataFrame) -> float:
+    """How many times more comparisons the classes behind all shingles need than PIVOTS a place; two inside the largest component need none."""
+    load = placed.groupBy("token").agg(F.count("*").alias("every"), F.count_if(~F.col("inside")).alias("outer"))
+    return load.agg(F.sum(F.col("every") * F.col("outer")) / F.sum("every")).first()[0] / PIVOTS if not placed.isEmpty() else 0.0
+
+
+def drawn_stars(placed: DataFrame, percent: int, salt: int) -> DataFrame:
+    """Pairs (a, b) in different components where b is one of PIVOTS classes that a's shingle draws; the first round has the one with the smallest place too."""
+    side = lambda name, at: F.struct(F.col("cno").alias(name), F.col("n").alias("y_n"), F.col("pos").alias(at), F.col("parity").alias("y_lo"), F.col("parity").alias("y_hi"), F.col("comp").alias("y_comp"))
+    draws = [F.min_by(side("b", "at"), F.xxhash64(F.lit(salt * PIVOTS + i), "token", "cno")) for i in range(PIVOTS)]
+    if salt == 0:
+        draws.append(F.min_by(side("b", "at"), F.struct("pos", F.xxhash64("token", "cno"))))
+    pivots = placed.groupBy("token").agg(F.array_distinct(F.array(*draws)).alias("drawn")).select("token", F.inline("drawn"))
+    x = placed.select("token", F.col("cno").alias("a"), F.col("n").alias("x_n"), "pos", F.col("parity").alias("x_lo"), F.col("parity").alias("x_hi"), F.col("comp").alias("x_comp"))
+    fits = places_fit(F.col("x_n"), F.col("pos"), F.col("y_n"), F.col("at"), percent) & (F.col("x_comp") != F.col("y_comp"))
+    return x.join(pivots, "token").filter(fits & close("x", "y", percent)).select("a", "b").distinct()
+
+
+def contracted(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes with the components that the links (a, b) leave: a written table."""
+    of = lambda end: classes.select(F.col("cno").alias(end), F.col("comp").alias(f"{end}_comp"))
+    ends = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    joined = components(ends).select(F.col("id").alias("comp"), F.col("comp").alias("into"))
+    return written(classes.join(joined, "comp", "left").select("cno", "key", "n", "parity", F.coalesce("into", "comp").alias("comp")), "join-hot-classes")
+
+
+def still_apart(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components that pass all filters at one of their places. Of a pair, b is the
+    larger (or equal, then with the larger cno).
+
+    The smaller set's shared shingles must be at least need(n, n), so its prefix is about half as long as b's.
+    """
     n, pos = F.col("n"), F.col("pos")
     named = lambda df, side, name, place: df.select("token", "band", F.col("cno").alias(name), n.alias(f"{side}_n"), pos.alias(place), F.col("parity").alias(f"{side}_lo"), F.col("parity").alias(f"{side}_hi"), F.col("comp").alias(f"{side}_comp"), F.col("inside").alias(f"{side}_inside"))
-    placed = written(placed.select("token", "cno", "n", "pos", "comp", "parity", "inside"), "join-placed")
     small = named(placed.filter(n - pos >= need(n, n, percent)).withColumn("band", band(n)), "x", "a", "pos")
     least = F.greatest(F.lit(1), F.floor(n * percent / 100))
     most = F.least(n, F.ceil((n - pos) * (100 + percent) / percent) - n + 1)

@@ -514,6 +514,22 @@ def test_a_large_family_without_links(spark):
     assert len(found) == 4000 and all(r["component_id"] == r["doc_id"] for r in found)
 
 
+def test_a_family_with_many_links_is_contracted(spark, monkeypatch):
+    """Copies with two readings at each of twelve places, linked where at most three differ: about one pair in fourteen, and no centre."""
+    rng, rows = random.Random(4), []
+    for k in range(400):
+        read = [f"s{i}" for i in range(200)]
+        for at in range(8, 200, 16):
+            read[at] += rng.choice("ab")
+        rows.append((k, " ".join(read)))
+    tested, overlaps = [], ngram_join.overlaps
+    monkeypatch.setattr(ngram_join, "overlaps", lambda pairs, *more: (tested.append(pairs.count()), overlaps(pairs, *more))[1])
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOC)
+    found = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in ngram_join.join_documents(df, hot_pairs=200).collect())
+    assert found == sorted((str(a), b, c) for a, b, c in brute_components(rows))
+    assert sum(tested) < 8 * len(rows), tested
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     found = {r["id"]: r["comp"] for r in components.components(spark.createDataFrame(links, "a int, b int")).collect()}
