@@ -37,6 +37,7 @@ whole in one task, with about 50 bytes of memory for each of its words; what fol
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +59,8 @@ HOT_PAIRS = 1 << 19
 PIVOTS, ROUNDS = 4, 8
 #: Sizes up to EXACT_SIZES are bands of their own, then each band is BAND_STEP times as wide as the one before.
 EXACT_SIZES, BAND_STEP = 64, 1.02
-#: Bytes of a row of keys in memory, at most about.
-_KEY_BYTES = 120
+#: Bytes of a row of keys, of a pair of numbers and of a row with two bitmaps in memory, at most about.
+_KEY_BYTES, _PAIR_BYTES, _MAP_BYTES = 120, 80, 300
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -131,9 +132,10 @@ def classes_of(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Da
 
 
 def postings_of(classes: DataFrame, percent: int) -> DataFrame:
-    """(cno, n, token, pos, earlier) of the prefix shingles that more than one class holds.
+    """(cno, n, token, pos, earlier, lead, h) of the prefix shingles that more than one class holds.
 
-    pos is 0-based, at most the true place; earlier has the last few such shingles before.
+    pos is 0-based, at most the true place; earlier has the last few such shingles before. lead: the class's first row.
+    h is a hash of the whole prefix, null if others do not hold all of it.
     """
     entries = classes.select("cno", F.explode("tokens").alias("token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("holders")).filter("holders > 1")
@@ -146,7 +148,10 @@ def postings_of(classes: DataFrame, percent: int) -> DataFrame:
     placed = placed.join(classes.select("cno", "n", "first"), "cno")
     # shingles that no other class holds come first, then shared ones below the bound, then the rest
     pos = (F.col("first") - F.col("known") + F.col("nth") - 1).cast("int")
-    return placed.select("cno", "n", "token", pos.alias("pos"), "earlier").filter(F.col("pos") < prefix_length(F.col("n"), percent))
+    placed = placed.select("cno", "n", "token", pos.alias("pos"), "earlier").filter(F.col("pos") < prefix_length(F.col("n"), percent))
+    whole = F.count("*").over(own) >= prefix_length(F.col("n"), percent)
+    lead = F.col("pos") == F.min("pos").over(own)
+    return placed.select("*", lead.alias("lead"), F.when(whole, F.bit_xor(F.xxhash64("token")).over(own)).alias("h"))
 
 
 def differ(x: str, y: str) -> Column:
@@ -183,7 +188,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """pairs (a, b) with `both`, the size of the intersection, and the sizes n, m of their sets."""
-    left = pairs.join(texts.select(F.col("cno").alias("a"), F.col("text").alias("x")), "a")
+    left = texts.select(F.col("cno").alias("a"), F.col("text").alias("x")).join(bounded_broadcast(pairs, _PAIR_BYTES), "a")
     met = left.join(texts.select(F.col("cno").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +209,9 @@ def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 def groups_of(postings: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(members: cno, gid, key, n, parity), (groups: gid, n, size, lo, hi); a group is named by its first member."""
-    held = postings.groupBy("cno", "n").agg(F.count("*").alias("c"), F.xxhash64(F.array_sort(F.collect_list("token"))).alias("h"))  # a prefix's own shingles
-    whole = F.col("c") >= prefix_length(F.col("n"), percent)
-    held = written(held.select("cno", "n", F.when(whole, F.col("h")).alias("h")), "join-held")
+    held = postings.filter("lead").select("cno", "n", "h")
     named = held.filter("h is not null").groupBy("h", "n").agg(F.min("cno").alias("gid"))
-    met = written(held.join(named, ["h", "n"]).select("cno", "gid"), "join-gids")
+    met = held.join(named, ["h", "n"]).select("cno", "gid")
     gids = held.filter("h is null").select("cno", F.col("cno").alias("gid")).unionByName(met)
     members = written(gids.join(classes.select("cno", "key", "n", "parity"), "cno"), "join-grouped")
     lo = F.array(*[F.bit_and(F.get("parity", F.lit(i))) for i in range(LONGS)])
@@ -225,7 +228,8 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     narrow = written(classes.select("cno", "cid", "key", "n", "parity"), "join-narrow")
     discard(classes)
     members, groups = groups_of(postings, narrow, percent)
-    entries = written(postings.join(groups.select(F.col("gid").alias("cno")), "cno", "left_semi").withColumnRenamed("cno", "gid"), "join-entries")
+    others = bounded_broadcast(members.filter("cno <> gid").select("cno"), _PAIR_BYTES)  # a group is met by its first member
+    entries = written(postings.drop("lead", "h").join(others, "cno", "left_anti").withColumnRenamed("cno", "gid"), "join-entries")
     # ties go by a hash that differs from shingle to shingle, so that a family of texts gets many pivots
     elected = entries.groupBy("token").agg(F.min(F.struct("pos", F.xxhash64("token", "gid").alias("h"), "gid", "n")).alias("p"))
     elected = written(elected.select("token", F.col("p.gid").alias("pivot"), F.col("p.n").alias("m"), F.col("p.pos").alias("at")), "join-elected")
@@ -233,7 +237,7 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     def test(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b) of classes; only their texts are fetched."""
         met = written(pairs.select("a", "b"), "join-pairs")
-        held = met.select(F.col("a").alias("cno")).unionByName(met.select(F.col("b").alias("cno"))).distinct()
+        held = bounded_broadcast(met.select(F.col("a").alias("cno")).unionByName(met.select(F.col("b").alias("cno"))), _PAIR_BYTES)
         wanted = written(members.select("cno", "key").join(held, "cno", "left_semi"), "join-wanted")
         texts = written(texts_of(base, wanted), "join-texts")
         tested = overlaps(met, texts, width)
@@ -244,14 +248,18 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     fits = places_fit(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), percent)
     starred = entries.join(elected, "token").filter((F.col("gid") != F.col("pivot")) & fits).select("gid", "pivot").distinct()
     inside = groups.filter("size > 1").select("gid", F.col("gid").alias("pivot"))
-    stars = starred.unionByName(inside).join(sketched(members, "gid", "a", "x"), "gid").filter(F.col("a") != F.col("pivot"))
-    links = test(stars.join(sketched(members, "cno", "b", "y").withColumnRenamed("cno", "pivot"), "pivot").filter(close("x", "y", percent)))
+    sent = lambda df: bounded_broadcast(df, _MAP_BYTES)
+    stars = starred.unionByName(inside).join(sent(sketched(members, "gid", "a", "x")), "gid").filter(F.col("a") != F.col("pivot"))
+    links = test(stars.join(sent(sketched(members, "cno", "b", "y").withColumnRenamed("cno", "pivot")), "pivot").filter(close("x", "y", percent)))
     comp = components(links)
     named = written(members.select("cno", "gid").join(comp, F.col("cno") == F.col("id"), "left").select("cno", "gid", F.coalesce("comp", "cno").alias("comp")), "join-comps")
-    current, hot = still_open(entries, groups, elected, named, hot_pairs)
-    later = unresolved(current.join(hot, "token", "left_anti"), members, groups, named, percent)
+    spans = named.groupBy("gid").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
+    facts = written(groups.join(spans, "gid").select("gid", "n", "lo", F.when(F.col("size") > 1, F.col("hi")).alias("hi"), "least", "most"), "join-facts")
+    current, hot = still_open(entries, facts, elected, hot_pairs)
+    later = unresolved(current.join(hot, "token", "left_anti"), members, facts, named, percent)
+    more = []
     if not hot.isEmpty():
-        behind = current.join(hot, "token", "left_semi").select("gid").distinct()
+        behind = bounded_broadcast(current.join(hot, "token", "left_semi").select("gid").distinct(), _PAIR_BYTES)
         classes = written(members.join(behind, "gid", "left_semi").join(named.select("cno", "comp"), "cno").select("cno", "key", "n", "parity", "comp"), "join-hot-classes")
         places = reordered(classes, texts_of(base, classes), width, percent)
         placed = apart(places, classes)
@@ -262,14 +270,16 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
             found = test(drawn)
             if found.isEmpty():
                 break
-            links = links.unionByName(found)
+            more.append(found)
             classes = contracted(classes, found)
             discard(placed)
             placed = apart(places, classes)
         later = later.unionByName(still_apart(placed, percent))
-    links = links.unionByName(test(later.distinct()))
-    comp = written(components(links), "join-found")
-    by_class = written(narrow.join(comp, F.col("cno") == F.col("id"), "left").select("cid", F.coalesce("comp", "cno").alias("comp")), "join-classes")
+    more.append(test(later.distinct()))
+    # components of components: only what the first links left apart is gone through again
+    into = joined(named, reduce(DataFrame.unionByName, more))
+    by_class = narrow.join(moved(named), "cno", "left").select("cid", F.coalesce("comp", "cno").alias("comp"))
+    by_class = written(by_class.join(into, "comp", "left").select("cid", F.coalesce("into", "comp").alias("comp")), "join-classes")
     discard(postings, narrow, members, groups, entries, elected, named)
     return rows, by_class
 
@@ -279,18 +289,17 @@ def sketched(members: DataFrame, by: str, name: str, side: str, *more: str) -> D
     return members.select(by, F.col("cno").alias(name), F.col("n").alias(f"{side}_n"), F.col("parity").alias(f"{side}_lo"), F.col("parity").alias(f"{side}_hi"), *more)
 
 
-def still_open(entries: DataFrame, groups: DataFrame, elected: DataFrame, named: DataFrame, hot_pairs: int) -> tuple[DataFrame, DataFrame]:
+def still_open(entries: DataFrame, facts: DataFrame, elected: DataFrame, hot_pairs: int) -> tuple[DataFrame, DataFrame]:
     """(entries of shingles whose groups lie in several components, shingles with more than hot_pairs comparisons among them).
 
     inner: the group lies whole in the component of the shingle's pivot; two inner groups need no comparison.
     """
-    spans = written(named.groupBy("gid").agg(F.min("comp").alias("least"), F.max("comp").alias("most")), "join-spans")
-    facts = groups.select("gid", "lo", F.when(F.col("size") > 1, F.col("hi")).alias("hi")).join(spans, "gid")
+    spans = bounded_broadcast(facts.select("gid", "least", "most"), _PAIR_BYTES)
     span = entries.join(spans, "gid").groupBy("token").agg(F.min("least").alias("first"), F.max("most").alias("last")).filter("first <> last").select("token")
     major = elected.join(spans.withColumnRenamed("gid", "pivot"), "pivot").select("token", F.when(F.col("least") == F.col("most"), F.col("least")).alias("major"))
-    open_ = written(span.join(major, "token"), "join-open")
+    open_ = span.join(major, "token")
     inner = F.coalesce((F.col("least") == F.col("most")) & (F.col("least") == F.col("major")), F.lit(False))
-    current = entries.join(facts, "gid").join(open_, "token")
+    current = entries.join(bounded_broadcast(facts.drop("n"), _MAP_BYTES), "gid").join(open_, "token")
     current = written(current.select("token", "gid", "n", "pos", "earlier", "lo", "hi", "least", "most", inner.alias("inner")), "join-current")
     load = current.groupBy("token").agg(F.count("*").alias("every"), F.count_if(~F.col("inner")).alias("outer"))
     return current, written(load.filter(F.col("every") * F.col("outer") > hot_pairs).select("token"), "join-hot")
@@ -312,7 +321,7 @@ def reordered(classes: DataFrame, texts: DataFrame, width: int, percent: int) ->
     deck = written(texts.select("cno", "text").mapInArrow(spell, "cno bigint, tokens array<bigint>").select("cno", F.explode("tokens").alias("token")), "join-deck")
     holders = deck.groupBy("token").agg(F.count("*").alias("holders"))
     order = Window.partitionBy("cno").orderBy("holders", "token")
-    placed = deck.join(holders, "token").withColumn("pos", F.row_number().over(order) - 1).filter("holders > 1").join(classes.select("cno", "n"), "cno")
+    placed = deck.join(holders, "token").withColumn("pos", F.row_number().over(order) - 1).filter("holders > 1").join(bounded_broadcast(classes.select("cno", "n"), _PAIR_BYTES), "cno")
     placed = written(placed.filter(F.col("pos") < prefix_length(F.col("n"), percent)).select("token", "cno", "n", "pos"), "join-places")
     discard(deck)
     return placed
@@ -320,9 +329,9 @@ def reordered(classes: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
 def apart(places: DataFrame, classes: DataFrame) -> DataFrame:
     """Places of shingles whose classes (cno, n, parity, comp) lie in several components: a written table. inside: in the largest of them."""
-    placed = places.join(classes.select("cno", "comp"), "cno")
+    placed = places.join(bounded_broadcast(classes.select("cno", "comp"), _PAIR_BYTES), "cno")
     major = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps"))
-    placed = placed.join(major.filter("comps > 1"), "token").join(classes.select("cno", "parity"), "cno").withColumn("inside", F.col("comp") == F.col("major"))
+    placed = placed.join(major.filter("comps > 1"), "token").join(bounded_broadcast(classes.select("cno", "parity"), _MAP_BYTES), "cno").withColumn("inside", F.col("comp") == F.col("major"))
     return written(placed.select("token", "cno", "n", "pos", "comp", "parity", "inside"), "join-placed")
 
 
@@ -344,17 +353,26 @@ def drawn_stars(placed: DataFrame, percent: int, salt: int) -> DataFrame:
     return x.join(pivots, "token").filter(fits & close("x", "y", percent)).select("a", "b").distinct()
 
 
+def moved(classes: DataFrame) -> DataFrame:
+    """(cno, comp) of the classes that do not name their component."""
+    return classes.filter("comp <> cno").select("cno", "comp")
+
+
+def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(comp, into) of the components of classes (cno, comp) that the links (a, b) of classes connect."""
+    of = lambda end: moved(classes).select(F.col("cno").alias(end), F.col("comp").alias(f"{end}_comp"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    return components(written(ends.filter("a <> b"), "join-ends")).select(F.col("id").alias("comp"), F.col("comp").alias("into"))
+
+
 def contracted(classes: DataFrame, links: DataFrame) -> DataFrame:
     """classes with the components that the links (a, b) leave: a written table."""
-    of = lambda end: classes.select(F.col("cno").alias(end), F.col("comp").alias(f"{end}_comp"))
-    ends = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
-    joined = components(ends).select(F.col("id").alias("comp"), F.col("comp").alias("into"))
-    return written(classes.join(joined, "comp", "left").select("cno", "key", "n", "parity", F.coalesce("into", "comp").alias("comp")), "join-hot-classes")
+    return written(classes.join(joined(classes, links), "comp", "left").select("cno", "key", "n", "parity", F.coalesce("into", "comp").alias("comp")), "join-hot-classes")
 
 
 def still_apart(placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components that pass all filters at one of their places. Of a pair, b is the
-    larger (or equal, then with the larger cno).
+    """Pairs (a, b) of classes in different components that pass all filters at one of their places, once for each place. Of a pair,
+    b is the larger (or equal, then with the larger cno).
 
     The smaller set's shared shingles must be at least need(n, n), so its prefix is about half as long as b's.
     """
@@ -367,28 +385,27 @@ def still_apart(placed: DataFrame, percent: int) -> DataFrame:
     fits = places_fit(F.col("x_n"), F.col("pos"), F.col("y_n"), F.col("at"), percent) & (F.col("x_comp") != F.col("y_comp"))
     fits = fits & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("a") < F.col("b")))) & close("x", "y", percent)
     met = lambda x, y: x.join(y, ["token", "band"]).filter(fits).select("a", "b")
-    return met(small, large.filter("not y_inside")).unionByName(met(small.filter("not x_inside"), large.filter("y_inside"))).distinct()
+    return met(small, large.filter("not y_inside")).unionByName(met(small.filter("not x_inside"), large.filter("y_inside")))
 
 
-def unresolved(current: DataFrame, members: DataFrame, groups: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+def unresolved(current: DataFrame, members: DataFrame, facts: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in different components whose groups share a prefix shingle of `current` and pass the group filters."""
-    spans = written(named.groupBy("gid").agg(F.min("comp").alias("least"), F.max("comp").alias("most")), "join-group-spans")
-    facts = groups.select("gid", "lo", F.when(F.col("size") > 1, F.col("hi")).alias("hi")).join(spans, "gid")
+    sent = lambda df: bounded_broadcast(df, _MAP_BYTES)
     x = current.filter("not inner").select("token", F.col("gid").alias("g"), F.col("n").alias("x_n"), "pos", "earlier", F.col("lo").alias("x_lo"), F.coalesce("hi", "lo").alias("x_hi"), F.col("least").alias("x_least"), F.col("most").alias("x_most"))
     y = current.select("token", F.col("gid").alias("h"), F.col("n").alias("y_n"), F.col("pos").alias("at"), F.col("earlier").alias("before"), F.col("lo").alias("y_lo"), F.coalesce("hi", "lo").alias("y_hi"), F.col("least").alias("y_least"), F.col("most").alias("y_most"), "inner")
     apart = (F.least("x_least", "y_least") != F.greatest("x_most", "y_most")) & ((F.col("g") < F.col("h")) | (F.col("inner") & (F.col("g") != F.col("h"))))
     fits = places_fit(F.col("x_n"), F.col("pos"), F.col("y_n"), F.col("at"), percent)
     again = F.arrays_overlap("earlier", "before")  # a pair that passes here passes at an earlier shared shingle too
     pairs = x.join(y, "token").filter(apart & fits & close("x", "y", percent) & ~again).select("g", "h").distinct()
-    pairs = written(pairs.unionByName(spans.filter("least <> most").select(F.col("gid").alias("g"), F.col("gid").alias("h"))), "join-group-pairs")
+    pairs = pairs.unionByName(facts.filter("least <> most").select(F.col("gid").alias("g"), F.col("gid").alias("h")))
     # one side's members meet the other group's bitmaps first, so that pairs that no member passes are not expanded
-    other = facts.join(groups.select("gid", "n"), "gid").select(F.col("gid").alias("h"), F.col("n").alias("y_n"), F.col("lo").alias("y_lo"), F.coalesce("hi", "lo").alias("y_hi"), F.col("least").alias("y_least"), F.col("most").alias("y_most"))
+    other = facts.select(F.col("gid").alias("h"), F.col("n").alias("y_n"), F.col("lo").alias("y_lo"), F.coalesce("hi", "lo").alias("y_hi"), F.col("least").alias("y_least"), F.col("most").alias("y_most"))
     held = written(members.join(named.select("cno", "comp"), "cno"), "join-held")
     left = sketched(held, "gid", "a", "x", F.col("comp").alias("acomp")).withColumnRenamed("gid", "g")
     beside = (F.col("acomp") != F.col("y_least")) | (F.col("acomp") != F.col("y_most"))
-    half = pairs.join(other, "h").join(left, "g").filter(beside & close("x", "y", percent)).drop("y_n", "y_lo", "y_hi")
+    half = pairs.join(sent(other), "h").join(sent(left), "g").filter(beside & close("x", "y", percent)).drop("y_n", "y_lo", "y_hi")
     right = sketched(held, "gid", "b", "y", F.col("comp").alias("bcomp")).withColumnRenamed("gid", "h")
-    each = half.join(right, "h").filter((F.col("acomp") != F.col("bcomp")) & ((F.col("g") != F.col("h")) | (F.col("a") < F.col("b"))) & close("x", "y", percent))
+    each = half.join(sent(right), "h").filter((F.col("acomp") != F.col("bcomp")) & ((F.col("g") != F.col("h")) | (F.col("a") < F.col("b"))) & close("x", "y", percent))
     return each.select("a", "b")
 
 
@@ -396,16 +413,15 @@ def names_of(rows: DataFrame, by_class: DataFrame, name: Column) -> DataFrame:
     """(cid, name): the least `name` of the rows in each class's component."""
     each = rows.filter("n > 0").groupBy("cid").agg(F.min(name).alias("name"))
     each = written(by_class.join(each, "cid"), "join-named")
-    best = written(each.groupBy("comp").agg(F.min("name").alias("best")), "join-best")
+    best = each.groupBy("comp").agg(F.min("name").alias("best"))
     return each.select("cid", "comp").join(best, "comp").select("cid", F.col("best").alias("name"))
 
 
 def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """Set size and component of every row; see the module's docstring."""
     rows, by_class = linked(docs, width, percent, id_col=id_col, text_col=text_col, hot_pairs=hot_pairs)
-    names = written(names_of(rows, by_class, F.col("doc_id")), "join-names")
-    joined = rows.join(names, "cid", "left")
-    return joined.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = rows.join(names_of(rows, by_class, F.col("doc_id")), "cid", "left")
+    return named.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

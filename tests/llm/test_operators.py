@@ -530,6 +530,33 @@ def test_a_family_with_many_links_is_contracted(spark, monkeypatch):
     assert sum(tested) < 8 * len(rows), tested
 
 
+def test_ngram_join_writes_few_tables(spark, docs, monkeypatch):
+    """A table costs a file for each shuffle partition, however small it is; found components are not gone through link by link again."""
+    tables, graphs, written, connect = [], [], ngram_join.written, ngram_join.components
+    for module in (ngram_join, components):
+        monkeypatch.setattr(module, "written", lambda df, label: (tables.append(label), written(df, label))[1])
+    monkeypatch.setattr(ngram_join, "components", lambda links: (graphs.append(links.count()), connect(links))[1])
+    found = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in ngram_join.join_documents(docs).collect())
+    assert found == sorted((str(a), b, c) for a, b, c in brute_components(rows_of(docs)))
+    assert graphs[0] > 0 and graphs[1] == 0, graphs
+    assert len(tables) < 30, tables
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_components_against_union_find(spark, monkeypatch, few):
+    """Random sparse graphs, with labels that are broadcast and with labels that are not."""
+    monkeypatch.setattr(components, "MOST_BROADCAST", 1 << 20 if few else 0)
+    rng = random.Random(8)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(400 + i, 401 + i) for i in range(70)] + [(5, 5)]
+    least = {x: x for link in links for x in link}
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    frame = spark.createDataFrame(links, "a int, b int")
+    apart = {x for a, b in links for x in (a, b) if a != b}
+    assert {r["id"]: r["comp"] for r in components.components(frame).collect()} == {x: least[x] for x in apart}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     found = {r["id"]: r["comp"] for r in components.components(spark.createDataFrame(links, "a int, b int")).collect()}
