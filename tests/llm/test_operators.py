@@ -417,6 +417,33 @@ def test_repeats(spark, docs):
     assert repeats.remove_repeats(empty(spark)).count() == 0
 
 
+def test_shared_passages(spark, docs):
+    """Words of 50-word passages that other documents hold, most of them under 400 bytes, against counting windows."""
+    rng = random.Random(12)
+    say = lambda n: ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(n)]
+    p, q, own = say(51), say(90), say(60)
+    texts = [
+        say(30) + p + say(40), p[:30] + ["\n"] + p[30:] + say(7), say(9) + [x.upper() for x in p[1:]], say(3) + p[2:] + say(3),  # 51, 51, 50 and 49 words of it
+        own + say(4) + own, own + say(5), own[:55] + say(2) + own[:55],  # also twice in one text
+        say(5) + q + say(1) + q[3:70] + say(2) + q[:60], q[20:] + say(50), q[10:75],
+        say(70) + ["x"] + say(20), (w := say(80)) + w, ["la"] * 300, ["la"] * 120, ["lo"] * 200,
+    ]
+    df = docs.unionByName(spark.createDataFrame([(400 + i, " ".join(t), None, None, 0) for i, t in enumerate(texts)], DOC))
+    found = sorted((str(r["doc_id"]), r["n_bytes"], r["n_passage_words"]) for r in repeats.remove_repeats(df).collect())
+    data = [((i, t), re.findall(r"[^ \t-\r]+", lower(t or ""))) for i, t in rows_of(df)]
+    holders = {}
+    for key, words in data:
+        for k in range(len(words) - 49):
+            holders.setdefault(tuple(words[k : k + 50]), set()).add(key)
+    want = []
+    for (i, t), words in data:
+        hit = {j for k in range(len(words) - 49) if len(holders[tuple(words[k : k + 50])]) > 1 for j in range(k, k + 50)}
+        want.append((str(i), len((t or "").encode()), len(hit)))
+    assert found == sorted(want)
+    of = {i: n for i, _, n in want}
+    assert [of[str(400 + i)] for i in (0, 1, 2, 3, 4, 5, 6, 10, 11, 12, 13, 14)] == [51, 51, 50, 0, 120, 60, 110, 0, 0, 300, 120, 0]
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme/com/en/", "http://A.Example.COM/en/712?x", "https://example.com/en/6", "http://notexample.com/en/", "http://xcom/en/", "ftp://b.net/de/", "http://q.example.net/de/8#f", "http://c.org/es", "http://x.io/porn/a", "http://x.io/xporn", "http://x.io/casino/poker", "http://x.io/casino-casino", "http://user:p@x.io:80"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id bigint, url string, host string")
