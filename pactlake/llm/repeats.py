@@ -44,11 +44,12 @@ LENGTH, GRAM = 400, 32
 #: Words of a passage, and of the strings that are its samples.
 PASSAGE, PASSAGE_GRAM = 50, 16
 #: What a name's window is made of; SEVERAL: words, in a cell that stands for those of several documents.
-BYTES, WORDS, SEVERAL = 0, 1, 2
+BYTES, WORDS, SEVERAL = 0, 1, 3
 #: Starts in a cell, level by level.
 CELLS = {BYTES: (128, 16, 1), WORDS: (35, 5, 1)}
 LEVELS = 3
-_NAMES = "id bigint, h int, kind int, a int, c int, inner bigint, outer bigint"
+#: at: the sample's place a, kind and cell c, as a << 20 | kind << 16 | c.
+_NAMES = "id bigint, h int, at bigint, inner bigint, outer bigint"
 
 
 class Rule(NamedTuple):
@@ -81,10 +82,10 @@ def cell_names(prefix: np.ndarray, a: np.ndarray, c: np.ndarray, base: np.ndarra
     return inner.view(np.int64), outer.view(np.int64)
 
 
-def batch_of(ids, hs, kinds, a, c, inner, outer) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-    columns = [pa.array(x, t) for x, t in zip((ids, hs, kinds, a, c, inner, outer), types, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, ["id", "h", "kind", "a", "c", "inner", "outer"])
+def batch_of(ids, hs, at, inner, outer) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    columns = [pa.array(x, t) for x, t in zip((ids, hs, at, inner, outer), types, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["id", "h", "at", "inner", "outer"])
 
 
 def unit_prefix(rule: Rule, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,33 +127,32 @@ def first_cells(batches: Iterator[pa.RecordBatch], rules: list[Rule]) -> Iterato
                 row = np.searchsorted(offsets, sample, "right") - 1
                 base, end = offsets[row], offsets[row + 1]
                 inner, outer = cell_names(prefix, sample, c, base, end, cell, rule)
-                yield batch_of(ids[lo:hi][row], hs[lo:hi][row], np.full(len(row), rule.kind), sample - base, c, inner, outer)
+                yield batch_of(ids[lo:hi][row], hs[lo:hi][row], sample - base << 20 | rule.kind << 16 | c, inner, outer)
 
 
 def smaller_cells(batches: Iterator[pa.RecordBatch], level: int, rules: list[Rule]) -> Iterator[pa.RecordBatch]:
-    """(id, h, text, cells: a << 20 | kind << 16 | c of the level above) -> names of the level's cells in those."""
+    """(id, h, text, cells: at of the level above) -> names of the level's cells in those."""
     for batch in batches:
-        found = []
-        for i, (_, _, data, offsets) in enumerate(x for j in range(batch.num_rows) for x in bytewise.slices(batch.column(2).slice(j, 1))):
-            packed = batch.column(3)[i].values.to_numpy()
-            kinds = packed >> 16 & 0xF
+        ids, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cells, bounds_of = batch.column(3).flatten().to_numpy(), batch.column(3).offsets.to_numpy()
+        bounds_of = bounds_of - bounds_of[0]
+        for lo, hi, data, bounds in bytewise.slices(batch.column(2)):
+            packed, owner = cells[bounds_of[lo] : bounds_of[hi]], np.repeat(np.arange(hi - lo), np.diff(bounds_of[lo : hi + 1]))
             for rule in rules:
-                mine = packed[(kinds > BYTES) == (rule.kind > BYTES)]
-                if not len(mine):
+                mine = (packed >> 16 & WORDS) == rule.kind
+                if not mine.any():
                     continue
                 cell = CELLS[rule.kind][level]
                 ratio = CELLS[rule.kind][level - 1] // cell
-                kind, a = np.repeat(mine >> 16 & 0xF, ratio), np.repeat(mine >> 20, ratio)
-                c = np.repeat((mine & 0xFFFF) * ratio, ratio) + np.tile(np.arange(ratio), len(mine))
-                prefix, _ = unit_prefix(rule, data, offsets)
-                last = len(prefix) - 1 - rule.length
-                keep = (a - c * cell >= 0) & (a - c * cell - (cell - 1) <= last)
-                kind, a, c = kind[keep], a[keep], c[keep]
-                zero = np.zeros(len(a), np.int64)
-                inner, outer = cell_names(prefix, a, c, zero, zero + len(prefix) - 1, cell, rule)
-                found.append((np.full(len(a), batch.column(0)[i].as_py()), np.full(len(a), batch.column(1)[i].as_py()), kind, a, c, inner, outer))
-        if found:
-            yield batch_of(*[np.concatenate(x) for x in zip(*found, strict=True)])
+                row, above = np.repeat(owner[mine], ratio), np.repeat(packed[mine], ratio)
+                a, c = above >> 20, (above & 0xFFFF) * ratio + np.tile(np.arange(ratio), int(mine.sum()))
+                prefix, offsets = unit_prefix(rule, data, bounds)
+                high = a - c * cell
+                keep = (high >= 0) & (high - (cell - 1) <= np.diff(offsets)[row] - rule.length)
+                row, a, c, kind = row[keep], a[keep], c[keep], above[keep] >> 16 & SEVERAL
+                base, end = offsets[row], offsets[row + 1]
+                inner, outer = cell_names(prefix, base + a, c, base, end, cell, rule)
+                yield batch_of(ids[lo:hi][row], hs[lo:hi][row], a << 20 | kind << 16 | c, inner, outer)
 
 
 def repeated_starts(texts: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -163,7 +163,8 @@ def repeated_starts(texts: DataFrame, rules: list[Rule]) -> DataFrame:
     for rule in rules:
         if not CELLS[rule.kind][0] + rule.gram <= rule.length + 1 or rule.length >= 0xFFFF:
             raise ValueError(f"{rule}: length must be from {CELLS[rule.kind][0] + rule.gram - 1} to 65534")
-    shared = F.when(F.max("kind") == BYTES, F.count("*") > 1).otherwise((F.min("id") < F.max("id")) | (F.max("kind") == SEVERAL))
+    kind = F.shiftright("at", 16).bitwiseAND(F.lit(SEVERAL).cast("bigint"))
+    shared = F.when(F.max(kind) == BYTES, F.count("*") > 1).otherwise((F.min("id") < F.max("id")) | (F.max(kind) == SEVERAL))
     names = written(texts.mapInArrow(lambda b: first_cells(b, rules), _NAMES), "repeat-names-0")
     ranges = []
     for level in range(LEVELS):
@@ -171,23 +172,24 @@ def repeated_starts(texts: DataFrame, rules: list[Rule]) -> DataFrame:
         again = written(names.groupBy("inner").agg(((F.count("*") > 1) & shared).alias("again")).filter("again").select("inner"), f"repeat-again-{level}")
         cells = written(names.join(again, "inner"), f"repeat-cells-{level}")
         discard(names, again)
-        same = cells.groupBy("inner", "outer").agg(F.count("*").alias("n"), shared.alias("sure"), F.min(F.struct("id", "h", "kind", "a", "c")).alias("one"))
+        same = cells.groupBy("inner", "outer").agg(F.count("*").alias("n"), shared.alias("sure"), F.min(F.struct("id", "h", "at")).alias("one"))
         same = written(same, f"repeat-same-{level}")
         several = same.filter("n > 1").select("inner", "outer", "sure")
-        met = written(cells.join(several, ["inner", "outer"]).select("id", "h", "kind", "a", "c", "sure", F.expr("if(sure, null, inner)").alias("inner")), f"repeat-met-{level}")
+        met = written(cells.join(several, ["inner", "outer"]).select("id", "h", "at", "sure", F.expr("if(sure, null, inner)").alias("inner")), f"repeat-met-{level}")
         discard(cells)
-        cell = F.when(F.col("kind") == BYTES, CELLS[BYTES][level]).otherwise(CELLS[WORDS][level])
-        high = F.col("a") - F.col("c") * cell
-        ranges.append(met.filter("sure").select("id", "h", F.least("kind", F.lit(WORDS)).alias("kind"), (high - (cell - 1)).alias("first"), high.alias("last")))
+        cell = F.when(kind == BYTES, CELLS[BYTES][level]).otherwise(CELLS[WORDS][level])
+        high = (F.shiftright("at", 20) - F.col("at").bitwiseAND(F.lit(0xFFFF).cast("bigint")) * cell).cast("int")
+        ranges.append(met.filter("sure").select("id", "h", F.when(kind == BYTES, BYTES).otherwise(WORDS).alias("kind"), (high - (cell - 1)).alias("first"), high.alias("last")))
         if level + 1 == LEVELS:
             discard(same)
             break
         open_ = written(same.groupBy("inner").agg(F.min("sure").alias("least"), F.count("*").alias("kinds")).filter("not least and kinds > 1").select("inner"), f"repeat-open-{level}")
         # Of settled cells one, for the others to meet; of open ones all.
-        one = same.filter("n = 1 or sure").select("inner", "one.id", "one.h", F.when((F.col("one.kind") > BYTES) & F.col("sure"), SEVERAL).otherwise(F.col("one.kind")).alias("kind"), "one.a", "one.c")
-        left = one.unionByName(met.filter("not sure").select("inner", "id", "h", "kind", "a", "c")).join(open_, "inner")
-        packed = F.shiftleft(F.col("a").cast("bigint"), 20).bitwiseOR(F.shiftleft("kind", 16)).bitwiseOR(F.col("c"))
-        lists = left.groupBy("id", "h").agg(F.collect_list(packed).alias("cells"))  # at most a text's length
+        at = F.col("one.at")
+        several_of = F.when(F.col("sure") & (at.bitwiseAND(F.lit(WORDS << 16).cast("bigint")) > 0), at.bitwiseOR(F.lit(SEVERAL << 16).cast("bigint"))).otherwise(at)
+        one = same.filter("n = 1 or sure").select("inner", "one.id", "one.h", several_of.alias("at"))
+        left = one.unionByName(met.filter("not sure").select("inner", "id", "h", "at")).join(open_, "inner")
+        lists = left.groupBy("id", "h").agg(F.collect_list("at").alias("cells"))  # at most a text's length
         found = texts.join(lists, ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "h", "text", "cells")
         names = written(found.mapInArrow(lambda b, level=level: smaller_cells(b, level + 1, rules), _NAMES), f"repeat-names-{level + 1}")
         discard(same, open_)
