@@ -17,7 +17,7 @@ of copies is settled by one count. Removed spans are the unions of the repeating
 
 The same pass names windows of `passage` words (A-Z folded, parted by ASCII white space), with words in the
 bytes' place, to count the words of passages that other documents hold as well. Those are reported and not
-removed: most are shorter than `length` bytes. Here a cell is settled only if two documents hold it, so what a
+removed, as they may be shorter than `length` bytes. Here a cell is settled only if two documents hold it, so what a
 text repeats within itself does not count; rows with equal id and text are one document.
 
 Null text counts as empty. Texts shorter than `length` lose nothing. Exact copies of a long enough text are
