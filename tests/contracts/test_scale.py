@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from pactlake.operators import segment
+from pactlake.functions import fixed, text
+from pactlake.operators import coverage, segment
 from pactlake.plans import catalog
 from pactlake.sources import contract_view
 
@@ -50,3 +51,17 @@ def test_numbered_titles(spark):
     lines = ["2.1 Taxes. The Client bears all", "1. J. R. Smith. He pays", "3. Plain", "4. Fees: all", "5. v1.2 of it"]
     docs = spark.createDataFrame([(x,) for x in lines], "text string")
     assert [r[0] for r in docs.select(segment.numbered_title(F.col("text"))).collect()] == ["2.1 Taxes.", "1. J. R. Smith.", "3. Plain", "4. Fees:", "5. v1.2 of it"]
+
+
+def test_needles_stand_in_every_match(spark):
+    """Rules are looked for where their needle is; scores equal those of all patterns on all segments."""
+    bodies = [(f"{a} {b}{c}", t) for a in ("LICENSE", "x") for b, t in (("Grant of rights", None), ("annual sales quotas", "5 %  Discount"), ("acts\nof God", "Late Payment"), ("technology: the platform", None), ("İannual quota", None), ("sign electronically", "Grants the right to sell")) for c in ("", "; non-renewal", ", amended and indemnified")]
+    rows = [("d", i, b, t, "Net 30" if i % 3 == 0 else None) for i, (b, t) in enumerate(bodies)]
+    segments = spark.createDataFrame(rows, "doc_id string, seg_no int, text string, title string, parent_section_title string")
+    found = {(r["seg_no"], r["rule"]): r["score"] for r in coverage.rule_scores(segments, True).collect()}
+    body, title = coverage.search_text(), F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("parent_section_title", F.lit("")))
+    want = {}
+    for i, rule in enumerate(fixed.RULES):
+        hits = sum((F.when(text.any_match(body, [p]), 10).otherwise(0) + F.when(text.any_match(title, [p]), 25).otherwise(0) for p in rule[3]), F.lit(0))
+        want |= {(r["seg_no"], i): r["h"] for r in segments.select("seg_no", hits.alias("h")).filter("h > 0").collect()}
+    assert want and found == {k: v for k, v in want.items() if v >= 1}
